@@ -211,3 +211,46 @@ FEEDBACK = """feedback AS (
          ELSE 'PASSE' END AS label, 'engine' || CAST(user_id % 3 AS VARCHAR) AS engine,
          'v' || CAST(user_id % 4 AS VARCHAR) AS app_version
   FROM events)"""
+
+
+# Roles of the asset panel and where each comes from.
+BAR_ROLES = {"AF": "spx", "AO": "iwm", "NF": "qqq", "NO": "gold", "RF": "dxy", "RO": "bonds10"}
+PRIORITY_ROLES = {"1-URGENT": "vix", "2-HIGH": "vix9d", "3-MEDIUM": "vix3m", "4-NOT SPECIFIED": "vix6m", "5-LOW": "vvix"}
+STATUS_ROLES = {"F": "nikkei", "O": "dax", "P": "skew"}
+LINE_ROLES = {1: "spx_pc", 2: "vix_pc", 3: "equity_pc", 4: "iwm_pc", 5: "qqq_pc", 6: "ad", 7: "bonds30"}
+ROLES = [*BAR_ROLES.values(), *PRIORITY_ROLES.values(), *STATUS_ROLES.values(), *LINE_ROLES.values()]
+
+
+def assets(spark, sf_dir):
+    """A long table (series, d, value) of 21 market-like series."""
+    def role(col, names):
+        return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[col]
+    o = table(spark, sf_dir, "orders")
+    day, p, k = F.to_date("o_orderdate").alias("d"), F.col("o_totalprice"), F.col("o_orderkey")
+    status_scale = F.when(F.col("o_orderstatus") == "P", 3500.0).otherwise(100.0)
+    lines = table(spark, sf_dir, "lineitem")
+    parts = [
+        bars(spark, sf_dir).select(role(F.col("symbol"), BAR_ROLES).alias("series"), "d", (F.col("close") / 1000.0).alias("value")),
+        market(spark, sf_dir).select(role(F.col("series"), PRIORITY_ROLES).alias("series"), "d", "value"),
+        o.groupBy(role(F.col("o_orderstatus"), STATUS_ROLES).alias("series"), day).agg(F.max_by(p / status_scale, k).alias("value")),
+        lines.groupBy(role(F.col("l_linenumber"), LINE_ROLES).alias("series"), F.to_date("l_shipdate").alias("d")).agg(
+            (F.round(F.avg("l_discount"), 6) * 10.0 + 0.5).alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _case(col, names):
+    quoted = {(f"'{k}'" if isinstance(k, str) else k): v for k, v in names.items()}
+    return f"CASE {col} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in quoted.items()) + " END"
+
+
+ASSETS = f"""assets AS (
+  SELECT {_case('symbol', BAR_ROLES)} AS series, d, close / 1000.0 AS value FROM bars
+  UNION ALL SELECT {_case('series', PRIORITY_ROLES)}, d, value FROM market
+  UNION ALL SELECT {_case('o_orderstatus', STATUS_ROLES)}, CAST(o_orderdate AS DATE),
+    arg_max(o_totalprice / CASE WHEN o_orderstatus = 'P' THEN 3500.0 ELSE 100.0 END, o_orderkey) FROM orders GROUP BY o_orderstatus, CAST(o_orderdate AS DATE)
+  UNION ALL SELECT {_case('l_linenumber', LINE_ROLES)}, CAST(l_shipdate AS DATE), round(avg(l_discount), 6) * 10.0 + 0.5
+    FROM lineitem GROUP BY l_linenumber, CAST(l_shipdate AS DATE))"""
