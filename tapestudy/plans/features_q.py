@@ -199,7 +199,7 @@ FIVE = ["spx_pc", "vix_pc", "equity_pc", "iwm_pc", "qqq_pc"]
 MEAN5 = "list_avg([" + ", ".join(f"z_{a}" for a in FIVE) + "])"
 
 
-@query("H11_put_call_sentiment", "d:s spx_pc_extreme_fear:i vix_pc_extreme_greed:i spx_pc_mom5d:f iwm_pc_z20:f qqq_pc_trending_fear:i spx_vs_equity_pc_ratio:f9 spx_vs_equity_pc_z20:f vix_vs_spx_pc_ratio:f composite_fear_index:f composite_greed_extreme:i",
+@query("H11_put_call_sentiment", "d:s spx_pc_extreme_fear:i vix_pc_extreme_greed:i spx_pc_mom5d:f iwm_pc_z20:f qqq_pc_trending_fear:i spx_vs_equity_pc_ratio:f9 spx_vs_equity_pc_z20:f vix_vs_spx_pc_ratio:f9 composite_fear_index:f composite_greed_extreme:i",
        f"""SELECT d, {fl(f"spx_pc > {qt('spx_pc', 252, 0.9, 60)}")} AS spx_pc_extreme_fear, {fl(f"vix_pc < {qt('vix_pc', 252, 0.1, 60)}")} AS vix_pc_extreme_greed, {mom('spx_pc', 5)} AS spx_pc_mom5d, {z('iwm_pc', 20)} AS iwm_pc_z20,
           {fl(f"qqq_pc > {rs('avg', 'qqq_pc', 5)}")} AS qqq_pc_trending_fear, r AS spx_vs_equity_pc_ratio, {z('r', 20)} AS spx_vs_equity_pc_z20, vix_pc / nullif(spx_pc, 0) AS vix_vs_spx_pc_ratio, {MEAN5} AS composite_fear_index,
           {fl(f"{MEAN5} < -1.5")} AS composite_greed_extreme FROM (SELECT *, spx_pc / nullif(equity_pc, 0) AS r, {", ".join(f"{z(a, 60)} AS z_{a}" for a in FIVE)} FROM panel) AS p""", WIDE)
@@ -310,7 +310,7 @@ SPLIT = "days AS (SELECT d, row_number() OVER (ORDER BY d) AS rn, count(*) OVER
 
 @query("H21_drop_sparse_and_impute", "feature d:s value:f",
        """SELECT f.feature, x.d, coalesce(a.value, f.med) AS value FROM (
-          SELECT a.series AS feature, count(*) AS k, max(n) AS n, median(CASE WHEN rn <= floor(n * 0.7) THEN value END) AS med FROM assets AS a JOIN days ON a.d = days.d GROUP BY a.series) AS f
+          SELECT a.series AS feature, count(*) AS k, max(n) AS n, median(CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN value END) AS med FROM assets AS a JOIN days ON a.d = days.d GROUP BY a.series) AS f
           CROSS JOIN days AS x LEFT JOIN assets AS a ON a.series = f.feature AND a.d = x.d WHERE 1 - f.k * 1.0 / f.n <= 0.20 AND (f.med IS NOT NULL OR f.k = f.n)""", [BARS, MARKET, ASSETS, SPLIT])
 def h21(spark, sf):
     return H.drop_sparse_and_impute(assets(spark, sf).withColumnRenamed("series", "feature"), 0.20)
