@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "sources_q", "filters_q", "joins_q", "series_q", "candles_q", "stats_q", "sessions_q", "features_q", "rules_q", "scans_q", "backtest_q",
+    "sources_q", "filters_q", "joins_q", "series_q", "candles_q", "stats_q", "sessions_q", "features_q", "rules_q", "scans_q", "backtest_q", "models_q",
 ]
 
 
