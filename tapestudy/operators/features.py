@@ -625,16 +625,16 @@ def drop_sparse_and_impute(features: DataFrame, max_null: float = 0.40, is_ratio
     the sessions; a feature whose median is unknown stays only if nothing is missing. Input and result are long."""
     days = session_split(features, is_ratio, d=d)
     known = features.filter(F.col("value").isNotNull()).join(days, [d])
-    stats = known.groupBy("feature").agg(F.count(F.lit(1)).alias("_known"), F.max("n_sessions").alias("_n"),
-                                         F.percentile(F.when(F.col("in_sample"), F.col("value")), F.lit(0.5)).alias("_median"))
-    kept = stats.filter((1 - F.col("_known") / F.col("_n") <= max_null) & (F.col("_median").isNotNull() | (F.col("_known") == F.col("_n"))))
-    # only the missing cells of kept features are generated; max_null bounds their share
+    cell = F.struct(F.col(d), F.col("value").cast("double").alias("value"))
+    packed = known.groupBy("feature").agg(
+        F.collect_list(cell).alias("_cells"), F.max("n_sessions").alias("_n"), F.percentile(F.when(F.col("in_sample"), F.col("value")), F.lit(0.5)).alias("_median"))
+    have = F.size("_cells")
+    packed = packed.filter((1 - have / F.col("_n") <= max_null) & (F.col("_median").isNotNull() | (have == F.col("_n"))))
+    # a feature is one row of at most one cell per session here; only its missing sessions are added
     all_days = days.agg(F.collect_list(d).alias("_days")).scalar()
-    values = known.join(kept.select("feature"), "feature", "left_semi").select("feature", d, "value")
-    present_days = values.groupBy("feature").agg(F.collect_list(d).alias("_have"))
-    gaps = kept.filter(F.col("_known") < F.col("_n")).join(present_days, "feature").select(
-        "feature", F.explode(F.array_except(all_days, F.col("_have"))).alias(d), F.col("_median").alias("value"))
-    return values.unionByName(gaps)
+    packed = packed.withColumn("_missing", F.array_except(all_days, F.transform("_cells", lambda c: c[d])))
+    filled = F.transform("_missing", lambda x: F.struct(x.alias(d), F.col("_median").alias("value")))
+    return packed.select("feature", F.inline(F.concat("_cells", filled)))
 
 
 def exclude_features(features: DataFrame, substrings=("vix1d", "vix1d_vix")) -> DataFrame:

@@ -36,12 +36,12 @@ def _chunk(t: Column, unit: str) -> Column:
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: str, by=(), right_on: str | None = None, columns=None,
               direction: str = "backward", tolerance=None, allow_exact: bool = True, tie: str = "earlier",
-              chunk: str = "year", right_time: str | None = None) -> DataFrame:
+              chunk: str = "year", right_time: str | None = None, right_unique: bool = False) -> DataFrame:
     """For each left row the last right row at or before it (``backward``), the first at or after it
     (``forward``), or the closer of the two (``nearest``).
 
     ``tolerance`` is in days for date keys and in minutes for timestamps. ``tie`` settles equal
-    distances. Of several right rows with one key the greatest values win. ``right_time`` names a
+    distances. Of several right rows with one key the greatest values win (``right_unique`` says that there is only one). ``right_time`` names a
     column for the matched time.
 
     The match is computed once per distinct left key, inside groups of (by, time chunk), and joined back by
@@ -56,7 +56,8 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: str, by=(), right_on: st
     t = F.col("_t")
     want = left.select(*by, F.col(on).alias("_t")).filter(t.isNotNull()).distinct()
     have = right.select(*by, F.col(right_on).alias("_t"), *columns).filter(t.isNotNull())
-    have = have.groupBy(*by, "_t").agg(F.max(F.struct(F.col("_t").alias("_rt"), *columns)).alias("_v"))
+    value = F.struct(F.col("_t").alias("_rt"), *columns)
+    have = have.select(*by, "_t", value.alias("_v")) if right_unique else have.groupBy(*by, "_t").agg(F.max(value).alias("_v"))
     rows = (want.withColumn("_right", F.lit(0)).unionByName(have.withColumn("_right", F.lit(1)), allowMissingColumns=True)
             .withColumns({"_chunk": _chunk(t, chunk), "_pos": F.lit(0)}))
 
@@ -140,7 +141,7 @@ def event_to_session(events: DataFrame, bars: DataFrame, *, symbol="symbol", d="
     target = F.when(F.lower(timing) == "bmo", F.col(d)).otherwise(F.date_add(d, 1))
     days = bars.select(*keys(symbol), F.col(d).alias("_s")).distinct()
     wanted = events.withColumn("_s", target)
-    return asof_join(wanted, days, on="_s", by=symbol, columns=[], direction="forward", right_time=name).drop("_s")
+    return asof_join(wanted, days, on="_s", by=symbol, columns=[], direction="forward", right_time=name, right_unique=True).drop("_s")
 
 
 def semi_dates(df: DataFrame, dates: DataFrame, on="d") -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import all_of, as_col, change, change_pct, color, contains_any, count_where, mean_where, median, ratio, truth
 from ..functions.windows import keys, rolling, rolling_percentile, sessions, so_far, whole
@@ -207,7 +208,7 @@ def candle_pattern_discovery(df: DataFrame, min_n: int = 3, *, symbol="symbol",
     return out.withColumns({"edge": edge, "score": F.abs("mean_next") * 10000.0 * F.log1p("n") + F.greatest(edge, F.lit(0.0)) * 100.0})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Exact two-sided binomial p-value of k rises in n trials at rate p, on aggregated rows."""
     top = int(n.max()) if len(n) else 0

@@ -113,7 +113,7 @@ def to_session(bars: DataFrame, session_days: DataFrame, after_minute: int, befo
     night = bars.filter(evening | (m < before_minute))
     night = night.withColumn("_t", F.when(m < before_minute, F.col(d)).otherwise(F.date_add(d, 1)))
     days = session_days.select(*keys(symbol), F.col(d).alias("_t")).distinct()
-    return asof_join(night, days, on="_t", by=symbol, columns=[], direction="forward", right_time="session_d").drop("_t")
+    return asof_join(night, days, on="_t", by=symbol, columns=[], direction="forward", right_time="session_d", right_unique=True).drop("_t")
 
 
 def overnight_vs_day(futures: DataFrame, day_bars: DataFrame, min_bars: int = 2, *, symbol="symbol", d="d", ts="ts") -> DataFrame:

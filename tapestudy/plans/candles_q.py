@@ -273,10 +273,10 @@ def e18_next_day(spark, sf):
           coalesce(h.w1, 0) AS win_rate_j1, coalesce(h.w5, 0) AS win_rate_j5
           FROM strict AS s LEFT JOIN (SELECT symbol, count(*) FILTER (WHERE low1 <= -50) * 100.0 / nullif(count(low1), 0) AS w1,
                count(*) FILTER (WHERE low5 <= -50) * 100.0 / nullif(count(low5), 0) AS w5 FROM bbe GROUP BY symbol) AS h ON s.symbol = h.symbol
-          WHERE s.d BETWEEN DATE '1998-03-02' AND DATE '1998-03-08'""", [BARS, EARNINGS, WIDE, STRICT, BBE])
+          WHERE s.d BETWEEN DATE '2000-07-10' AND DATE '2000-07-16'""", [BARS, EARNINGS, WIDE, STRICT, BBE])
 def e19(spark, sf):
     b, e = bars(spark, sf), earnings(spark, sf)
-    return C.signals_in_week(b, "1998-03-02", e, C.bbe_signal_table(b, e), -50.0)
+    return C.signals_in_week(b, "2000-07-10", e, C.bbe_signal_table(b, e), -50.0)
 
 
 FILTERED = """filt AS (

@@ -39,7 +39,7 @@ def c3_backward(spark, sf):
           ON t.symbol = i.symbol AND t.ts > i.ts""", [TICKS, INTRADAY()])
 def c3_strict(spark, sf):
     right = intraday(spark, sf).select("symbol", "ts", F.col("close").alias("last_close"))
-    return J.asof_join(ticks(spark, sf), right, on="ts", by="symbol", allow_exact=False, chunk="day", right_time="bar_ts")
+    return J.asof_join(ticks(spark, sf), right, on="ts", by="symbol", allow_exact=False, chunk="day", right_time="bar_ts", right_unique=True)
 
 
 @query("C3_asof_forward", "symbol d:s value:f matched:s",
