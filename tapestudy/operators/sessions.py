@@ -288,7 +288,7 @@ def horizon_return_from_open(df: DataFrame, minutes: int, cash_hours: bool = Tru
 
 
 def time_of_day_edge(df: DataFrame, bars: int = 1, cond=None, min_n: int = 5, zone: str | None = None, *, symbol="symbol", ts="ts", minute="minute_of_day") -> DataFrame:
-    """Per clock time the forward return over n bars: count, mean, share positive, best, worst; ranked by mean. ``cond`` filters
+    """Per clock time the forward return over n bars (the next bars of the symbol, across days): count, mean, share positive, best, worst; ranked by mean. ``cond`` filters
     rows (for example the direction of another series), ``zone`` keeps the opening or closing hour."""
     w = Window.partitionBy(*keys(symbol)).orderBy(ts)
     rows = df.withColumn("_r", change(F.lead("close", bars).over(w), "close"))

@@ -171,14 +171,14 @@ def j10(spark, sf):
     return T.price_structures(chains(spark, sf))
 
 
-LEVELS = "levels AS (SELECT size * 1.0 AS level, price AS gain, price * 2 AS loss FROM (SELECT p_size AS size, round(avg(p_retailprice) / 100.0, 4) AS price FROM part WHERE p_size % 7 = 1 GROUP BY p_size) AS p)"
+LEVELS = "levels AS (SELECT size * 1.0 AS level, price AS gain, price * 2 AS loss FROM (SELECT p_size AS size, round(avg(p_retailprice) / 100.0, 4) AS price FROM part GROUP BY p_size) AS p)"
 
 
 @query("J11_interpolate_by_level", "d:s x:f gain:f loss:f",
        """SELECT v.d, v.close AS x, lo.gain + coalesce((hi.gain - lo.gain) * greatest(v.close - lo.level, 0) / (hi.level - lo.level), 0) AS gain, lo.loss + coalesce((hi.loss - lo.loss) * greatest(v.close - lo.level, 0) / (hi.level - lo.level), 0) AS loss
           FROM vix AS v JOIN levels AS lo ON lo.level = coalesce((SELECT max(level) FROM levels WHERE level <= v.close), (SELECT min(level) FROM levels)) LEFT JOIN levels AS hi ON hi.level = (SELECT min(level) FROM levels AS l2 WHERE l2.level > lo.level)""", [VIX, LEVELS])
 def j11(spark, sf):
-    p = table(spark, sf, "part").filter("p_size % 7 = 1").groupBy("p_size").agg(F.round(F.avg("p_retailprice") / 100.0, 4).alias("gain"))
+    p = table(spark, sf, "part").groupBy("p_size").agg(F.round(F.avg("p_retailprice") / 100.0, 4).alias("gain"))
     levels = p.select((F.col("p_size") * 1.0).alias("level"), "gain", (F.col("gain") * 2).alias("loss"))
     return T.interpolate_by_level(vix(spark, sf).select("d", F.col("close").alias("x")), levels)
 

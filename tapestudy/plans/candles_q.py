@@ -105,12 +105,12 @@ def e5(spark, sf):
 
 @query("E6_sequence_next_mean", "symbol n:i mean_next:f",
        """SELECT symbol, count(*) AS n, avg(nx) AS mean_next FROM (
-          SELECT symbol, d, (lead(close) OVER w - close) / close AS nx, coalesce(lag(red) OVER w AND red, false) AS hit
-          FROM (SELECT *, CASE WHEN d < DATE '2001-06-01' THEN close < open END AS red FROM bars WHERE d <= DATE '2001-06-01') AS a
+          SELECT symbol, d, (lead(mc) OVER w - mc) / mc AS nx, coalesce(lag(red) OVER w AND red, false) AS hit
+          FROM (SELECT *, CASE WHEN d < DATE '2001-06-01' THEN close END AS mc, CASE WHEN d < DATE '2001-06-01' THEN close < open END AS red FROM bars WHERE d <= DATE '2001-06-01') AS a
           WINDOW w AS (PARTITION BY symbol ORDER BY d)) AS b WHERE hit GROUP BY symbol""", [BARS])
 def e6(spark, sf):
     known = P.ex_ante_mask_daily(bars(spark, sf), "2001-06-01")
-    # the next-bar return needs the bar's own close, which the mask hides only on the decision day
+    # the mask hides the close of the decision day, so the session before it has no next return yet
     return C.sequence_next_mean(known, ["red", "red"])
 
 

@@ -21,7 +21,7 @@ def caldays(spark, sf):
     return H.calendar_features(calendar(spark, sf)).withColumn("panel", F.lit("us"))
 
 
-@query("H1_calendar_features", "d:s is_opex:b is_high_impact:b n_high_events:i n_medium_events:i is_earnings_top2:b is_low_activity:b is_cpi:b is_pce:b is_nfp:b macro_surprise_raw:f",
+@query("H1_calendar_features", "d:s is_opex:b is_high_impact:b n_high_events:i n_medium_events:i is_earnings_top2:b is_low_activity:b is_cpi:b is_pce:b is_nfp:b macro_surprise_raw:f9",
        "SELECT * FROM caldays", [CALENDAR, CALDAYS])
 def h1(spark, sf):
     return caldays(spark, sf)

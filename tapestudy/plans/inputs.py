@@ -108,8 +108,8 @@ def earnings(spark, sf_dir):
             .groupBy("symbol", "q")
             .agg(F.max_by("day", F.struct("p", "o_orderkey")).alias("d"),
                  F.max_by("o_orderkey", F.struct("p", "o_orderkey")).alias("k"),
-                 F.round(F.avg("p") / 100000.0, 4).alias("eps_actual"),
-                 F.round((F.min("p") + F.max("p")) / 200000.0, 4).alias("eps_estimated"))
+                 F.round(F.avg("p") / 100000.0, 7).alias("eps_actual"),
+                 F.round((F.min("p") + F.max("p")) / 200000.0, 7).alias("eps_estimated"))
             .select("symbol", "d", F.element_at(F.array(F.lit("bmo"), F.lit("amc"), F.lit("during")),
                                                 (F.col("k") % 3 + 1).cast("int")).alias("timing"),
                     "eps_actual", "eps_estimated",
@@ -122,8 +122,8 @@ EARNINGS = f"""earnings AS (
   FROM (SELECT {SYMBOL_LIST_SQL}[o_custkey % 6 + 1] AS symbol, date_trunc('quarter', o_orderdate) AS q,
                arg_max(CAST(o_orderdate AS DATE), (o_totalprice, o_orderkey)) AS d,
                arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k,
-               round(avg(o_totalprice) / 100000.0, 4) AS eps_actual,
-               round((min(o_totalprice) + max(o_totalprice)) / 200000.0, 4) AS eps_estimated
+               round(avg(o_totalprice) / 100000.0, 7) AS eps_actual,
+               round((min(o_totalprice) + max(o_totalprice)) / 200000.0, 7) AS eps_estimated
         FROM orders GROUP BY 1, 2) AS e)"""
 
 
@@ -136,8 +136,8 @@ def calendar(spark, sf_dir):
     top = F.max("o_totalprice")
     return (o.groupBy(F.to_date("o_orderdate").alias("d"), pr)
             .agg(F.when(top > 400000, "high").when(top > 200000, "medium").otherwise("low").alias("impact"),
-                 F.round(F.avg("o_totalprice") / 1000.0, 3).alias("actual"),
-                 F.round((F.min("o_totalprice") + top) / 2000.0, 3).alias("estimate"),
+                 (F.avg("o_totalprice") / 1000.0).alias("actual"),
+                 ((F.min("o_totalprice") + top) / 2000.0).alias("estimate"),
                  F.when(F.count(F.lit(1)) >= 4, "monthly").alias("opex"),
                  F.when(top > 450000, "AAPL, MSFT").alias("earnings_top2"),
                  F.when(top < 60000, "holiday").alias("low_activity"))
@@ -150,8 +150,8 @@ CALENDAR = """calendar AS (
               WHEN '3-MEDIUM' THEN 'US Non-Farm Payrolls' WHEN '4-NOT SPECIFIED' THEN 'US GDP q/q'
               ELSE 'Core PCE Price Index' END AS event,
          CASE WHEN max(o_totalprice) > 400000 THEN 'high' WHEN max(o_totalprice) > 200000 THEN 'medium' ELSE 'low' END AS impact,
-         round(avg(o_totalprice) / 1000.0, 3) AS actual,
-         round((min(o_totalprice) + max(o_totalprice)) / 2000.0, 3) AS estimate,
+         avg(o_totalprice) / 1000.0 AS actual,
+         (min(o_totalprice) + max(o_totalprice)) / 2000.0 AS estimate,
          CASE WHEN count(*) >= 4 THEN 'monthly' END AS opex,
          CASE WHEN max(o_totalprice) > 450000 THEN 'AAPL, MSFT' END AS earnings_top2,
          CASE WHEN max(o_totalprice) < 60000 THEN 'holiday' END AS low_activity

@@ -116,7 +116,7 @@ def g7_corr(spark, sf):
 
 
 @query("G8_overnight_features", "symbol d:s n_bars:i ret_pct:f direction:i range_pct:f volume:f last_bar_ret:f first_half:f second_half:f accel:f",
-       """SELECT symbol, sd AS d, n AS n_bars, (c - o) / o * 100.0 AS ret_pct, CASE WHEN c > o THEN 1 ELSE -1 END AS direction, (hi - lo) / lo * 100.0 AS range_pct, volume, (c - lo_open) / lo_open * 100.0 AS last_bar_ret,
+       """SELECT symbol, sd AS d, n AS n_bars, (c - o) / o * 100.0 AS ret_pct, CASE WHEN c > o THEN 1 ELSE -1 END AS direction, (hi - lo) / nullif(lo, 0) * 100.0 AS range_pct, volume, (c - lo_open) / lo_open * 100.0 AS last_bar_ret,
           (mc - o) / o * 100.0 AS first_half, (c - mo) / mo * 100.0 AS second_half, (c - mo) / mo * 100.0 - (mc - o) / o * 100.0 AS accel FROM (
           SELECT symbol, sd, count(*) AS n, arg_min(open, ts) AS o, arg_max(close, ts) AS c, arg_max(open, ts) AS lo_open, max(high) AS hi, min(low) AS lo, sum(volume) AS volume,
                  max(close) FILTER (WHERE rn = k // 2) AS mc, max(open) FILTER (WHERE rn = k // 2 + 1) AS mo FROM (

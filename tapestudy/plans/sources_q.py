@@ -53,7 +53,7 @@ def a3(spark, sf):
     return R.normalize_time(o.select("o_orderkey", text.alias("time")), src_tz="Europe/Paris", offset_minutes=90)
 
 
-@query("A4_read_calendar", "d:s event impact actual:f estimate:f opex earnings_top2 low_activity",
+@query("A4_read_calendar", "d:s event impact actual:f9 estimate:f9 opex earnings_top2 low_activity",
        "SELECT * FROM calendar", [CALENDAR])
 def a4_calendar(spark, sf):
     path = shared_dir(spark, "calendar-csv")

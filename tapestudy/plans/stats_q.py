@@ -234,7 +234,7 @@ def f20(spark, sf):
     return A.iso_week_rank(market(spark, sf))
 
 
-@query("F21_lowest_weekday_by_year", "series year:i weekday:i mean_value:f n:i",
+@query("F21_lowest_weekday_by_year", "series year:i weekday:i mean_value:f9 n:i",
        """SELECT series, year, weekday, mean_value, n FROM (SELECT series, year(d) AS year, isodow(d) - 1 AS weekday, avg(value) AS mean_value, count(*) AS n FROM market GROUP BY 1, 2, 3) AS g
           QUALIFY row_number() OVER (PARTITION BY series, year ORDER BY mean_value, weekday) = 1""", [MARKET])
 def f21(spark, sf):
