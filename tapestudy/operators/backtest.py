@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, bucket, change, change_pct, count_where, mean_where, median, ratio, truth
-from ..functions.windows import keys, sessions, whole
+from ..functions.columns import as_col, change, change_pct, count_where, mean_where, median, truth
+from ..functions.windows import keys, sessions
 from .joins import asof_join, enrich_with_dimension, event_to_session, nearest_strike
 
 

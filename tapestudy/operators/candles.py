@@ -58,6 +58,7 @@ def engulfing_strict(df: DataFrame, side: str = BEARISH, earnings: DataFrame | N
     return out if earnings is None else exclude_event_window(out, earnings, buffer, buffer, symbol=symbol, d=d)
 
 
+# Names of the candle patterns.
 CANDLE_FLAGS = ["bearish_engulfing", "bullish_engulfing", "two_red", "two_green", "two_red_body_engulf", "doji", "hammer",
                 "shooting_star", "inside_bar", "outside_bar", "three_black_crows", "three_white_soldiers", "morning_star",
                 "evening_star"]

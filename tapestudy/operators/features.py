@@ -13,8 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, any_of, as_col, bucket, change, change_pct, contains_any, count_where, flag, plain_text, truth
-from ..functions.windows import (keys, rolling, rolling_correlation, rolling_percentile, rolling_rank_pct, rolling_z, sessions, trailing, whole)
+from ..functions.columns import (
+    all_of, any_of, as_col, change, change_pct, contains_any, count_where, flag, plain_text, truth,
+)
+from ..functions.windows import (
+    keys, rolling, rolling_correlation, rolling_percentile, rolling_rank_pct, rolling_z, sessions, whole,
+)
 from .joins import ffill_to_index
 
 PANEL = ["panel"]
@@ -335,6 +339,7 @@ def regime_transitions(p: DataFrame, *, d="d") -> DataFrame:
     return out.select("panel", d, "vix_zscore_20", "spx_dist_ath_pct", *cols)
 
 
+# The put/call series of the sentiment features.
 PUT_CALL = ["spx_pc", "vix_pc", "equity_pc", "iwm_pc", "qqq_pc"]
 
 
@@ -396,6 +401,7 @@ def intermarket(p: DataFrame, *, d="d") -> DataFrame:
     return out.select("panel", d, "gold_dist_ath", *[v.alias(k) for k, v in cols.items()])
 
 
+# Pairs of the volatility term structure with their priority.
 VOL_PAIRS = [("vix9d", "vix", 3), ("vix9d", "vix3m", 3), ("vix9d", "vix6m", 2), ("vix", "vix3m", 3), ("vix", "vix6m", 2), ("vix3m", "vix6m", 2)]
 
 
@@ -455,6 +461,7 @@ def momentum_divergence(p: DataFrame, *, d="d") -> DataFrame:
     return out.select("panel", d, *base, *cols)
 
 
+# put/call pairs with their priority.
 FLOW_PAIRS = [("spx_pc", "equity_pc", 3), ("vix_pc", "spx_pc", 3), ("iwm_pc", "spx_pc", 2), ("qqq_pc", "spx_pc", 2), ("spy_pc", "spx_pc", 2)]
 
 

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (add_minutes, as_col, compare, contains_any, count_where, hhmm, mean_where, median,
-                                 minute_of_day, plain_text, truth)
+from ..functions.columns import (
+    add_minutes, as_col, compare, contains_any, count_where, hhmm, mean_where, median, minute_of_day, truth,
+)
 from ..functions.windows import keys, sessions
 from .series import returns
 

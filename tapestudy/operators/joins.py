@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from ..functions.columns import as_col, minutes_between, truth
+from ..functions.columns import minutes_between, truth
 from ..functions.windows import keys, sessions
 
 

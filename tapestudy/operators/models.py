@@ -16,7 +16,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, pearson, ratio
+from ..functions.columns import pearson
 from .features import session_split
 
 SEED = 42

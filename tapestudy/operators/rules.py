@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, count_where, mean_where, median, ratio, truth
+from ..functions.columns import count_where, ratio, truth
 from ..functions.windows import keys
 from ..sources.shared import materialize
-from .joins import asof_join
 
 PERCENTILES = tuple(range(10, 91, 10))
 N_WINDOWS = 8

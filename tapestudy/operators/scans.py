@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import all_of, as_col, change, change_pct, color, contains_any, count_where, mean_where, median, ratio, truth
-from ..functions.windows import keys, rolling, rolling_percentile, sessions, so_far, whole
+from ..functions.columns import (
+    all_of, change, change_pct, color, contains_any, count_where, mean_where, median, ratio, truth,
+)
+from ..functions.windows import keys, rolling, rolling_percentile, sessions, whole
 from .candles import engulfing, unpivot
 from .series import forward_closes, returns, streak, volume_features
-from .stats import positive_pct
 
 
 def spread_matches(df: DataFrame, conditions: dict[str, Column], name="signal") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, change, change_pct, compare, count_where, flag, hhmm, mean_where, median, pearson, ratio, truth
+from ..functions.columns import as_col, change, change_pct, count_where, flag, hhmm, mean_where, median, pearson, truth
 from ..functions.windows import keys, rolling_percentile, rolling_z, sessions
 from .filters import time_window
 from .joins import asof_join

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (any_of, as_col, change_pct, compare, count_where, mean_where, median, pearson, ratio, sample_skewness,
-                                 truth)
+from ..functions.columns import (
+    as_col, change_pct, compare, count_where, mean_where, median, pearson, ratio, sample_skewness, truth,
+)
 from ..functions.windows import keys, rolling_correlation, sessions, so_far, whole
 from .candles import unpivot
 from .filters import boolean_expr
 from .joins import spread_nearest
-from .series import bar_returns, returns, streak
+from .series import returns
 
 
 def positive_pct(value) -> Column:

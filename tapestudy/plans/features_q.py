@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as H
-from ..operators import sessions as G
-from .inputs import ASSETS, BARS, CALENDAR, INTRADAY, MARKET, ROLES, VIX, assets, bars, calendar, intraday, vix
+from .inputs import ASSETS, BARS, CALENDAR, MARKET, ROLES, VIX, assets, bars, calendar, vix
 from .registry import query
 
 KEY_WORDS = {k: "(" + " OR ".join(f"lower(event) LIKE '%{w.lower()}%'" for w in words) + ")" for k, words in H.KEY_EVENTS.items()}

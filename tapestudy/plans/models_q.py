@@ -9,11 +9,10 @@ from ..operators import candles as C
 from ..operators import models as M
 from ..operators import rules as R
 from ..operators import series as S
-from ..operators import stats as A
 from ..operators import tables as T
 from ..sources.shared import shared_dir
 from ..streaming import jobs
-from .inputs import BARS, CALENDAR, EARNINGS, INTRADAY, MARKET, TICKS, UNIVERSE, VIX, bars, calendar, market, table, ticks, universe, vix
+from .inputs import BARS, CALENDAR, INTRADAY, MARKET, VIX, bars, calendar, market, table, vix
 from .registry import query
 from .rules_q import BASE as RULE_BASE
 from .rules_q import THR, UHITS, metrics, prepared

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as H
 from ..operators import rules as R
 from .features_q import ORDER_DAYS
-from .inputs import BARS, VIX, assets, bars, vix
+from .inputs import assets, bars, vix
 from .registry import query
 
 # the 21 lagged series as dense features over the days of the order table, and the target of one symbol

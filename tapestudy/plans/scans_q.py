@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.windows import sessions
-from ..operators import candles as C
 from ..operators import features as H
 from ..operators import joins as J
 from ..operators import scans as N
 from ..operators import series as S
-from .candles_q import WIDE
 from .features_q import CALDAYS, caldays
 from .inputs import BARS, CALENDAR, EARNINGS, MARKET, VIX, bars, calendar, earnings, market, vix
 from .registry import query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import filters as P
 from ..operators import sessions as G
-from .inputs import INTRADAY, TICKS, intraday, ticks
+from .inputs import INTRADAY, intraday, ticks
 from .registry import query
 from .series_q import roll
 

@@ -65,7 +65,7 @@ def a4_calendar(spark, sf):
     return R.read_calendar(spark, path)
 
 
-@query("A4_read_earnings_events", "symbol d:s timing eps_actual:f eps_estimated:f surprise_pct:f4",
+@query("A4_read_earnings_events", "symbol d:s timing eps_actual:f9 eps_estimated:f9 surprise_pct:f4",
        "SELECT * FROM earnings", [EARNINGS])
 def a4_events(spark, sf):
     path = shared_dir(spark, "earnings-csv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, any_of, as_col, count_where, minute_of_day, minutes_between, slug
+from ..functions.columns import all_of, any_of, as_col, count_where, minute_of_day, minutes_between
 from ..functions.windows import keys
 
 # The frequency part of bar file names, in minutes.
