@@ -102,14 +102,16 @@ def earnings(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     names = F.array(*[F.lit(s) for s in SYMBOLS])
     p = F.col("o_totalprice")
+    # price in cents and order key in one long: the aggregates below keep fixed-width buffers
+    rank = F.round(p * 100).cast("bigint") * 10000000000 + F.col("o_orderkey")
     return (o.select(F.element_at(names, (F.col("o_custkey") % 6 + 1).cast("int")).alias("symbol"),
                      F.date_trunc("quarter", "o_orderdate").cast("date").alias("q"),
-                     F.to_date("o_orderdate").alias("day"), p.alias("p"), "o_orderkey")
+                     F.to_date("o_orderdate").alias("day"), p.alias("p"), "o_orderkey", rank.alias("rank"))
             .groupBy("symbol", "q")
-            .agg(F.max_by("day", F.struct("p", "o_orderkey")).alias("d"),
-                 F.max_by("o_orderkey", F.struct("p", "o_orderkey")).alias("k"),
-                 F.round(F.avg("p") / 100000.0, 7).alias("eps_actual"),
-                 F.round((F.min("p") + F.max("p")) / 200000.0, 7).alias("eps_estimated"))
+            .agg(F.max_by("day", "rank").alias("d"),
+                 F.max_by("o_orderkey", "rank").alias("k"),
+                 (F.avg("p") / 100000.0).alias("eps_actual"),
+                 ((F.min("p") + F.max("p")) / 200000.0).alias("eps_estimated"))
             .select("symbol", "d", F.element_at(F.array(F.lit("bmo"), F.lit("amc"), F.lit("during")),
                                                 (F.col("k") % 3 + 1).cast("int")).alias("timing"),
                     "eps_actual", "eps_estimated",
@@ -122,8 +124,8 @@ EARNINGS = f"""earnings AS (
   FROM (SELECT {SYMBOL_LIST_SQL}[o_custkey % 6 + 1] AS symbol, date_trunc('quarter', o_orderdate) AS q,
                arg_max(CAST(o_orderdate AS DATE), (o_totalprice, o_orderkey)) AS d,
                arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k,
-               round(avg(o_totalprice) / 100000.0, 7) AS eps_actual,
-               round((min(o_totalprice) + max(o_totalprice)) / 200000.0, 7) AS eps_estimated
+               avg(o_totalprice) / 100000.0 AS eps_actual,
+               (min(o_totalprice) + max(o_totalprice)) / 200000.0 AS eps_estimated
         FROM orders GROUP BY 1, 2) AS e)"""
 
 
