@@ -36,13 +36,14 @@ UHITS = """hits AS (SELECT x.feature || ':' || dir || ':' || pct AS rule_id, x.f
 
 
 def metrics(minimum, name="met", source="hits"):
+    """Precisions are share * 100 in doubles, as the operator computes them: limits are compared with exactly that value."""
     return f"""{name} AS (SELECT c.*, w.tested, w.valid, w.mean_wf, w.std_wf, coalesce(w.valid, 0) >= greatest(2, floor(coalesce(w.tested, 0) * 0.75)) AS robust,
   coalesce(p_oos - p_is > 30 AND n_oos < 20, false) AS leak FROM (
-    SELECT rule_id, count(*) FILTER (WHERE ins) AS n_is, count(*) FILTER (WHERE NOT ins) AS n_oos, count(*) FILTER (WHERE ins AND y) * 100.0 / nullif(count(*) FILTER (WHERE ins), 0) AS p_is,
-      count(*) FILTER (WHERE NOT ins AND y) * 100.0 / nullif(count(*) FILTER (WHERE NOT ins), 0) AS p_oos,
+    SELECT rule_id, count(*) FILTER (WHERE ins) AS n_is, count(*) FILTER (WHERE NOT ins) AS n_oos, CAST(count(*) FILTER (WHERE ins AND y) AS DOUBLE) / nullif(count(*) FILTER (WHERE ins), 0) * 100.0 AS p_is,
+      CAST(count(*) FILTER (WHERE NOT ins AND y) AS DOUBLE) / nullif(count(*) FILTER (WHERE NOT ins), 0) * 100.0 AS p_oos,
       round(count(*) FILTER (WHERE NOT ins) / greatest(max(oos_n) / 63.0, 1.0), 1) AS per_q FROM {source} GROUP BY rule_id) AS c
   LEFT JOIN (SELECT rule_id, count(*) AS tested, count(*) FILTER (WHERE p >= {minimum}) AS valid, avg(p) AS mean_wf, stddev_pop(p) AS std_wf FROM (
-    SELECT rule_id, win, count(*) FILTER (WHERE y) * 100.0 / count(*) AS p FROM {source} WHERE win IS NOT NULL GROUP BY rule_id, win HAVING count(*) >= 2) AS a GROUP BY rule_id) AS w ON c.rule_id = w.rule_id)"""
+    SELECT rule_id, win, CAST(count(*) FILTER (WHERE y) AS DOUBLE) / count(*) * 100.0 AS p FROM {source} WHERE win IS NOT NULL GROUP BY rule_id, win HAVING count(*) >= 2) AS a GROUP BY rule_id) AS w ON c.rule_id = w.rule_id)"""
 
 
 COLS = "rule_id n_is:i n_oos:i precision_is:f precision_oos:f leakage_suspect:b per_quarter_oos:f n_windows_tested:i n_windows_valid:i is_robust:b mean_precision_wf:f std_precision_wf:f"
@@ -85,7 +86,7 @@ def i8_dates(spark, sf):
     return dates.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
 
 
-BEST = """best AS (SELECT feature, dir, round(t, 4) AS t, pct, p, n FROM (SELECT feature, dir, pct, any_value(t) AS t, count(*) AS n, count(*) FILTER (WHERE y) * 100.0 / count(*) AS p FROM hits WHERE ins
+BEST = """best AS (SELECT feature, dir, round(t, 4) AS t, pct, p, n FROM (SELECT feature, dir, pct, any_value(t) AS t, count(*) AS n, CAST(count(*) FILTER (WHERE y) AS DOUBLE) / count(*) * 100.0 AS p FROM hits WHERE ins
   GROUP BY feature, dir, pct HAVING count(*) >= 15) AS a WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY p DESC, pct, dir) = 1)"""
 
 
