@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import quality, simhash, topk, urls
+from . import bpe, quality, simhash, substring, topk, urls
 from .common import table
 
 QUERIES = {}
@@ -101,3 +102,28 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 @register("op7_url_filters", OP7_SQL)
 def op7(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"), [urls.Rule(*x) for x in URL_RULES])
+
+
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op2_bpe_round_trip")
+def op2(spark, sf_dir):
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+OP3_SQL = rf"""
+WITH base AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM base)),
+starts AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_doc FROM grams) WHERE first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM starts),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM base),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (doc_id)"""
+
+
+@register("op3_substring_dedup", OP3_SQL)
+def op3(spark, sf_dir):
+    return substring.kept_words(table(spark, sf_dir, "documents"))
