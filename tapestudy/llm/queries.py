@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import bpe, quality, simhash, substring, topk, urls
-from .common import table
+from . import bpe, mil, packing, quality, simhash, substring, topk, urls
+from .common import crc_part, table
 
 QUERIES = {}
 SQL = {}
@@ -127,3 +127,26 @@ FROM base LEFT JOIN kept USING (doc_id)"""
 @register("op3_substring_dedup", OP3_SQL)
 def op3(spark, sf_dir):
     return substring.kept_words(table(spark, sf_dir, "documents"))
+
+
+QUALITY_CUT = 0.3
+
+
+def quality_model(spark, sf_dir):
+    """Learned only from labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(crc_part("doc_id", 5) != 0)
+    return mil.train(table(spark, sf_dir, "documents"), labels)
+
+
+@register("op4_quality_classifier")
+def op4(spark, sf_dir):
+    scored = mil.scores(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_part("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
