@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import bpe, mil, packing, quality, simhash, substring, topk, urls
+from . import bpe, licenses, lm, mil, packing, quality, simhash, substring, topk, urls
 from .common import crc_part, table
 
 QUERIES = {}
@@ -150,3 +150,15 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 @register("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+@register("op5_license_scan")
+def op5(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@register("op9_lm_scoring")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, docs.where(crc_part("doc_id", 7) != 2))
+    return scored.select("doc_id", (crc_part("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
