@@ -39,6 +39,16 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where the frame has such a column."""
+    out = []
+    for n in names:
+        while n in df.columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def two_columns(df: DataFrame, key: str, value: str, kind: str) -> DataFrame:
     """Only the key and value columns, so that extra columns of the caller cannot clash with ours."""
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(value).cast(kind).alias("text"))

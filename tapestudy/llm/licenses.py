@@ -99,24 +99,24 @@ class TemplateIndex:
 def banded_alignment(template: list[bytes], words: list[bytes], low: int, high: int):
     """Most equal words in order, with document place minus template place within BAND of [low, high]:
     (first matched word, end, matches), or None."""
-    first, width = low - BAND, high - low + 2 * BAND + 1
-    # (matches, -span, begin, end) per diagonal of the band; among equal matches the narrower span
-    none = (0, 0, -1, -1)
+    first, width, middle = low - BAND, high - low + 2 * BAND + 1, (low + high) // 2
+    # (matches, -span, -distance of the first match from the middle diagonal, begin, end) per diagonal of the band
+    none = (0, 0, 0, -1, -1)
     row = [none] * width
     for i, t in enumerate(template):
         new, left = [], none
         for d in range(width):
             j = i + first + d
-            up = row[d + 1] if d + 1 < width else none
-            best = max(left, up)
+            best = max(left, row[d + 1]) if d + 1 < width else left
             if 0 <= j < len(words) and words[j] == t:
-                n, _, begin, _ = row[d]
-                begin = j if n == 0 else begin
-                best = max(best, (n + 1, begin - j - 1, begin, j + 1))
+                n, _, drift, begin, _ = row[d]
+                if n == 0:
+                    drift, begin = -abs(first + d - middle), j
+                best = max(best, (n + 1, begin - j - 1, drift, begin, j + 1))
             new.append(best)
             left = best
         row = new
-    n, _, begin, end = max(row)
+    n, _, _, begin, end = max(row)
     return (begin, end, n) if n else None
 
 

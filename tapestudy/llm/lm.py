@@ -12,7 +12,7 @@ and texts never cross a shuffle.
 
 Nulls and edge cases: a null or empty text is the end token alone; repeated rows (equal id and text) get equal scores; words
 without training count use the reserved place; without training documents all counts are zero; an empty table gives an
-empty result.
+empty result; rows without doc_id are left out.
 """
 
 from __future__ import annotations
@@ -278,7 +278,7 @@ def _frequent_scores(docs: DataFrame, frequent, classes, weights, bias, class_co
 
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, learned from the rows of ``training``."""
-    docs, training = two_columns(docs, key, text, "string"), two_columns(training, key, text, "string")
+    docs, training = (two_columns(x, key, text, "string").where("doc_id IS NOT NULL") for x in (docs, training))
     vocab = materialize(vocabulary(training), "vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = frequent_words(vocab, frequent)

@@ -10,7 +10,7 @@ Documents with equal shingle sets are one group from the start and take part onc
 becomes several, and each pair of those meets in its own group, so memory stays bounded and no link is lost.
 
 Nulls and edge cases: texts without words form one group; shorter texts than a shingle count as one shingle; rows with one
-doc_id are one document and stay or go together; an empty table gives an empty result.
+doc_id are one document and stay or go together, rows without doc_id stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns
+from .common import batch_of, text_batches, two_columns, unused
 from .components import connected_components
 from .simhash import BKTree, shingle_hashes, simhash
 
@@ -130,7 +130,7 @@ def _shard_links(batches):
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = 2000) -> DataFrame:
     """doc_id, component_id (smallest doc_id of its group) of every document that is not the smallest of its group."""
-    docs = two_columns(docs, key, text, "string")
+    docs = two_columns(docs, key, text, "string").where("doc_id IS NOT NULL")
     sketches = materialize(_sketches(docs), "sketches")
     first = materialize(sketches.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc"), "equal-sets")
     marked = materialize(sketches.join(first, "mark", "left").select("doc_id", "keys", F.coalesce("first_doc", "doc_id").alias("first_doc")), "sketches")
@@ -153,5 +153,6 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group, all columns."""
-    gone = materialize(near_duplicate_groups(docs, key, text), "near-copies").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{key}`").cast("bigint") == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "_gone")
+    copies = materialize(near_duplicate_groups(docs, key, text), "near-copies").select(F.col("doc_id").alias(gone))
+    return docs.join(copies, F.col(f"`{key}`").cast("bigint") == F.col(gone), "left_anti")

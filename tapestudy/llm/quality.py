@@ -44,9 +44,8 @@ def _repeat_words(grams: Column, order: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base columns and measures; in-row work only, no shuffle."""
     names = docs.columns
-    clash = set(names) & set(MEASURE_COLUMNS)
-    if clash:
-        docs, names = docs.drop(*clash), [c for c in names if c not in clash]
+    if set(names) & {*MEASURE_COLUMNS, *(f"_{x}" for x in "wlhgop")}:
+        raise ValueError("give only the columns that the measures need; quality_filter keeps the others aside")
     keep = [F.col(f"`{c}`") for c in names]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^", 1)))
@@ -108,6 +107,6 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", by=("lang", "source")
 def quality_filter(docs: DataFrame, by=("lang", "source")) -> DataFrame:
     """The documents that the rules keep, all columns. The measures are computed again beside the text, which so never
     crosses a shuffle."""
-    columns = docs.columns
+    aside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *by, F.col("text"))
     rows = measured(docs.select(*by, "text")).select(*by, *MEASURES)
-    return judged(measured(docs), materialize(adaptive_thresholds(rows, by), "quality-thresholds"), by).where("kept").select(*columns)
+    return judged(measured(aside), materialize(adaptive_thresholds(rows, by), "quality-thresholds"), by).where("kept").select("_row.*")

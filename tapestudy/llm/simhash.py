@@ -11,7 +11,7 @@ Only distinct fingerprints take part; equal ones share the smallest doc_id from
 found with distributed star contractions.
 
 Nulls and edge cases: null and empty texts have fingerprint zero and are linked like any other; texts shorter than a
-shingle count as one shingle; repeated rows get the same component; an empty table gives an empty result.
+shingle count as one shingle; repeated rows get the same component; rows without doc_id link nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,6 +129,8 @@ def _block_masks(radius: int) -> list[int]:
 
 def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = 256) -> DataFrame:
     """Links (a, b) that connect the rows (fp, doc_id) of ``distinct`` as all pairs within the radius do. One row per fp."""
+    if radius > 2:
+        raise ValueError("the way for large buckets covers a radius of up to 2")
     masks = _block_masks(radius)
     keyed = distinct.select("fp", "doc_id", F.explode(F.array(*[
         F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])).alias("k")
@@ -153,9 +155,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = 256) ->
 
     small = (members.where(F.col("n") <= shard).select("band", "value", "fp", "doc_id").repartition("band", "value")
              .sortWithinPartitions("band", "value").mapInArrow(trees, "a bigint, b bigint"))
-    # within radius 2: both fingerprints are at most one bit from a common value
-    if radius > 2:
-        raise ValueError("the way for large buckets covers a radius of up to 2")
+    # within radius 2 both fingerprints are at most one bit from a common value
     hot = members.where(F.col("n") > shard).select("fp", "doc_id").distinct()
     flips = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
     near = hot.select("doc_id", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("between"))
@@ -166,7 +166,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = 256) ->
 
 def near_duplicate_components(prints: DataFrame, radius: int = 2, shard: int = 256) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for rows (doc_id, fp). Reads ``prints`` twice."""
-    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
+    first = materialize(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(first, radius, shard))
     named = first.join(roots, first.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
-    return prints.join(materialize(named, "fingerprint-roots"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(materialize(named, "fingerprint-roots"), "fp", "left").select("doc_id", "fp", "component_id")

@@ -14,7 +14,7 @@ extended to twice their length; what still repeats decides which words go.
 Windows compare by 128 bits (anchor and window hash). Texts cross a shuffle compressed.
 
 Nulls and edge cases: a null text has no words; shorter texts than a window lose nothing; repeated rows with one doc_id do
-not count as repeats of each other; an empty table gives an empty result.
+not count as repeats of each other; rows without doc_id lose nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns, words_of
+from .common import batch_of, text_batches, two_columns, unused, words_of
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -158,7 +158,7 @@ def repeated_windows(docs: DataFrame, compact: DataFrame, min_words: int = 50, g
 
     ``docs`` has doc_id and text, ``compact`` the same rows from _compact. Only documents that lose words are listed."""
     sizes = _Sizes(min_words)
-    one = materialize(_level_one(docs, sizes), "half-windows")
+    one = materialize(_level_one(docs.where("doc_id IS NOT NULL"), sizes), "half-windows")
     firsts = materialize(one.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc"), "copies")
     marked = materialize(one.join(firsts, "mark", "left").select("doc_id", "anchors", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)).alias("copy")), "half-windows")
     places = marked.where("NOT copy").select("doc_id", F.posexplode("anchors").alias("k", "h"))
@@ -229,16 +229,17 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     """``docs`` with the repeated passages cut out of the text; documents of which nothing is left go. Needs rows with a key."""
     columns = docs.columns
     plain = two_columns(docs, key, text, "string")
-    found = materialize(repeated_windows(plain, _compact(plain), min_words), "removed-windows").select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"))
-    joined = docs.join(found, F.col(f"`{key}`").cast("bigint") == F.col("_doc"), "left")
-    same = joined.where("_doc IS NULL").select(*columns)
+    doc, copy, first = unused(docs, "_doc", "_copy", "_starts")
+    found = materialize(repeated_windows(plain, _compact(plain), min_words), "removed-windows").toDF(doc, copy, first)
+    joined = docs.join(found, F.col(f"`{key}`").cast("bigint") == F.col(doc), "left")
+    same = joined.where(F.col(doc).isNull()).select(*columns)
 
     def run(batches):
         for b in batches:
-            texts = [_cut(t or "", bool(c), s, min_words) for t, c, s in zip(*(b.column(x).to_pylist() for x in (text, "_copy", "_starts")))]
+            texts = [_cut(t or "", bool(c), s, min_words) for t, c, s in zip(*(b.column(x).to_pylist() for x in (text, copy, first)))]
             i = b.schema.get_field_index(text)
             out = b.set_column(i, text, pa.array(texts, pa.string())).select(columns)
             yield out.filter(pa.array([t != "" for t in texts]))
 
-    cut = joined.where("_doc IS NOT NULL").select(*columns, "_copy", "_starts").mapInArrow(run, docs.schema)
+    cut = joined.where(F.col(doc).isNotNull()).select(*columns, copy, first).mapInArrow(run, docs.schema)
     return same.unionByName(cut)
