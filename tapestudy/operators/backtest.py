@@ -20,9 +20,10 @@ def signal_backtest(df: DataFrame, cond, *, symbol="symbol", d="d") -> DataFrame
         (F.product(r + 1.0) - 1.0).alias("compounded"))
 
 
-def drift_measures(bars: DataFrame, events: DataFrame, *, symbol="symbol", d="d") -> DataFrame:
+def drift_measures(bars: DataFrame, events: DataFrame, live: bool = False, *, symbol="symbol", d="d") -> DataFrame:
     """J2, the part that no parameter changes: per event the reaction session J, the size of the five prior ranges against the mean range of the twenty prior
-    sessions, the move on J, and the trade from the open of J+1 to the close of J+5. Events without J-20..J+5 are dropped.
+    sessions, the move on J, and the trade from the open of J+1 to the close of J+5. Events without J-20..J+5 are dropped;
+    with ``live`` J is enough, and entry and exit are null as far as they are not known yet.
 
     All bar columns come from one window pass per symbol; events meet them by equality on (symbol, session).
     """
@@ -33,7 +34,7 @@ def drift_measures(bars: DataFrame, events: DataFrame, *, symbol="symbol", d="d"
     last5 = F.collect_list("_span").over(w.rowsBetween(-5, -1))
     rows = rows.withColumns({"_mean20": mean20, "_last5": last5, "_c1": F.lag("close").over(w), "entry_d": F.lead(d).over(w), "entry_open": F.lead("open").over(w),
                              "exit_d": F.lead(d, 5).over(w), "exit_close": F.lead("close", 5).over(w)})
-    rows = rows.filter((F.col("_i") > 20) & F.col("exit_d").isNotNull() & (F.col("_mean20") > 0) & (F.col("_c1") > 0))
+    rows = rows.filter((F.col("_i") > 20) & (F.lit(live) | F.col("exit_d").isNotNull()) & (F.col("_mean20") > 0) & (F.col("_c1") > 0))
     rows = rows.withColumn("ratios", F.transform("_last5", lambda x: x / F.col("_mean20")))
     rows = rows.select(*keys(symbol), F.col(d).alias("session"), F.col("close").alias("j_close"), "entry_d", "entry_open", "exit_d", "exit_close", "ratios",
                        F.array_max("ratios").alias("max_pre_ratio"), (F.aggregate("ratios", F.lit(0.0), lambda a, x: a + x) / 5.0).alias("avg_pre_ratio"),
@@ -49,13 +50,13 @@ def drift_signals(measures: DataFrame, compression: float = 0.7, surprise: float
             "n_of_5": F.size(F.filter("ratios", lambda x: x < compression)) >= n_of_5}[mode]
     side = F.when(F.col("var_j") >= surprise, "long").when(F.col("var_j") <= -surprise, "short")
     raw = change_pct("exit_close", "entry_open")
-    out = measures.withColumns({"direction": side, "raw_ret_pct": raw, "var_j_pct": F.col("var_j") * 100.0}).filter(calm & F.col("direction").isNotNull() & (F.col("entry_open") > 0))
+    out = measures.withColumns({"direction": side, "raw_ret_pct": raw, "var_j_pct": F.col("var_j") * 100.0}).filter(calm & F.col("direction").isNotNull() & (F.col("entry_open").isNull() | (F.col("entry_open") > 0)))
     return out.withColumn("pnl_pct", F.when(F.col("direction") == "long", F.col("raw_ret_pct")).otherwise(-F.col("raw_ret_pct"))).drop("ratios")
 
 
-def pead_signals(bars: DataFrame, events: DataFrame, compression: float = 0.7, surprise: float = 0.10, mode: str = "all", n_of_5: int = 5, *, symbol="symbol", d="d") -> DataFrame:
-    """The signals of every event."""
-    return drift_signals(drift_measures(bars, events, symbol=symbol, d=d), compression, surprise, mode, n_of_5)
+def pead_signals(bars: DataFrame, events: DataFrame, compression: float = 0.7, surprise: float = 0.10, mode: str = "all", n_of_5: int = 5, live: bool = False, *, symbol="symbol", d="d") -> DataFrame:
+    """The signals of every event; with ``live`` also those whose trade is not over."""
+    return drift_signals(drift_measures(bars, events, live, symbol=symbol, d=d), compression, surprise, mode, n_of_5)
 
 
 def pead_backtest(bars: DataFrame, events: DataFrame, universe: DataFrame, *, symbol="symbol", d="d", **params) -> DataFrame:
@@ -173,7 +174,8 @@ def beta_screen(tickers: DataFrame, min_beta: float = 2.0, min_cap: float = 1e9,
 
 def daily_scan(bars: DataFrame, events: DataFrame, asof, window: int = 3, compression: float = 0.7, surprise: float = 0.10, mode: str = "all", *, symbol="symbol", d="d"):
     """Around a day: tickers with an event in the next ``window`` days whose last five ranges are all below the threshold of the mean of the last twenty, and
-    signals of events of the day and the day before. Returns (pre_event, signals). Bars after ``asof`` do not count before the event."""
+    signals of events of the day and the day before, which can be acted on: entry, exit and result are null as far as they lie ahead.
+    Returns (pre_event, signals). Bars after ``asof`` count nowhere."""
     today = F.lit(asof).cast("date")
     near = events.filter(F.col(d).between(F.date_sub(today, window), F.date_add(today, window))).withColumn("days_until", F.datediff(d, today))
     known = bars.filter(F.col(d) <= today)
@@ -183,7 +185,7 @@ def daily_scan(bars: DataFrame, events: DataFrame, asof, window: int = 3, compre
     state = state.select(*keys(symbol), F.try_divide(F.col("_max5"), F.col("_mean")).alias("compression_ratio"))
     pre = near.filter("days_until > 0").join(state, keys(symbol)).filter(F.col("compression_ratio") < compression)
     due = near.filter("days_until BETWEEN -1 AND 0")
-    return pre, pead_signals(bars, due, compression, surprise, mode, symbol=symbol, d=d)
+    return pre, pead_signals(known, due, compression, surprise, mode, live=True, symbol=symbol, d=d)
 
 
 # The wings tried (style, inner or only wing, outer wing) and the verdict limits.

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType
 
 from ..functions.columns import (
     add_minutes, as_col, compare, contains_any, count_where, hhmm, mean_where, median, minute_of_day, truth,
@@ -121,26 +122,32 @@ def exclude_event_window(df: DataFrame, events: DataFrame, before: int = 5, afte
     return df.join(blocked, [*keys(symbol), d], "left_anti")
 
 
-PRICES = ("open", "high", "low", "close")
+# known when a bar or day begins
+KNOWN_AT_OPEN = ("symbol", "ts", "d", "minute_of_day", "freq_min", "open")
 
 
-def ex_ante_mask_intraday(df: DataFrame, at, freq_min: int, mode: str = "generic", *, ts="ts") -> DataFrame:
+def measures(df: DataFrame, keep) -> list[str]:
+    """Columns that hold values of a bar: numbers and collections outside ``keep``; texts and times are keys."""
+    return [f.name for f in df.schema if f.name not in keep and isinstance(f.dataType, (NumericType, BooleanType, MapType, ArrayType, StructType))]
+
+
+def ex_ante_mask_intraday(df: DataFrame, at, freq_min: int, mode: str = "generic", *, ts="ts", keep=KNOWN_AT_OPEN) -> DataFrame:
     """What is known at time ``at`` (a timestamp, its text, or a column): closed bars in full, a bar in progress by its
-    open only, later bars dropped. A bar starting at ``at`` shows its open, or nothing in mode ``before_open``."""
+    keys and open (``keep``) only, later bars dropped. A bar starting at ``at`` shows its open, or nothing in mode ``before_open``."""
     at = at if isinstance(at, Column) else F.lit(at).cast("timestamp_ntz")
     start, end = F.col(ts), add_minutes(ts, freq_min)
     closed = end <= at
     visible = closed | (start < at) | ((start == at) & F.lit(mode != "before_open"))
-    masked = {c: F.when(closed, F.col(c)) for c in PRICES if c in df.columns and c != "open"}
+    masked = {c: F.when(closed, F.col(c)) for c in measures(df, (*keep, ts))}
     return df.filter(visible).withColumns(masked | {"full_candle": closed})
 
 
-def ex_ante_mask_daily(df: DataFrame, at, mode: str = "generic", *, d="d") -> DataFrame:
-    """Earlier days in full; the day itself by its open only (``generic``, ``at_open``) or not at all."""
+def ex_ante_mask_daily(df: DataFrame, at, mode: str = "generic", *, d="d", keep=KNOWN_AT_OPEN) -> DataFrame:
+    """Earlier days in full; the day itself by its keys and open only (``generic``, ``at_open``) or not at all."""
     day = at if isinstance(at, Column) else F.lit(at).cast("date")
     earlier = F.col(d) < day
     same = (F.col(d) == day) & F.lit(mode in ("generic", "at_open"))
-    masked = {c: F.when(earlier, F.col(c)) for c in PRICES if c in df.columns and c != "open"}
+    masked = {c: F.when(earlier, F.col(c)) for c in measures(df, (*keep, d))}
     return df.filter(earlier | same).withColumns(masked | {"full_candle": earlier})
 
 

@@ -36,13 +36,13 @@ def _chunk(t: Column, unit: str) -> Column:
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: str, by=(), right_on: str | None = None, columns=None,
               direction: str = "backward", tolerance=None, allow_exact: bool = True, tie: str = "earlier",
-              chunk: str = "year", right_time: str | None = None, right_unique: bool = False) -> DataFrame:
+              chunk: str | None = None, right_time: str | None = None, right_unique: bool = False) -> DataFrame:
     """For each left row the last right row at or before it (``backward``), the first at or after it
     (``forward``), or the closer of the two (``nearest``).
 
     ``tolerance`` is in days for date keys and in minutes for timestamps. ``tie`` settles equal
     distances. Of several right rows with one key the greatest values win (``right_unique`` says that there is only one). ``right_time`` names a
-    column for the matched time.
+    column for the matched time. Chunks are years of dates or days of timestamps unless ``chunk`` names another unit.
 
     The match is computed once per distinct left key, inside groups of (by, time chunk), and joined back by
     equality. A hot ``by`` value is thereby cut by time, and repeated keys never reach a window. What a
@@ -52,6 +52,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: str, by=(), right_on: st
     right_on = right_on or on
     columns = list(columns) if columns is not None else [c for c in right.columns if c not in (*by, right_on)]
     is_date = isinstance(left.schema[on].dataType, DateType)
+    chunk = chunk or ("year" if is_date else "day")
 
     t = F.col("_t")
     want = left.select(*by, F.col(on).alias("_t")).filter(t.isNotNull()).distinct()

@@ -27,12 +27,25 @@ def chrono_split(df: DataFrame, share: float = 0.7, *, d="d") -> DataFrame:
     return df.join(session_split(df, share, d=d), [d])
 
 
-def assemble(df: DataFrame, names) -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="skip").transform(df)
+def in_sample_medians(df: DataFrame, names) -> dict[str, float]:
+    """The value that stands in for a missing one: the median over the in-sample rows, or 0 if that is missing too. One row comes back."""
+    row = df.filter("in_sample").agg(*[F.percentile(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), 0.5).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    return {c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(names)}
+
+
+def assemble(df: DataFrame, names, fill: dict[str, float]) -> DataFrame:
+    """The feature vector; missing values take those of ``fill``, no row is left out."""
+    filled = df.withColumns({c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(float(fill[c]))) for c in names})
+    return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="error").transform(filled)
+
+
+def last_session(rows: DataFrame) -> int:
+    """The number of sessions: bounds of folds count dates, however many rows a date has."""
+    return rows.agg(F.max("session_no").alias("m")).first()["m"] or 0
 
 
 def time_folds(n: int, k: int = 5):
-    """Bounds (train end, test end) of expanding folds with equally long tests at the end."""
+    """Bounds (train end, test end), in sessions, of expanding folds with equally long tests at the end."""
     size = n // (k + 1)
     first = n - k * size
     return [(first + i * size, first + (i + 1) * size) for i in range(k)] if size else []
@@ -62,6 +75,7 @@ def _importances(model, names):
 class AmplitudeModels:
     """Fitted models by name with one metrics row each; ``best`` has the highest out-of-sample accuracy."""
     names: list
+    fill: dict = field(default_factory=dict)
     classifiers: dict = field(default_factory=dict)
     regressors: dict = field(default_factory=dict)
     metrics: DataFrame | None = None
@@ -75,13 +89,15 @@ def train_amplitude(df: DataFrame, names, share: float = 0.7, trees: int = 50, d
     """K2: a three-class classifier and an amplitude regressor per learner: in- and out-of-sample accuracy, mean absolute error, importances and class
     distributions, with optional time-fold cross-validation."""
     spark = df.sparkSession
-    data = assemble(chrono_split(df, share, d=d), names).select(d, "session_no", "in_sample", "features", F.col("y_cat").cast("double").alias("y_cat"), F.col("y_amp").cast("double").alias("y_amp"))
+    split = chrono_split(df, share, d=d)
+    fill = in_sample_medians(split, names)
+    data = assemble(split, names, fill).select(d, "session_no", "in_sample", "features", F.col("y_cat").cast("double").alias("y_cat"), F.col("y_amp").cast("double").alias("y_amp"))
     data = data.persist()
     train, test = data.filter("in_sample"), data.filter("NOT in_sample")
     n_train, n_test = train.count(), test.count()
     if n_train < min_is or n_test < min_oos:
         raise ValueError(f"not enough sessions: {n_train} in sample, {n_test} out of sample")
-    out = AmplitudeModels(list(names))
+    out = AmplitudeModels(list(names), fill)
     metrics, weights, dist = [], [], None
     for name, (clf, reg) in _learners(trees, depth).items():
         if learners is not None and name not in learners:
@@ -91,7 +107,7 @@ def train_amplitude(df: DataFrame, names, share: float = 0.7, trees: int = 50, d
         acc_is, acc_oos = _accuracy(model.transform(train)), _accuracy(scored)
         mae = amp.transform(test).agg(F.avg(F.abs(F.col("prediction") - F.col("y_amp"))).alias("m")).first()["m"]
         cv = []
-        for end, stop in time_folds(n_train, folds) if folds else []:
+        for end, stop in time_folds(last_session(train), folds) if folds else []:
             fold = clf.fit(train.filter(F.col("session_no") <= end))
             cv.append(_accuracy(fold.transform(train.filter((F.col("session_no") > end) & (F.col("session_no") <= stop)))))
         cv = [c for c in cv if c is not None]
@@ -106,7 +122,9 @@ def train_amplitude(df: DataFrame, names, share: float = 0.7, trees: int = 50, d
     out.best = max(metrics, key=lambda m: (m[2], m[0]))[0]
     out.metrics = spark.createDataFrame([(*m, m[0] == out.best) for m in metrics], "model string, acc_is double, acc_oos double, mae double, n_train long, n_test long, is_reliable boolean, cv_mean double, cv_std double, is_best boolean")
     out.importances = spark.createDataFrame(weights, "model string, feature string, importance double")
-    out.distributions = dist.unionByName(real)
+    kinds = dist.unionByName(real).collect()  # one row per model and class
+    out.distributions = spark.createDataFrame(kinds, "model string, category int, n long")
+    data.unpersist()
     return out
 
 
@@ -114,27 +132,30 @@ def score_latest(models: AmplitudeModels, df: DataFrame, model: str | None = Non
     """K3: class, amplitude and class probabilities of the newest row."""
     name = model or models.best
     newest = df.agg(F.max(d).alias("m")).scalar()
-    row = assemble(df.filter(F.col(d) == newest), models.names)
+    row = assemble(df.filter(F.col(d) == newest), models.names, models.fill)
     out = models.classifiers[name].transform(row).withColumn("category", F.col("prediction").cast("int"))
     prob = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
     out = out.select(d, "features", "category", prob.alias("probabilities"))
     return models.regressors[name].transform(out).select(d, "category", F.col("prediction").alias("amplitude"), "probabilities")
 
 
-def select_features(df: DataFrame, names, n_top: int = 25, folds: int = 5, max_corr: float = 0.95, share: float = 0.7, trees: int = 30, depth: int = 3, min_train: int = 30, *, d="d") -> list[str]:
+def select_features(df: DataFrame, names, n_top: int | None = None, folds: int = 5, max_corr: float = 0.95, share: float = 0.7, trees: int = 30, depth: int = 3, min_train: int = 30, *, d="d") -> list[str]:
     """K4: the features of highest mean importance over expanding time folds of the in-sample rows, without the less important one of every pair
-    correlated beyond ``max_corr``. The greedy pass runs over at most 3 x ``n_top`` names."""
+    correlated beyond ``max_corr``; ``n_top``: only the first ones."""
     names = list(names)
-    rows = assemble(chrono_split(df, share, d=d).filter("in_sample"), names).select("session_no", "features", F.col("y_cat").cast("double").alias("y_cat")).persist()
-    n = rows.count()
+    split = chrono_split(df, share, d=d).filter("in_sample")
+    fill = in_sample_medians(split, names)
+    rows = assemble(split, names, fill).select("session_no", "features", F.col("y_cat").cast("double").alias("y_cat")).persist()
+    n = last_session(rows)
     clf = RandomForestClassifier(labelCol="y_cat", numTrees=trees, maxDepth=depth, seed=SEED)
     ends = [e for e, _ in time_folds(n, folds) if e >= min_train] or [n]
     total = dict.fromkeys(names, 0.0)
     for end in ends:
         for f, w in _importances(clf.fit(rows.filter(F.col("session_no") <= end)), names):
             total[f] += w / len(ends)
-    ranked = sorted(names, key=lambda f: (-total[f], f))[: 3 * n_top]
-    vectors = assemble(chrono_split(df, share, d=d).filter("in_sample").select(*ranked), ranked)
+    ranked = sorted(names, key=lambda f: (-total[f], f))
+    rows.unpersist()
+    vectors = assemble(split.select(*ranked), ranked, fill)
     corr = Correlation.corr(vectors, "features").first()[0].toArray()
     dropped = set()
     for i, a in enumerate(ranked):
@@ -144,20 +165,22 @@ def select_features(df: DataFrame, names, n_top: int = 25, folds: int = 5, max_c
     return [f for f in ranked if f not in dropped][:n_top]
 
 
-def top_features(df: DataFrame, names, n: int = 50, share: float = 0.7, trees: int = 50, depth: int = 3, *, d="d") -> DataFrame:
+def top_features(df: DataFrame, names, n: int | None = None, share: float = 0.7, trees: int = 50, depth: int = 3, *, d="d") -> DataFrame:
     """K5: importance ranking on the in-sample rows for class 2 against the rest."""
     y = F.when(F.col("y_cat") == 2, 1.0).otherwise(0.0).alias("label")
-    rows = assemble(chrono_split(df, share, d=d).filter("in_sample"), names).select("features", y)
+    split = chrono_split(df, share, d=d).filter("in_sample")
+    rows = assemble(split, names, in_sample_medians(split, names)).select("features", y)
     model = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(rows)
     ranked = sorted(_importances(model, names), key=lambda x: (-x[1], x[0]))[:n]
     return df.sparkSession.createDataFrame([(f, float(w), i) for i, (f, w) in enumerate(ranked)], "feature string, importance double, position int")
 
 
-def correlation_ranking(features: DataFrame, sessions: DataFrame, n: int = 50, *, d="d") -> DataFrame:
+def correlation_ranking(features: DataFrame, sessions: DataFrame, n: int | None = None, *, d="d") -> DataFrame:
     """K5 without a model: features by the size of their in-sample correlation with y, from long features and ``rules.rule_sessions``."""
     rows = features.join(sessions.filter("in_sample").select(d, F.col("y").cast("double").alias("y")), [d])
     out = rows.groupBy("feature").agg(pearson("value", "y").alias("corr"))
-    return out.withColumn("abs_corr", F.abs("corr")).orderBy(F.col("abs_corr").desc_nulls_last(), "feature").limit(n)
+    out = out.withColumn("abs_corr", F.abs("corr")).orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
+    return out if n is None else out.limit(n)
 
 
 def binary_strong_classifier(df: DataFrame, names, share: float = 0.7, iterations: int = 30, depth: int = 3, at: float = 0.70, folds: int = 5, *, d="d"):
@@ -167,7 +190,8 @@ def binary_strong_classifier(df: DataFrame, names, share: float = 0.7, iteration
     The calibration is fitted on predictions for in-sample rows the base model of an earlier fold has not seen.
     """
     spark = df.sparkSession
-    rows = assemble(chrono_split(df, share, d=d), names)
+    split = chrono_split(df, share, d=d)
+    rows = assemble(split, names, in_sample_medians(split, names))
     rows = rows.select("session_no", "n_sessions", "in_sample", "features", F.when(F.col("y_cat") == 2, 1.0).otherwise(0.0).alias("label")).persist()
     train, test = rows.filter("in_sample"), rows.filter("NOT in_sample")
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
@@ -176,7 +200,7 @@ def binary_strong_classifier(df: DataFrame, names, share: float = 0.7, iteration
     gbt = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=0.05, weightCol="w", subsamplingRate=0.8, seed=SEED)
     p1 = vector_to_array("probability")[1]
     unseen, fold_rows = None, []
-    for i, (end, stop) in enumerate(time_folds(stats["n"], folds)):
+    for i, (end, stop) in enumerate(time_folds(last_session(train), folds)):
         model = gbt.fit(weighted(train.filter(F.col("session_no") <= end)))
         scored = model.transform(train.filter((F.col("session_no") > end) & (F.col("session_no") <= stop))).select(p1.alias("p"), "label")
         unseen = scored if unseen is None else unseen.unionByName(scored)

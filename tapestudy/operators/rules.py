@@ -23,18 +23,19 @@ MIN_IS, MIN_OOS, MIN_PRECISION = 15, 6, 82.0
 
 
 def rule_sessions(targets: DataFrame, y, is_ratio: float = 0.7, n_windows: int = N_WINDOWS, *, d="d", by=()) -> DataFrame:
-    """One row per session with ``y`` (boolean), its number, ``in_sample`` (first ``is_ratio``), the walk-forward window
-    (1..n, null outside; windows below five sessions are not used) and the number of out-of-sample sessions."""
+    """The rows with ``y`` (boolean), the number of their session, ``in_sample`` (first ``is_ratio``), the walk-forward window
+    (1..n, null outside), its length ``window_sessions`` (windows below five sessions are not used) and the number of
+    out-of-sample sessions. Sessions are the distinct dates (of each ``by`` group), so the numbering is bounded by the calendar."""
     group = keys(by) if by else []
-    rows = targets.withColumns({"y": truth(y), "_all": F.lit(1)})
-    order = Window.partitionBy("_all", *group).orderBy(d)
-    everything = Window.partitionBy("_all", *group)
-    rows = rows.withColumns({"session_no": F.row_number().over(order), "n_sessions": F.count(F.lit(1)).over(everything)})
+    days = targets.select(*group, d).distinct()
+    order, everything = Window.partitionBy(*group).orderBy(d), Window.partitionBy(*group)
+    days = days.withColumns({"session_no": F.row_number().over(order), "n_sessions": F.count(F.lit(1)).over(everything)})
+    rows = targets.withColumn("y", truth(y)).join(days, [*group, d])
     split = F.floor(F.col("n_sessions") * is_ratio)
     size = F.floor(F.col("n_sessions") / (n_windows + 1))
     window = F.floor((F.col("session_no") - 1) / F.when(size > 0, size))
     return rows.withColumns({"in_sample": F.col("session_no") <= split, "oos_sessions": F.col("n_sessions") - split,
-                             "window": F.when((size >= 5) & window.between(1, n_windows), window)}).drop("_all")
+                             "window": F.when((size >= 5) & window.between(1, n_windows), window), "window_sessions": size})
 
 
 def _counter_conditions(n_windows: int) -> dict[str, Column]:
@@ -205,20 +206,46 @@ def combo2_rules(bits: DataFrame, masks: DataFrame, min_is: int = MIN_IS, min_oo
     return out.withColumn("kind", F.concat(F.lit("combo2_"), "op"))
 
 
-# For each size the number of parents whose features are excluded, extra features tried, and parents extended.
+# Fixed values of the beam: for each size the number of parents whose features are excluded, extra features tried, and parents extended.
 BEAM = {3: (5, 15, 10), 4: (3, 10, 3), 5: (2, 8, 2)}
 
 
+def supported_combinations(bits: DataFrame, masks: DataFrame, max_k: int, min_is: int, min_oos: int, n_windows: int, *, by=()):
+    """AND-combinations level by level, (size, counts) from 2 on: a combination with fewer sessions than ``min_is`` in or ``min_oos`` out of
+    sample has no larger one with enough, so only supported ones are extended, each by the features that follow its last one."""
+    group = keys(by) if by else []
+    level = bits.select(*group, "word", F.array("feature").alias("features"), F.array("condition").alias("conditions"), "bits")
+    for k in range(2, max_k + 1):
+        added = bits.select(*group, "word", "feature", "condition", F.col("bits").alias("_more"))
+        wider = level.join(added, [*group, "word"]).filter(F.col("feature") > F.element_at("features", -1))
+        names = F.array_append("features", F.col("feature"))
+        wider = wider.select(*group, "word", names.alias("features"), F.array_append("conditions", F.col("condition")).alias("conditions"),
+                             F.col("bits").bitwiseAND(F.col("_more")).alias("bits"), F.lit("AND").alias("op"), F.concat_ws(" AND ", names).alias("rule_id"))
+        counts = materialize(bitmap_counts(wider, masks, n_windows, by=by).filter((F.col("n_is") >= min_is) & (F.col("n_oos") >= min_oos)), f"combo{k}")
+        yield k, counts
+        if k < max_k:
+            level = materialize(wider.join(counts.select(*group, "rule_id"), [*group, "rule_id"], "left_semi").drop("op", "rule_id"), f"bits{k}")
+
+
 def combo_k_rules(pairs: DataFrame, bits: DataFrame, masks: DataFrame, max_k: int = 5, min_is: int = MIN_IS, min_oos: int = MIN_OOS,
                   min_precision: float | None = MIN_PRECISION, n_windows: int = N_WINDOWS, beam=None, order: DataFrame | None = None, *, by=()) -> DataFrame:
-    """AND-extensions of the best pairs to triples, of the best triples to quadruples and so on. ``order`` ranks the features
-    (feature, position) for the choice of extra ones; by name without it. Equal combinations reached twice are kept once.
+    """AND-combinations of three to ``max_k`` conditions: all with enough occurrences that reach the precision.
+
+    ``beam`` (for example BEAM) asks for the cheaper search that extends only the best pairs to triples, the best triples to quadruples
+    and so on; ``order`` then ranks the features (feature, position) for the choice of extra ones; by name without it. Equal combinations
+    reached twice are kept once.
 
     At most three steps; each is one equality join of a few bitmaps, and each result is written to the shared folder
     before the next step reads it.
     """
     group = keys(by) if by else []
-    beam = beam or BEAM
+    if beam is None:
+        out = None
+        for k, counts in supported_combinations(bits, masks, max_k, min_is, min_oos, n_windows, by=by):
+            if k >= 3:
+                step = passing(rule_metrics(counts, n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision).withColumn("kind", F.lit(f"combo{k}_AND"))
+                out = step if out is None else out.unionByName(step)
+        return out
     part = Window.partitionBy(F.lit(1), *group)
     literals = bits.select(*group, "feature").distinct()
     if order is not None:
@@ -254,24 +281,39 @@ RESULT = ["rule_id", "kind", "op", "features", "conditions", "n_is", "n_oos", "p
 
 
 def search_rules(features: DataFrame, sessions: DataFrame, max_k: int = 3, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float = MIN_PRECISION,
-                 min_per_quarter: float | None = 3.0, order: DataFrame | None = None, n_windows: int = N_WINDOWS, *, d="d", by=()) -> DataFrame:
+                 min_per_quarter: float | None = 3.0, order: DataFrame | None = None, n_windows: int = N_WINDOWS, beam=None, pool: DataFrame | None = None,
+                 dates: bool = False, *, d="d", by=()) -> DataFrame:
     """One-feature rules and combinations together, marked ``actionable`` (precision, occurrences, not suspect, per quarter; the
-    last test only if ``min_per_quarter`` is given) and ranked robust first. The target is in ``sessions.y``."""
+    last test only if ``min_per_quarter`` is given) and ranked robust first. The target is in ``sessions.y``.
+
+    ``pool`` (a frame with a feature column, such as K5's ranking) restricts the features; ``beam`` restricts the combinations beyond pairs;
+    ``dates`` adds ``oos_dates``, the out-of-sample sessions on which a rule holds."""
     group = keys(by) if by else []
+    if pool is not None:
+        features = features.join(pool.select("feature").distinct(), "feature", "left_semi")
     single = univariate_rules(features, sessions, PERCENTILES, min_is, min_oos, min_precision, n_windows, d=d, by=by)
     literals = best_threshold_per_feature(features, sessions, PERCENTILES, min_is, d=d, by=by)
     bits = materialize(literal_bits(features, sessions, literals, d=d, by=by), "bits")
     masks = session_masks(sessions, n_windows, by=by)
     pairs = materialize(combo2_rules(bits, masks, min_is, min_oos, min_precision, n_windows, by=by), "combo2")
-    parts = [single, pairs] + ([combo_k_rules(pairs, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, order=order, by=by)] if max_k >= 3 else [])
+    parts = [single, pairs] + ([combo_k_rules(pairs, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, beam, order, by=by)] if max_k >= 3 else [])
     out = parts[0].select(*group, *RESULT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*group, *RESULT))
     keep = (F.col("precision_oos") >= min_precision) & (F.col("n_oos") >= min_oos) & ~F.col("leakage_suspect")
     if min_per_quarter is not None:
         keep = keep & (F.col("per_quarter_oos") >= min_per_quarter)
-    rank = Window.partitionBy(F.lit(1), *group).orderBy(F.col("is_robust").desc(), F.col("n_windows_valid").desc(), F.col("precision_oos").desc(), F.col("per_quarter_oos").desc(), "kind", "rule_id")
-    return out.withColumns({"actionable": keep, "rank": F.row_number().over(rank)})
+    # the rank within (robust, valid windows) plus the rules before that part: no window over all rules
+    part = ["is_robust", "n_windows_valid"]
+    inner = Window.partitionBy(*group, *part).orderBy(F.col("precision_oos").desc(), F.col("per_quarter_oos").desc(), "kind", "rule_id")
+    before = Window.partitionBy(*group).orderBy(F.col("is_robust").desc(), F.col("n_windows_valid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = out.groupBy(*group, *part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = out.withColumns({"actionable": keep, "_inner": F.row_number().over(inner)}).join(sizes, [*group, *part])
+    out = out.withColumn("rank", (F.col("_inner") + F.col("_before")).cast("int")).drop("_inner", "_before")
+    if dates:
+        held = rule_dates(out, features, sessions, d=d, by=by).groupBy(*group, "rule_id").agg(F.array_sort(F.collect_list(d)).alias("oos_dates"))
+        out = out.join(held, [*group, "rule_id"], "left")
+    return out
 
 
 def grid_sessions(targets: DataFrame, move_thresholds=(0.45, 0.40, 0.35, 0.30), level_caps=(22.0, 21.0, 20.0, 19.0), min_sessions: int = 30, min_positive: int = 20,
@@ -351,12 +393,13 @@ def threshold_sensitivity(features: DataFrame, sessions: DataFrame, percentiles=
         "feature", "percentile", "direction", "threshold", "n_oos", "precision_oos", "lift", "baseline", "is_optimal", "margin_low", "margin_high")
 
 
-def active_rules(rules: DataFrame, features: DataFrame, top: int = 5, min_precision: float = 90.0, min_n: int = 6, asof=None, *, d="d", source="source") -> DataFrame:
-    """Saved rules (precise, frequent enough, not suspect; the best ``top`` per source) whose conditions all hold on the newest
+def active_rules(rules: DataFrame, features: DataFrame, top: int | None = None, min_precision: float = 90.0, min_n: int = 6, asof=None, *, d="d", source="source") -> DataFrame:
+    """Saved rules (precise, frequent enough, not suspect; ``top``: only the best per source) whose conditions all hold on the newest
     session (or the newest up to ``asof``). A condition on a missing feature fails."""
     good = rules.filter((F.col("precision_oos") >= min_precision) & (F.col("n_oos") >= min_n) & ~F.col("leakage_suspect"))
     order = Window.partitionBy(source).orderBy((F.col("precision_oos") == 100.0).desc(), F.col("is_robust").desc(), F.col("precision_oos").desc(), F.col("n_oos").desc(), "rule_id")
-    good = good.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
+    if top is not None:
+        good = good.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
     rows = features if asof is None else features.filter(F.col(d) <= F.lit(asof).cast("date"))
     newest = rows.agg(F.max(d).alias("m")).scalar()
     now = rows.filter(F.col(d) == newest).select("feature", d, "value")

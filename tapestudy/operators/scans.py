@@ -27,6 +27,11 @@ def spread_matches(df: DataFrame, conditions: dict[str, Column], name="signal")
     return df.select("*", F.inline(hits))
 
 
+def best_ranks(ranked: DataFrame, top: int | None) -> DataFrame:
+    """All ranks, or the first ``top`` where the caller asks for a cut."""
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+
+
 def test_signals(matches: DataFrame, target="overnight", min_n: int = 20, min_median: float = 0.15, min_is: float = 55.0, min_oos: float = 48.0,
                  is_ratio: float = 0.7, min_oos_n: int = 6, *, symbol="symbol", d="d", name="signal") -> DataFrame:
     """The first 70 % of a signal's matches against the rest: share of rises, median, kept by size, median and rates; ``actionable``
@@ -90,9 +95,9 @@ def overnight_signals(df: DataFrame, *, symbol="symbol", d="d") -> tuple[DataFra
     return out, s
 
 
-def overnight_signal_scan(df: DataFrame, max_pairs: int = 30, *, symbol="symbol", d="d", **limits) -> DataFrame:
-    """All single signals, and the first ``max_pairs`` passing pairs in declared order. A row's pairs are formed from its own list of
-    signals, without a self-join; every pair is tested before the first ones are taken."""
+def overnight_signal_scan(df: DataFrame, max_pairs: int | None = None, *, symbol="symbol", d="d", **limits) -> DataFrame:
+    """All single signals and all passing pairs (``max_pairs``: only the first ones in declared order). A row's pairs are formed from its own list of
+    signals, without a self-join."""
     rows, signals = overnight_signals(df, symbol=symbol, d=d)
     rows = rows.filter(F.col("overnight").isNotNull())
     newest = F.max(d).over(whole(symbol))
@@ -106,9 +111,10 @@ def overnight_signal_scan(df: DataFrame, max_pairs: int = 30, *, symbol="symbol"
     tested = test_signals(matches, symbol=symbol, d=d, **limits)
     info = matches.groupBy(*keys(symbol), "signal").agg(F.max("kind").alias("kind"), F.max("i").alias("position"), F.max("_newest").alias("_newest"))
     out = tested.join(info, [*keys(symbol), "signal"]).withColumn("active_today", F.col("last_d") == F.col("_newest"))
-    order = Window.partitionBy(*keys(symbol), "kind").orderBy("position")
-    out = out.withColumn("_r", F.row_number().over(order)).filter((F.col("kind") == "single") | (F.col("_r") <= max_pairs))
-    return out.drop("_r", "_newest", "position")
+    if max_pairs is not None:
+        order = Window.partitionBy(*keys(symbol), "kind").orderBy("position")
+        out = out.withColumn("_r", F.row_number().over(order)).filter((F.col("kind") == "single") | (F.col("_r") <= max_pairs)).drop("_r")
+    return out.drop("_newest", "position")
 
 
 def ticker_candidates(df: DataFrame, earnings: DataFrame | None = None, *, symbol="symbol", d="d") -> tuple[DataFrame, dict[str, Column]]:
@@ -161,9 +167,9 @@ def ticker_candidates(df: DataFrame, earnings: DataFrame | None = None, *, symbo
 
 
 def ticker_pattern_scan(df: DataFrame, earnings: DataFrame | None = None, horizons=(1, 2, 3, 4, 5), min_is: int = 20, min_rate: float = 65.0, min_median: float = 2.0,
-                        min_oos: int = 6, top: int = 30, is_ratio: float = 0.7, *, symbol="symbol", d="d") -> DataFrame:
+                        min_oos: int = 6, top: int | None = None, is_ratio: float = 0.7, *, symbol="symbol", d="d") -> DataFrame:
     """Every candidate at J+1..J+5 for every symbol at once: in sample (first 70 % of the rows) one direction at ``min_rate`` and a median of ``min_median``;
-    the out-of-sample share is reported; the best ``top`` per symbol."""
+    the out-of-sample share is reported; ranked per symbol (``top``: only the best)."""
     rows, conditions = ticker_candidates(df, earnings, symbol=symbol, d=d)
     rows = rows.withColumns({"_rn": F.row_number().over(sessions(symbol, d)), "_n": F.count(F.lit(1)).over(whole(symbol))})
     rows = rows.withColumn("_is", F.col("_rn") <= F.floor(F.col("_n") * is_ratio))
@@ -186,7 +192,7 @@ def ticker_pattern_scan(df: DataFrame, earnings: DataFrame | None = None, horizo
     out = out.withColumn("oos_valid", truth(F.col("oos_pct") >= 50))
     order = Window.partitionBy(*keys(symbol)).orderBy(F.col("rate").desc(), "candidate", "horizon")
     out = out.withColumns({"actionable": (F.col("rate") >= 95) & F.col("oos_valid"), "rank": F.row_number().over(order)})
-    return out.filter(F.col("rank") <= top).drop("_u", "_d", "_ou", "_od")
+    return best_ranks(out, top).drop("_u", "_d", "_ou", "_od")
 
 
 def candle_pattern_discovery(df: DataFrame, min_n: int = 3, *, symbol="symbol", d="d") -> DataFrame:
@@ -303,10 +309,10 @@ def level_suffixes(rows: DataFrame, conditions: dict[str, Column], level="level"
     return out.withColumns({"mean": F.try_divide(F.col("_s"), F.col("n")), "positive_rate": F.try_divide(F.col("_p").cast("double"), F.col("n"))}).drop("_s", "_p")
 
 
-def context_scan(df: DataFrame, levels: DataFrame, calendar: DataFrame | None = None, dollar: DataFrame | None = None, min_combo_n: int = 5, samples: int = 30, edge: int = 10, *,
+def context_scan(df: DataFrame, levels: DataFrame, calendar: DataFrame | None = None, dollar: DataFrame | None = None, min_combo_n: int = 5, samples: int | None = None, edge: int = 10, *,
                  symbol="symbol", d="d") -> DataFrame:
-    """Mean move by month, above every level of another series, on macro event days, by the dollar's direction, and combinations of sampled levels
-    (about ``samples`` plus the lowest and highest ``edge``) with a falling dollar or a CPI day; ranked per symbol."""
+    """Mean move by month, above every level of another series, on macro event days, by the dollar's direction, and combinations of all levels
+    (``samples``: about so many, and the lowest and highest ``edge``) with a falling dollar or a CPI day; ranked per symbol."""
     ret = df.select(*keys(symbol), d, change("close", F.lag("close").over(sessions(symbol, d))).alias("ret")).filter("ret IS NOT NULL")
     v = F.col("ret")
     parts = [ret.groupBy(*keys(symbol), F.concat(F.lit("month:"), F.date_format(d, "yyyy-MM")).alias("bucket")).agg(*_summaries(v))]
@@ -328,8 +334,10 @@ def context_scan(df: DataFrame, levels: DataFrame, calendar: DataFrame | None =
     suffix = level_suffixes(rows, conds, symbol=symbol)
     label = F.concat(F.lit("level>="), F.round("level", 4).cast("string"))
     parts.append(suffix.filter("condition = 'alone'").select(*keys(symbol), label.alias("bucket"), "n", "mean", "positive_rate"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_cnt") / samples))
-    sampled = ((F.col("_pos") - 1) % step == 0) | (F.col("_pos") <= edge) | (F.col("_pos") > F.col("_cnt") - edge)
+    sampled = F.lit(True)
+    if samples is not None:
+        step = F.greatest(F.lit(1), F.floor(F.col("_cnt") / samples))
+        sampled = ((F.col("_pos") - 1) % step == 0) | (F.col("_pos") <= edge) | (F.col("_pos") > F.col("_cnt") - edge)
     combo = suffix.filter(sampled & (F.col("n") >= min_combo_n))
     combo_label = F.concat(F.lit("combo:"), label, F.when(F.col("condition") == "alone", "").otherwise(F.concat(F.lit(" & "), F.col("condition"))))
     parts.append(combo.select(*keys(symbol), combo_label.alias("bucket"), "n", "mean", "positive_rate"))
@@ -369,7 +377,7 @@ def tree_column(tree, chosen: dict[str, Column]) -> Column:
     return ~cols[0] if head == "not" else (cols[0] & cols[1] if head == "and" else cols[0] | cols[1])
 
 
-def logic_tree_scan(rows: DataFrame, drivers: dict[str, str], tree=None, labels=("low", "high"), max_assignments: int = 64, min_n: int = 12, top: int = 40, *, symbol="symbol") -> DataFrame:
+def logic_tree_scan(rows: DataFrame, drivers: dict[str, str], tree=None, labels=("low", "high"), max_assignments: int | None = None, min_n: int = 12, top: int | None = None, *, symbol="symbol") -> DataFrame:
     """Every assignment of bucket labels to the drivers through an AND/OR/NOT tree (all drivers joined by AND without one): sample, mean moves, and
     share of openings up and down. ``drivers`` maps a name to its bucket column; ``rows`` has the columns of ``target_moves``.
 
@@ -392,7 +400,7 @@ def logic_tree_scan(rows: DataFrame, drivers: dict[str, str], tree=None, labels=
         F.sum("_n").alias("n"), F.try_divide(F.sum("_up").cast("double"), F.sum("_n_gap")).alias("open_up_prob"), F.try_divide(F.sum("_down").cast("double"), F.sum("_n_gap")).alias("open_down_prob"),
         *[F.try_divide(F.sum(f"_s_{t}"), F.sum(f"_n_{t}")).alias(f"{t}_mean") for t in TARGETS])
     order = Window.partitionBy(*keys(symbol)).orderBy(F.col("n").desc(), F.abs(F.coalesce("plus5d_mean", F.lit(0.0))).desc(), F.abs(F.coalesce("next_close_mean", F.lit(0.0))).desc(), "assignment")
-    return out.filter(F.col("n") >= min_n).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best_ranks(out.filter(F.col("n") >= min_n).withColumn("rank", F.row_number().over(order)), top)
 
 
 def score_scan_rows(rows: DataFrame) -> DataFrame:
@@ -418,8 +426,8 @@ def score_scan_rows(rows: DataFrame) -> DataFrame:
         "priority": F.col("confidence_score") * 0.6 + F.col("magnitude_score") * 0.4}).drop("_mag")
 
 
-def rare_edge_scan(df: DataFrame, features, target, min_n: int = 20, top: int = 50, *, symbol="symbol") -> DataFrame:
-    """Per feature and value: frequency, mean return, and rarity times its size; the best ``top`` per symbol."""
+def rare_edge_scan(df: DataFrame, features, target, min_n: int = 20, top: int | None = None, *, symbol="symbol") -> DataFrame:
+    """Per feature and value: frequency, mean return, and rarity times its size; ranked per symbol (``top``: only the best)."""
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
     total = df.groupBy(*keys(symbol)).agg(F.count(F.lit(1)).alias("_n"))
     out = df.select(*keys(symbol), F.col(target).alias("_t"), F.inline(rows)).filter("value IS NOT NULL").groupBy(*keys(symbol), "feature", "value").agg(
@@ -427,4 +435,4 @@ def rare_edge_scan(df: DataFrame, features, target, min_n: int = 20, top: int =
     out = out.filter(F.col("n") >= min_n).join(total, keys(symbol)).withColumn("freq", ratio("n", "_n")).drop("_n")
     out = out.withColumn("edge_score", (F.lit(1.0) - F.col("freq")) * F.abs("mean_return"))
     order = Window.partitionBy(*keys(symbol)).orderBy(F.col("edge_score").desc(), "feature", "value")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best_ranks(out.withColumn("rank", F.row_number().over(order)), top)

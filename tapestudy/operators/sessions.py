@@ -290,8 +290,14 @@ def horizon_return_from_open(df: DataFrame, minutes: int, cash_hours: bool = Tru
 def time_of_day_edge(df: DataFrame, bars: int = 1, cond=None, min_n: int = 5, zone: str | None = None, *, symbol="symbol", ts="ts", minute="minute_of_day") -> DataFrame:
     """Per clock time the forward return over n bars (the next bars of the symbol, across days): count, mean, share positive, best, worst; ranked by mean. ``cond`` filters
     rows (for example the direction of another series), ``zone`` keeps the opening or closing hour."""
-    w = Window.partitionBy(*keys(symbol)).orderBy(ts)
-    rows = df.withColumn("_r", change(F.lead("close", bars).over(w), "close"))
+    # bars are numbered by day and the days' counts before it, so that no window holds all bars of a symbol
+    day = F.to_date(ts).alias("_day")
+    placed = df.select("*", day).withColumn("_i", F.row_number().over(Window.partitionBy(*keys(symbol), "_day").orderBy(ts)))
+    before = Window.partitionBy(*keys(symbol)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys(symbol), day).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = placed.join(counts, [*keys(symbol), "_day"]).withColumn("_i", F.col("_i") + F.col("_before")).drop("_day", "_before")
+    later = placed.select(*keys(symbol), (F.col("_i") - bars).alias("_i"), F.col("close").alias("_later"))
+    rows = placed.join(later, [*keys(symbol), "_i"], "left").withColumn("_r", change("_later", "close")).drop("_i", "_later")
     if cond is not None:
         rows = rows.filter(truth(cond))
     if zone == "open":

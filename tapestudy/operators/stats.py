@@ -208,7 +208,7 @@ def correlation(a: DataFrame, b: DataFrame, min_n: int = 20, value="var_pct", *,
     return both.groupBy(*keys(symbol)).agg(F.count(F.lit(1)).alias("n"), pearson("_a", "_b").alias("corr")).filter(F.col("n") >= min_n)
 
 
-def correlation_scan(df: DataFrame, market: DataFrame, min_n: int = 30, min_abs: float = 0.05, top: int = 20, tolerance_days: int = 2, *,
+def correlation_scan(df: DataFrame, market: DataFrame, min_n: int = 30, min_abs: float = 0.05, top: int | None = None, tolerance_days: int = 2, *,
                      symbol="symbol", series="series", d="d") -> DataFrame:
     """correlation of each symbol's move with the level of every market series (nearest value within two
     days), strongest first."""
@@ -219,31 +219,38 @@ def correlation_scan(df: DataFrame, market: DataFrame, min_n: int = 30, min_abs:
     out = out.filter((F.col("n") >= min_n) & (size > min_abs)).withColumns({
         "strength": F.when(size > 0.6, "strong").when(size > 0.3, "moderate").otherwise("weak"),
         "rank": F.row_number().over(Window.partitionBy(*keys(symbol)).orderBy(size.desc(), series))})
-    return out.filter(F.col("rank") <= top)
+    return out if top is None else out.filter(F.col("rank") <= top)
 
 
 def correlation_catalog(long: DataFrame, months: int = 7, min_n: int = 20, families: DataFrame | None = None, *, by="series", d="d",
                         value="value") -> DataFrame:
     """F16: correlation of every pair of series over the last months of their common days.
 
-    A series is packed into one row per month, so pairs meet once per month instead of once per day, and the
-    days are unpacked only after the pair's rows are together.
+    A series is packed into one row per month with a bit per day. Pairs first meet on these bits alone, which gives each
+    pair's newest common day; only the last months of a pair are then joined with their values and unpacked.
     """
     s = long.filter(F.col(value).isNotNull())
+    day = F.dayofmonth(d)
     packed = s.groupBy(F.col(by).alias("_k"), F.trunc(d, "month").alias("_m")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.dayofmonth(d).alias("day"), F.col(value).alias("v")))).alias("_days"))
+        F.map_from_entries(F.collect_list(F.struct(day.alias("day"), F.col(value).alias("v")))).alias("_days"),
+        F.bit_or(F.pow(F.lit(2), day).cast("bigint")).alias("_bits"))
     if families is not None:
         packed = packed.join(families.select(F.col(by).alias("_k"), "family"), "_k", "left")
     else:
         packed = packed.withColumn("family", F.lit(None).cast("string"))
-    a = packed.select("_m", F.col("_k").alias("a"), F.col("_days").alias("_da"), F.col("family").alias("_fa"))
-    b = packed.select("_m", F.col("_k").alias("b"), F.col("_days").alias("_db"), F.col("family").alias("_fb"))
-    pairs = a.join(b, "_m").filter((F.col("a") < F.col("b")) & ~truth(F.col("_fa") == F.col("_fb")))
+    a = packed.select("_m", F.col("_k").alias("a"), F.col("_bits").alias("_ba"), F.col("family").alias("_fa"))
+    b = packed.select("_m", F.col("_k").alias("b"), F.col("_bits").alias("_bb"), F.col("family").alias("_fb"))
+    met = a.join(b, "_m").filter((F.col("a") < F.col("b")) & ~truth(F.col("_fa") == F.col("_fb")))
+    met = met.select("a", "b", "_m", F.col("_ba").bitwiseAND(F.col("_bb")).alias("_both")).filter("_both <> 0")
+    newest = F.date_add("_m", F.floor(F.log2("_both")).cast("int") - 1)
+    met = met.withColumn("_newest", F.max(newest).over(Window.partitionBy("a", "b")))
+    met = met.filter(F.col("_m") >= F.trunc(F.add_months("_newest", -months), "month")).select("a", "b", "_m", "_newest")
+    values = packed.select("_m", "_k", "_days")
+    pairs = (met.join(values.select("_m", F.col("_k").alias("a"), F.col("_days").alias("_da")), ["a", "_m"])
+             .join(values.select("_m", F.col("_k").alias("b"), F.col("_days").alias("_db")), ["b", "_m"]))
     shared = F.array_intersect(F.map_keys("_da"), F.map_keys("_db"))
     common = F.transform(shared, lambda k: F.struct(F.date_add("_m", k - 1).alias("d"), F.col("_da")[k].alias("x"), F.col("_db")[k].alias("y")))
-    pairs = pairs.select("a", "b", common.alias("_c")).filter(F.size("_c") > 0)
-    pairs = pairs.withColumn("_newest", F.max(F.array_max(F.transform("_c", lambda r: r["d"]))).over(Window.partitionBy("a", "b")))
-    rows = pairs.select("a", "b", "_newest", F.inline("_c")).filter(F.col("d") >= F.add_months("_newest", -months))
+    rows = pairs.select("a", "b", "_newest", F.inline(common)).filter(F.col("d") >= F.add_months("_newest", -months))
     out = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("corr"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
     return out.filter(F.col("n") >= min_n).withColumn("abs_corr", F.abs("corr"))
 
@@ -358,12 +365,12 @@ def boolean_condition_metric(df: DataFrame, tree, value, *, symbol="symbol") ->
         F.count(F.lit(1)).alias("n"), F.avg(F.when(v > 0, 1.0).otherwise(0.0)).alias("probability"), F.avg(v).alias("mean"))
 
 
-def neutral_next(df: DataFrame, threshold: float = 5.0, top: int = 5, *, symbol="symbol", d="d") -> DataFrame:
-    """after a fall of at least the threshold, the days whose next move was nearest to zero."""
+def neutral_next(df: DataFrame, threshold: float = 5.0, top: int | None = None, *, symbol="symbol", d="d") -> DataFrame:
+    """after a fall of at least the threshold, all days ranked by how near the next move was to zero (``top``: only the first)."""
     rows = df.filter((F.col("var_pct") <= -threshold) & F.col("next_var").isNotNull()).withColumn("abs_next", F.abs("next_var"))
     w = Window.partitionBy(*keys(symbol)).orderBy("abs_next", d)
     rows = rows.withColumns({"rank": F.row_number().over(w), "n_total": F.count(F.lit(1)).over(whole(symbol))})
-    return rows.filter(F.col("rank") <= top)
+    return rows if top is None else rows.filter(F.col("rank") <= top)
 
 
 def open_up_count(df: DataFrame, other: DataFrame, threshold: float, *, symbol="symbol", d="d") -> DataFrame:

@@ -83,16 +83,16 @@ def b9(spark, sf):
     return P.exclude_event_window(bars(spark, sf), earnings(spark, sf))
 
 
-@query("B10_ex_ante_mask_intraday", "symbol ts:s open:f high:f close:f full_candle:b",
-       """SELECT symbol, ts, open, CASE WHEN done THEN high END AS high, CASE WHEN done THEN close END AS close, done AS full_candle
+@query("B10_ex_ante_mask_intraday", "symbol ts:s d:s minute_of_day:i open:f high:f low:f close:f volume:f full_candle:b",
+       """SELECT symbol, ts, d, minute_of_day, open, CASE WHEN done THEN high END AS high, CASE WHEN done THEN low END AS low, CASE WHEN done THEN close END AS close, CASE WHEN done THEN volume END AS volume, done AS full_candle
           FROM (SELECT *, ts + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-15 13:30:00' AS done FROM intraday
                 WHERE ts <= TIMESTAMP '2024-01-15 13:30:00') AS i""", [INTRADAY()])
 def b10(spark, sf):
     return P.ex_ante_mask_intraday(intraday(spark, sf), "2024-01-15 13:30:00", 60)
 
 
-@query("B11_ex_ante_mask_daily", "symbol d:s open:f low:f close:f full_candle:b",
-       """SELECT symbol, d, open, CASE WHEN d < DATE '1998-06-15' THEN low END AS low,
+@query("B11_ex_ante_mask_daily", "symbol d:s open:f high:f low:f close:f volume:f full_candle:b",
+       """SELECT symbol, d, open, CASE WHEN d < DATE '1998-06-15' THEN high END AS high, CASE WHEN d < DATE '1998-06-15' THEN volume END AS volume, CASE WHEN d < DATE '1998-06-15' THEN low END AS low,
           CASE WHEN d < DATE '1998-06-15' THEN close END AS close, d < DATE '1998-06-15' AS full_candle
           FROM bars WHERE d <= DATE '1998-06-15'""", [BARS])
 def b11(spark, sf):

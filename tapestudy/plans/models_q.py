@@ -41,6 +41,33 @@ def k2(spark, sf):
     return M.train_amplitude(rows, names, trees=10, depth=3).metrics
 
 
+MROWS = "mrow AS (SELECT d, CASE WHEN amp >= 60 THEN 2 WHEN amp <= 35 THEN 0 ELSE 1 END AS cat, ins, rn FROM ses WHERE d IN (SELECT d FROM xd))"
+
+
+@query("K2_observed_classes", "category:i n:i", "SELECT cat AS category, count(*) AS n FROM mrow WHERE NOT ins GROUP BY cat", [*RULE_BASE, MROWS])
+def k2_classes(spark, sf):
+    """The observed classes out of sample that the models are measured on."""
+    rows, names = model_rows(spark, sf)
+    return M.train_amplitude(rows, names, trees=4, depth=2, learners=["random_forest"]).distributions.filter("model = 'observed'")
+
+
+@query("K2_split_sizes", "n_train:i n_test:i", "SELECT count(*) FILTER (WHERE ins) AS n_train, count(*) FILTER (WHERE NOT ins) AS n_test FROM mrow", [*RULE_BASE, MROWS])
+def k2_sizes(spark, sf):
+    rows, names = model_rows(spark, sf)
+    return M.train_amplitude(rows, names, trees=4, depth=2, learners=["random_forest"]).metrics
+
+
+@query("K4_fold_rows", "fold:i n_train:i n_test:i",
+       """SELECT k + 1 AS fold, (SELECT count(*) FROM mrow WHERE rn <= first + k * size) AS n_train, (SELECT count(*) FROM mrow WHERE rn > first + k * size AND rn <= first + (k + 1) * size) AS n_test
+          FROM (SELECT CAST(n // 4 AS BIGINT) AS size, CAST(n - 3 * (n // 4) AS BIGINT) AS first FROM (SELECT count(*) AS n FROM mrow WHERE ins) AS a) AS b CROSS JOIN (VALUES (0), (1), (2)) AS q(k)""", [*RULE_BASE, MROWS])
+def k4_folds(spark, sf):
+    """The rows of each expanding fold of K2, K4 and K6."""
+    rows = M.chrono_split(model_rows(spark, sf)[0]).filter("in_sample")
+    folds = M.time_folds(M.last_session(rows), 3)
+    parts = F.inline(F.array(*[F.struct(F.lit(i + 1).alias("fold"), F.lit(a).alias("_a"), F.lit(b).alias("_b")) for i, (a, b) in enumerate(folds)]))
+    return rows.select("session_no", parts).groupBy("fold").agg(F.count_if(F.col("session_no") <= F.col("_a")).alias("n_train"), F.count_if((F.col("session_no") > F.col("_a")) & (F.col("session_no") <= F.col("_b"))).alias("n_test"))
+
+
 @query("K3_score_latest", "d:s category:i amplitude:f")
 def k3(spark, sf):
     rows, names = model_rows(spark, sf)
@@ -177,7 +204,10 @@ def m2(spark, sf):
     base = shared_dir(spark, "scan")
     b = bars(spark, sf)
     b.filter("d < '2000-01-01'").write.parquet(f"{base}/history/batch=base")
-    b.filter("d >= '2000-01-01'").write.parquet(f"{base}/incoming")
-    stream = spark.readStream.schema(b.schema).parquet(f"{base}/incoming")
+    # two micro-batches hold the same days and different symbols
+    late = b.filter("d >= '2000-01-01'")
+    late.filter("symbol < 'N'").coalesce(1).write.parquet(f"{base}/incoming")
+    late.filter("symbol >= 'N'").coalesce(1).write.mode("append").parquet(f"{base}/incoming")
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
     jobs.stream_scan(stream, f"{base}/history", C.engulfing_strict, f"{base}/signals", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/signals")

@@ -120,27 +120,31 @@ def searched(spark, sf, max_k=5):
 
 @query("I11_combo_k_rules", f"{COLS} kind")
 def i11(spark, sf):
+    bits, masks = bits_masks(spark, sf)
+    return R.combo_k_rules(None, R.materialize(bits, "bits"), masks, min_precision=P2)
+
+
+@query("I11_combo_beam", f"{COLS} kind")
+def i11_beam(spark, sf):
     bits, masks = bits_masks(spark, sf)
     bits = R.materialize(bits, "bits")
     pairs = R.materialize(R.combo2_rules(bits, masks, min_precision=P2), "combo2")
-    return R.combo_k_rules(pairs, bits, masks, min_precision=P2)
-
-
-@query("I11_combo3_step", f"{COLS}",
-       SELECT.format(m="met3", p=P2),
-       [*PAIR_BASE, metrics(P2, source="phits"),
-        f"""par AS (SELECT m.rule_id, p.a, p.b, row_number() OVER (ORDER BY p_oos DESC, m.rule_id) AS r FROM met AS m JOIN (SELECT DISTINCT x.feature || ' ' || op || ' ' || y.feature AS rule_id, x.feature AS a, y.feature AS b
-          FROM best AS x JOIN best AS y ON x.feature < y.feature CROSS JOIN (VALUES ('AND'), ('OR')) AS q(op)) AS p ON m.rule_id = p.rule_id WHERE n_is >= 15 AND n_oos >= 6 AND NOT leak AND p_oos >= {P2})""",
-        "ext AS (SELECT feature FROM best WHERE feature NOT IN (SELECT a FROM par WHERE r <= 5) AND feature NOT IN (SELECT b FROM par WHERE r <= 5) ORDER BY feature LIMIT 15)",
-        """trip AS (SELECT DISTINCT list_sort([a, b, feature]) AS fs FROM par CROSS JOIN ext WHERE r <= 10 AND feature <> a AND feature <> b)""",
-        """thits AS (SELECT fs[1] || ' AND ' || fs[2] || ' AND ' || fs[3] AS rule_id, s.* FROM trip JOIN lit AS x ON x.feature = fs[1] AND x.on_ JOIN lit AS y ON y.feature = fs[2] AND y.on_ AND y.d = x.d
-          JOIN lit AS w ON w.feature = fs[3] AND w.on_ AND w.d = x.d JOIN ses AS s ON s.d = x.d)""",
-        metrics(P2, "met3", "thits")])
+    return R.combo_k_rules(pairs, bits, masks, min_precision=P2, beam=R.BEAM)
+
+
+def joined_by_and(k):
+    """SQL of the sessions on which k conditions hold together, for every combination in order."""
+    names = "abcde"[:k]
+    rule = " || ' AND ' || ".join(f"{n}.feature" for n in names)
+    joins = " ".join(f"JOIN lit AS {n} ON {n}.d = {m}.d AND {n}.on_ AND {n}.feature > {m}.feature" for m, n in zip(names, names[1:]))
+    return f"SELECT {rule} AS rule_id, s.* FROM lit AS a {joins} JOIN ses AS s ON s.d = a.d WHERE a.on_"
+
+
+@query("I11_combo3_step", f"{COLS}", SELECT.format(m="met3", p=P2), [*PAIR_BASE, f"thits AS ({joined_by_and(3)})", metrics(P2, "met3", "thits")])
 def i11_triples(spark, sf):
     bits, masks = bits_masks(spark, sf)
     bits = R.materialize(bits, "bits")
-    pairs = R.materialize(R.combo2_rules(bits, masks, min_precision=P2), "combo2")
-    return R.combo_k_rules(pairs, bits, masks, 3, min_precision=P2)
+    return R.combo_k_rules(None, bits, masks, 3, min_precision=P2)
 
 
 @query("I12_search_rules", f"{COLS} kind actionable:b rank:i")
@@ -223,9 +227,9 @@ def i17(spark, sf):
 @query("I18_active_rules", "source rule_id d:s precision_oos:f n_oos:i",
        f"""SELECT source, r.rule_id, x.d, p_oos AS precision_oos, n_oos FROM (SELECT m.*, h.feature, h.dir, h.t, h.dir AS source, row_number() OVER (PARTITION BY h.dir ORDER BY robust DESC, p_oos DESC, n_oos DESC, m.rule_id) AS rn
             FROM met AS m JOIN (SELECT DISTINCT rule_id, feature, dir, t FROM hits) AS h ON m.rule_id = h.rule_id WHERE n_is >= 15 AND n_oos >= 6 AND NOT leak AND p_oos >= {P1}) AS r
-          JOIN xd AS x ON x.feature = r.feature AND x.d = (SELECT max(d) FROM xd) WHERE rn <= 20 AND ((dir = 'above' AND value >= t) OR (dir = 'below' AND value <= t))""",
+          JOIN xd AS x ON x.feature = r.feature AND x.d = (SELECT max(d) FROM xd) WHERE ((dir = 'above' AND value >= t) OR (dir = 'below' AND value <= t))""",
        [*BASE, THR, UHITS, metrics(P1)])
 def i18(spark, sf):
     x, s = prepared(spark, sf)
     rules = R.univariate_rules(x, s, min_precision=P1).withColumn("source", F.col("direction"))
-    return R.active_rules(rules, x, 20, P1)
+    return R.active_rules(rules, x, min_precision=P1)

@@ -58,7 +58,7 @@ def i1(spark, sf):
 @query("I2_overnight_signal_scan", f"{TEST_COLS} kind active_today:b",
        f"""SELECT {TEST_SQL}, kind, last_d = (SELECT max(o.d) FROM ovs AS o WHERE o.symbol = r.symbol AND o.overnight IS NOT NULL) AS active_today FROM (
           SELECT t.*, p.kind, row_number() OVER (PARTITION BY t.symbol, p.kind ORDER BY p.i) AS r FROM tst AS t JOIN (SELECT symbol, signal, max(kind) AS kind, max(i) AS i FROM allsg GROUP BY symbol, signal) AS p
-          ON p.symbol = t.symbol AND p.signal = t.signal) AS r WHERE kind = 'single' OR r <= 30""",
+          ON p.symbol = t.symbol AND p.signal = t.signal) AS r""",
        [*OV_BASE, """allsg AS (SELECT symbol, d, overnight, i, signal, 'single' AS kind FROM sg UNION ALL
           SELECT a.symbol, a.d, a.overnight, a.i * 1000 + b.i, a.signal || ' + ' || b.signal, 'pair' FROM sg AS a JOIN sg AS b ON a.symbol = b.symbol AND a.d = b.d AND a.i < b.i)""", tested("allsg")])
 def i2(spark, sf):
@@ -106,7 +106,7 @@ CAND_LIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c
               SELECT symbol, candidate, horizon, count(v) FILTER (WHERE ins) AS n, count(*) FILTER (WHERE ins AND v > 0) AS u, count(*) FILTER (WHERE ins AND v < 0) AS dn, median(v) FILTER (WHERE ins) AS median_amp,
                 avg(v) FILTER (WHERE ins) AS mean_amp, count(v) FILTER (WHERE NOT is_) AS n_oos, count(*) FILTER (WHERE NOT is_ AND v > 0) AS ou, count(*) FILTER (WHERE NOT is_ AND v < 0) AS od
               FROM (SELECT symbol, candidate, horizon, v, is_, is_ AND v1 IS NOT NULL AS ins FROM (SELECT symbol, unnest({CAND_LIST}) AS candidate, rn <= floor(cnt * CAST(0.7 AS DOUBLE)) AS is_, v1, v2, v3, v4, v5 FROM tk) AS a
-                CROSS JOIN LATERAL (VALUES (1, v1), (2, v2), (3, v3), (4, v4), (5, v5)) AS h(horizon, v)) AS b GROUP BY symbol, candidate, horizon) AS c WHERE n >= 20) AS d WHERE direction IS NOT NULL) AS e) AS f WHERE rank <= 30""",
+                CROSS JOIN LATERAL (VALUES (1, v1), (2, v2), (3, v3), (4, v4), (5, v5)) AS h(horizon, v)) AS b GROUP BY symbol, candidate, horizon) AS c WHERE n >= 20) AS d WHERE direction IS NOT NULL) AS e) AS f""",
        [BARS, EARNINGS, RETURNS, TICK])
 def i3(spark, sf):
     return N.ticker_pattern_scan(bars(spark, sf), earnings(spark, sf))
@@ -178,7 +178,7 @@ CTX = ["rr AS (SELECT symbol, d, var_pct / 100.0 AS ret FROM ret WHERE var_pct I
           UNION ALL SELECT r.symbol, 'macro:' || k AS bucket, {SUMM} FROM rr AS r JOIN (SELECT DISTINCT d, CASE WHEN lower(event) LIKE '%cpi%' THEN 'cpi' ELSE 'fomc' END AS k FROM calendar WHERE lower(event) LIKE '%cpi%' OR lower(event) LIKE '%fomc%') AS c ON c.d = r.d GROUP BY ALL
           UNION ALL SELECT symbol, 'level>=' || CAST(round(level, 4) AS VARCHAR), n, mean, positive_rate FROM sfx WHERE condition = 'alone' AND n > 0
           UNION ALL SELECT symbol, 'combo:level>=' || CAST(round(level, 4) AS VARCHAR) || CASE WHEN condition = 'alone' THEN '' ELSE ' & ' || condition END, n, mean, positive_rate FROM sfx
-          WHERE n >= 5 AND ((pos - 1) % greatest(1, cnt // 30) = 0 OR pos <= 10 OR pos > cnt - 10)""", [BARS, RETURNS, VIX, MARKET, CALENDAR, *CTX])
+          WHERE n >= 5""", [BARS, RETURNS, VIX, MARKET, CALENDAR, *CTX])
 def i19(spark, sf):
     dollar = market(spark, sf).filter("series = '5-LOW'").select(F.col("series").alias("symbol"), "d", F.col("value").alias("close"))
     return N.context_scan(bars(spark, sf), vix(spark, sf), calendar(spark, sf), dollar)
@@ -213,6 +213,19 @@ def i21(spark, sf):
     return tree_scan(spark, sf)
 
 
+@query("I21_logic_tree_all_assignments", "symbol assignment n:i next_close_mean:f rank:i",
+       """SELECT symbol, assignment, n, next_close_mean, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, abs(coalesce(plus5d_mean, 0)) DESC, abs(coalesce(next_close_mean, 0)) DESC, assignment) AS rank FROM (
+          SELECT symbol, 'a=' || o1.x || ' | b=' || o2.x || ' | c=' || o3.x || ' | e=' || o4.x AS assignment, count(*) AS n, avg(next_close) AS next_close_mean, avg(plus5d) AS plus5d_mean
+          FROM (SELECT symbol, d, (lead(close) OVER w - close) / close AS next_close, (lead(close, 5) OVER w - close) / close AS plus5d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)) AS m
+          CROSS JOIN (VALUES ('0'), ('1'), ('2')) AS o1(x) CROSS JOIN (VALUES ('0'), ('1'), ('2')) AS o2(x) CROSS JOIN (VALUES ('0'), ('1'), ('2')) AS o3(x) CROSS JOIN (VALUES ('0'), ('1'), ('2')) AS o4(x)
+          WHERE CAST(day(d) % 3 AS VARCHAR) = o1.x OR (CAST(month(d) % 3 AS VARCHAR) = o2.x AND CAST(year(d) % 3 AS VARCHAR) = o3.x AND NOT (CAST(quarter(d) % 3 AS VARCHAR) = o4.x))
+          GROUP BY symbol, assignment HAVING count(*) >= 12) AS g""", [BARS])
+def i21_all(spark, sf):
+    """Four drivers with three labels: all 81 assignments."""
+    rows = N.target_moves(bars(spark, sf)).withColumns({"k1": (F.dayofmonth("d") % 3).cast("string"), "k2": (F.month("d") % 3).cast("string"), "k3": (F.year("d") % 3).cast("string"), "k4": (F.quarter("d") % 3).cast("string")})
+    return N.logic_tree_scan(rows, {"a": "k1", "b": "k2", "c": "k3", "e": "k4"}, ("or", "a", ("and", "b", ("and", "c", ("not", "e")))), labels=("0", "1", "2"))
+
+
 MAG = "(abs(gap_mean) + abs(intraday_mean) + abs(next_close_mean) + abs(plus3d_mean) + abs(plus5d_mean)) / 5"
 
 

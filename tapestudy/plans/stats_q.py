@@ -299,7 +299,7 @@ def f28(spark, sf):
 
 @query("F29_neutral_next", "symbol rank:i d:s var_pct:f next_var:f n_total:i",
        """SELECT * FROM (SELECT symbol, d, var_pct, next_var, row_number() OVER (PARTITION BY symbol ORDER BY abs(next_var), d) AS rank, count(*) OVER (PARTITION BY symbol) AS n_total
-          FROM ret WHERE var_pct <= -5 AND next_var IS NOT NULL) AS r WHERE rank <= 5""", RET)
+          FROM ret WHERE var_pct <= -5 AND next_var IS NOT NULL) AS r""", RET)
 def f29(spark, sf):
     return A.neutral_next(ret(spark, sf))
 

@@ -27,6 +27,7 @@ INTRADAY_WORDS = ["1min", "5min", "30min", "1hour", "4hour"]
 CHANGE_WORDS = ["dxy", "gold", "spx", "spy", "qqq", "iwm", "oil", "dax", "ftse", "nikkei"]
 
 BAR_COLUMNS = ("time", "open", "high", "low", "close", "volume")
+BAR_ALIASES = {"time": ("date", "datetime", "timestamp"), "volume": ("vol",)}
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 
 
@@ -80,47 +81,99 @@ def normalize_time(df: DataFrame, col: str = "time", *, src_tz: str | None = Non
     return out
 
 
+SEPARATORS = (";", ",", "\t")
+MAX_FIELDS = 64
+
+
+def header_name(text) -> Column:
+    """A column name as files write it: case, blanks, quotes and a byte-order mark do not count."""
+    return F.lower(F.regexp_replace(as_col(text), "^\\ufeff|[\\s\"']", ""))
+
+
+def _heads(spark: SparkSession, path: str, sep: str | None) -> tuple[DataFrame, DataFrame]:
+    """All lines with their file, and one row per file: its first line and separator."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    heads = lines.withColumn("_i", F.monotonically_increasing_id()).filter("_start = 0").groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
+
+    def count(s):
+        return F.length("_head") - F.length(F.replace("_head", F.lit(s)))
+    kind = F.lit(sep) if sep else F.when((count(";") >= count(",")) & (count(";") >= count("\t")) & (count(";") > 0), ";").when((count("\t") > count(",")), "\t").otherwise(",")
+    return lines, heads.withColumn("_sep", kind)
+
+
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """The most frequent of ``; , tab`` in the first lines of the files."""
-    lines = [r.value for r in spark.read.text(path).limit(5).collect()]
-    counts = {s: sum(line.count(s) for line in lines) for s in (";", ",", "\t")}
-    best = max(counts, key=counts.get)
-    return best if counts[best] else ","
+    """The separator of the files' headers; an error if they differ (read_text_table takes each file's own)."""
+    found = sorted(r[0] for r in _heads(spark, path, None)[1].select("_sep").distinct().collect())  # of three at most
+    if len(found) != 1:
+        raise ValueError(f"files below {path} have separators {found}")
+    return found[0]
 
 
-def read_text_table(spark: SparkSession, path: str, columns, sep: str | None = ";") -> DataFrame:
-    """CSV files with a header, every column as text. ``sep=None`` looks at the header lines."""
-    sep = sep or detect_separator(spark, path)
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
-    return spark.read.csv(path, schema=schema, sep=sep, header=True)
+def read_text_table(spark: SparkSession, path: str, columns, sep: str | None = None, *, aliases=None, required=None) -> DataFrame:
+    """Delimited files with a header each, every column as text, and ``_file``.
+
+    Columns are found by name in the header of their own file, so files of one call may differ in order, in further columns and (with
+    ``sep=None``) in the separator. ``aliases`` maps a column to other names it may have. A file without one of the ``required`` columns
+    (all by default) fails the read with its name; other missing columns are null. Lines are records: quoted line breaks are not supported.
+    """
+    aliases = aliases or {}
+    required = set(columns if required is None else required)
+    lines, heads = _heads(spark, path, sep)
+    fields = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
+
+    def cells(text):
+        options = [sep] if sep else SEPARATORS
+        out = None
+        for s in options:
+            parsed = F.from_csv(text, F.lit(fields), {"sep": s, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+            out = F.when(F.col("_sep") == s, parsed) if out is None else out.when(F.col("_sep") == s, parsed)
+        return out
+
+    heads = heads.withColumn("_h", cells("_head"))
+    names = F.array(*[F.coalesce(header_name(F.col(f"_h.c{i}")), F.lit("")) for i in range(MAX_FIELDS)])
+    heads = heads.withColumn("_names", names)
+    places = {}
+    for c in columns:
+        found = F.coalesce(*[F.nullif(F.array_position("_names", F.lit("".join(n.lower().split()))), F.lit(0)) for n in (c, *aliases.get(c, ()))])
+        if c in required:
+            found = F.when(found.isNull(), F.raise_error(F.concat(F.lit(f"no column {c} in "), "_file"))).otherwise(found)
+        places[c] = found
+    heads = heads.select("_file", "_head", "_sep", *[place.cast("int").alias(f"_at{i}") for i, place in enumerate(places.values())])
+    rows = lines.join(heads, "_file").filter((F.col("value") != F.col("_head")) & (F.trim("value") != ""))
+    rows = rows.withColumn("_c", cells("value"))
+    every = F.array(*[F.col(f"_c.c{i}") for i in range(MAX_FIELDS)])
+    return rows.withColumn("_cells", every).select(*[F.get("_cells", F.col(f"_at{i}") - 1).alias(c) for i, c in enumerate(columns)], "_file")
+
+
+def _name_parts(path, group: int) -> Column:
+    """Series name (1) and frequency word (2) of the last ``name[_frequency].csv`` of a path; parts written by Spark lie below such a name."""
+    words = "|".join(sorted(FREQUENCIES, key=len, reverse=True))
+    return F.regexp_extract(as_col(path), rf"(?i)([^/=]+?)(?:_({words}))?\.csv(?:/part-[^/]*)?$", group)
 
 
 def symbol_from_path(path) -> Column:
-    """Series name and bar minutes from names such as ``SPX_30min.csv`` or ``AAPL.csv``."""
-    names = "|".join(sorted(FREQUENCIES, key=len, reverse=True))
-    stem = F.regexp_extract(as_col(path), rf"(?i)([A-Za-z0-9_\-]+?)(?:_(?:{names}))?\.csv", 1)
-    return F.upper(stem)
+    """Series name from file names such as ``SPX_30min.csv``, ``BRK.B_daily.csv`` or ``AAPL.csv``, percent-escapes decoded."""
+    return F.upper(F.url_decode(F.replace(_name_parts(path, 1), F.lit("+"), F.lit("%2B"))))
 
 
 def minutes_from_path(path) -> Column:
-    names = "|".join(sorted(FREQUENCIES, key=len, reverse=True))
-    word = F.lower(F.regexp_extract(as_col(path), rf"(?i)_({names})\.csv", 1))
+    """Bar minutes from the file name; daily without a frequency."""
+    word = F.lower(_name_parts(path, 2))
     out = F.when(word == "", 1440)
     for name, minutes in FREQUENCIES.items():
         out = out.when(word == name, minutes)
     return out
 
 
-def read_bars(spark: SparkSession, path: str, *, sep: str | None = ";", columns=BAR_COLUMNS, src_tz: str | None = None,
+def read_bars(spark: SparkSession, path: str, *, sep: str | None = None, columns=BAR_COLUMNS, src_tz: str | None = None,
               offset_minutes: int = 0) -> DataFrame:
     """A1: many per-series CSV files as one long bar table.
 
-    Columns beyond OHLCV are kept in ``extras``. Files of one call share a column layout; union the
-    results of several calls (or read parquet) for mixed layouts.
+    Columns are found by name in each file (``columns`` may hold the bar columns in any order); those beyond OHLCV are kept in ``extras``.
+    Time and the four prices must be there; volume and extras may be missing in some files.
     """
-    raw = read_text_table(spark, path, columns, sep)
-    raw = raw.withColumns({"symbol": symbol_from_path("_metadata.file_path"),
-                           "freq_min": minutes_from_path("_metadata.file_path")})
+    raw = read_text_table(spark, path, columns, sep, aliases=BAR_ALIASES, required=[c for c in columns if c in ("time", "open", "high", "low", "close")])
+    raw = raw.withColumns({"symbol": symbol_from_path("_file"), "freq_min": minutes_from_path("_file")}).drop("_file")
     typed = normalize_numeric(normalize_time(raw, "time", src_tz=src_tz, offset_minutes=offset_minutes),
                               [c for c in columns if c != "time"])
     extras = [c for c in columns if c not in BAR_COLUMNS]
@@ -135,11 +188,11 @@ def slug_name(name: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in name.strip().lower()).strip("_")
 
 
-def read_calendar(spark: SparkSession, path: str, sep: str | None = ";") -> DataFrame:
+def read_calendar(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A4: the economic calendar, several rows per day."""
     names = ["Date", "Event", "Impact", "Actual", "Estimate", "Options Expiration", "Date earnings top2 companies",
              "Low Activity Period"]
-    raw = normalize_time(read_text_table(spark, path, names, sep), "Date")
+    raw = normalize_time(read_text_table(spark, path, names, sep, required=["Date", "Event"]), "Date")
     return raw.select(F.to_date("ts").alias("d"), F.col("Event").alias("event"), F.lower(F.trim("Impact")).alias("impact"),
                       number("Actual").alias("actual"), number("Estimate").alias("estimate"),
                       F.col("Options Expiration").alias("opex"),
@@ -147,26 +200,26 @@ def read_calendar(spark: SparkSession, path: str, sep: str | None = ";") -> Data
                       F.col("Low Activity Period").alias("low_activity"))
 
 
-def read_earnings(spark: SparkSession, path: str, sep: str | None = ";") -> DataFrame:
+def read_earnings(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A4: per-ticker earnings dates (``date;quarter;type``)."""
-    raw = read_text_table(spark, path, ["date", "quarter", "type"], sep)
-    raw = raw.withColumn("symbol", F.regexp_replace(symbol_from_path("_metadata.file_path"), "_EARNINGS$", ""))
+    raw = read_text_table(spark, path, ["date", "quarter", "type"], sep, required=["date"])
+    raw = raw.withColumn("symbol", F.regexp_replace(symbol_from_path("_file"), "_EARNINGS$", ""))
     return normalize_time(raw, "date").select("symbol", F.to_date("ts").alias("d"), "quarter", "type")
 
 
-def read_earnings_events(spark: SparkSession, path: str, sep: str | None = ";") -> DataFrame:
+def read_earnings_events(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A4: earnings with report timing and surprise."""
-    raw = read_text_table(spark, path, ["date", "timing", "eps_actual", "eps_estimated", "surprise_pct"], sep)
-    raw = raw.withColumn("symbol", symbol_from_path("_metadata.file_path"))
+    raw = read_text_table(spark, path, ["date", "timing", "eps_actual", "eps_estimated", "surprise_pct"], sep, required=["date"])
+    raw = raw.withColumn("symbol", symbol_from_path("_file"))
     out = normalize_numeric(normalize_time(raw, "date"), ["eps_actual", "eps_estimated", "surprise_pct"])
     return out.select("symbol", F.to_date("ts").alias("d"), F.lower(F.trim("timing")).alias("timing"), "eps_actual",
                       "eps_estimated", "surprise_pct")
 
 
-def read_chains(spark: SparkSession, path: str, sep: str | None = ",") -> DataFrame:
+def read_chains(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A4: option-chain snapshots, one file per level; the chain id is the file name, its number the level."""
     names = ["Strike", "CallBid", "CallAsk", "CallDelta", "PutBid", "PutAsk", "PutDelta"]
-    raw = read_text_table(spark, path, names, sep).withColumn("chain_id", symbol_from_path("_metadata.file_path"))
+    raw = read_text_table(spark, path, names, sep).withColumn("chain_id", symbol_from_path("_file"))
     level = F.regexp_replace(F.regexp_extract("chain_id", r"(\d+(?:[._]\d+)?)", 1), "_", ".").try_cast("double")
     out = normalize_numeric(raw, names)
     return out.select("chain_id", level.alias("vix_level"), F.col("Strike").alias("strike"),

@@ -29,12 +29,13 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def stream_scan(bars: DataFrame, history: str, scan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, lookback_days: int = 400, *, d="d"):
+def stream_scan(bars: DataFrame, history: str, scan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, lookback_days: int | None = None, *, symbol="symbol", d="d"):
     """M2: run a scan on every new slice of a bar stream together with the sessions before it.
 
     ``history`` is a parquet folder with ``batch=base`` holding the bars known so far; each micro-batch is added to it as its own ``batch``
-    folder, and the scan's rows for the new days go to ``sink`` under the same batch number. Both writes replace the folder of a
-    repeated batch, so a retry after a failure leaves no duplicates. About 252 sessions (``lookback_days`` calendar days) are read back.
+    folder, and the scan's rows for the new bars (by symbol and day) go to ``sink`` under the same batch number. Both writes replace the folder of a
+    repeated batch, so a retry after a failure leaves no duplicates. The whole history is read back unless ``lookback_days``
+    says how many calendar days the scan looks at.
     """
 
     def one_batch(new: DataFrame, batch_id: int) -> None:
@@ -45,9 +46,9 @@ def stream_scan(bars: DataFrame, history: str, scan: Callable[[DataFrame], DataF
         if first is None:
             return
         earlier = F.col("batch") != str(batch_id)
-        known = spark.read.option("basePath", history).schema(f"{fresh._jdf.schema().toDDL()}, batch string").parquet(history)
-        known = known.filter(earlier & (F.col(d) >= F.date_sub(F.lit(first), lookback_days))).drop("batch")
-        days = fresh.select(d).distinct()
-        scan(known.unionByName(fresh)).join(days, [d], "left_semi").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        known = spark.read.option("basePath", history).schema(fresh.schema.add("batch", "string")).parquet(history)
+        known = known.filter(earlier if lookback_days is None else earlier & (F.col(d) >= F.date_sub(F.lit(first), lookback_days))).drop("batch")
+        new_keys = fresh.select(*keys(symbol), d).distinct()
+        scan(known.unionByName(fresh)).join(new_keys, [*keys(symbol), d], "left_semi").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return bars.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
