@@ -147,12 +147,12 @@ def j9_pre(spark, sf):
 
 
 # bars known on the day of the scan, and trades that are not over
-LIVE = [BARS.replace("bars AS (", "allbars AS (", 1), "bars AS (SELECT * FROM allbars WHERE d <= DATE '1996-06-25')", EARNINGS, DRIFT.replace(" AND exit_d IS NOT NULL", "")]
+LIVE = [BARS.replace("bars AS (", "allbars AS (", 1), "bars AS (SELECT * FROM allbars WHERE d <= DATE '1996-09-18')", EARNINGS, DRIFT.replace(" AND exit_d IS NOT NULL", "")]
 
 
-@query("J9_daily_scan_signals", "symbol d:s session:s direction entry_d:s exit_d:s pnl_pct:f", "SELECT * FROM sig WHERE d IN (DATE '1996-06-24', DATE '1996-06-25')", [*LIVE, PEAD.format(fit="max_pre_ratio < 5.0").replace("0.1", "0.001")])
+@query("J9_daily_scan_signals", "symbol d:s session:s direction entry_d:s exit_d:s pnl_pct:f", "SELECT * FROM sig WHERE d IN (DATE '1996-09-17', DATE '1996-09-18')", [*LIVE, PEAD.format(fit="max_pre_ratio < 5.0").replace("0.1", "0.001")])
 def j9_signals(spark, sf):
-    return T.daily_scan(bars(spark, sf), earnings(spark, sf), "1996-06-25", compression=5.0, surprise=0.001)[1]
+    return T.daily_scan(bars(spark, sf), earnings(spark, sf), "1996-09-18", compression=5.0, surprise=0.001)[1]
 
 
 def nearest(target, name):
