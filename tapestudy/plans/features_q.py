@@ -107,25 +107,24 @@ H5 = {"mom5d": mom("v", 5), "mom20d": mom("v", 20), "z20": z("v", 20, 10), "dist
       "accel5": f"m5 - {lg('m5', 5)}", "vol10": rs("stddev_samp", "m1", 10, 5)}
 
 
-def by_year(features):
-    return features.groupBy("feature", F.year("d").alias("year")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+def known(features):
+    return features.filter(F.col("value").isNotNull())
 
 
-@query("H5_derived_features", "feature year:i n:i mean:f lowest:f highest:f",
-       per_series("SELECT feature, year(d) AS year, count(value) AS n, avg(value) AS mean, min(value) AS lowest, max(value) AS highest FROM (" + " UNION ALL ".join(
-           f"SELECT series || '_{k}' AS feature, d, {e} AS value FROM (SELECT *, {mom('v')} AS m1, {mom('v', 5)} AS m5 FROM filled) AS f" for k, e in H5.items()) + ") AS u GROUP BY feature, year(d)"), LONG)
+@query("H5_derived_features", "feature d:s value:f",
+       per_series("SELECT feature, d, value FROM (" + " UNION ALL ".join(
+           f"SELECT series || '_{k}' AS feature, d, {e} AS value FROM (SELECT *, {mom('v')} AS m1, {mom('v', 5)} AS m5 FROM filled) AS f" for k, e in H5.items()) + ") AS u WHERE value IS NOT NULL"), LONG)
 def h5(spark, sf):
     out = H.derived_features(assets(spark, sf), index(spark, sf))
-    return by_year(out.filter(F.col("feature").rlike("_(" + "|".join(H5) + ")$")))
+    return known(out.filter(F.col("feature").rlike("_(" + "|".join(H5) + ")$")))
 
 
 @query("H5_pct_rank", "feature d:s value:f",
        """SELECT series || '_pct252' AS feature, d, CASE WHEN v IS NOT NULL AND len(seen) >= 60 THEN
           (len(list_filter(seen, lambda x: x < v)) + (len(list_filter(seen, lambda x: x = v)) + 1) / 2.0) / len(seen) * 100.0 END AS value
-          FROM (SELECT *, list(v) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS seen FROM filled WHERE series IN ('vix', 'spx')) AS f""", LONG)
+          FROM (SELECT *, list(v) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS seen FROM filled) AS f""", LONG)
 def h5_rank(spark, sf):
-    two = assets(spark, sf).filter(F.col("series").isin("vix", "spx"))
-    return H.derived_features(two, index(spark, sf)).filter(F.col("feature").endswith("_pct252"))
+    return H.derived_features(assets(spark, sf), index(spark, sf)).filter(F.col("feature").endswith("_pct252"))
 
 
 @query("H6_cross_features", "d:s ratio_vix_vix3m:f ratio_vix_vix3m_z20:f ratio_dxy_gold_z20:f spread_vix3m_vix:f spread_vix3m_vix_z20:f interact_vix_skew_z20:f corr_spx_gold_10d:f corr_vix_spx_20d:f spx_vs_iwm_5d:f",
@@ -152,13 +151,13 @@ H8 = {"lag2": "lag2", "lag10": "lag10", "diff_3_10": "lag3 - lag10", "streak_bul
       "breakout_up10": fl(f"v >= {rs('max', 'v', 10, 5)}"), "breakout_down20": fl(f"v <= {rs('min', 'v', 20, 10)}")}
 
 
-@query("H8_lag_features", "feature year:i n:i mean:f lowest:f highest:f",
-       per_series("SELECT feature, year(d) AS year, count(value) AS n, avg(value) AS mean, min(value) AS lowest, max(value) AS highest FROM (" + " UNION ALL ".join(
+@query("H8_lag_features", "feature d:s value:f",
+       per_series("SELECT feature, d, value FROM (" + " UNION ALL ".join(
            f"SELECT series || '_{k}' AS feature, d, CAST({e} AS DOUBLE) AS value FROM (SELECT *, {fl(f'{mom(chr(118))} > 0')} AS up, coalesce(v > {rs('avg', 'v', 5, 3)}, false) AS a5, coalesce(v > {rs('avg', 'v', 20, 10)}, false) AS a20 FROM filled) AS f"
-           for k, e in H8.items()) + ") AS u GROUP BY feature, year(d)"), ORDER_DAYS)
+           for k, e in H8.items()) + ") AS u WHERE value IS NOT NULL"), ORDER_DAYS)
 def h8(spark, sf):
     out = H.lag_features(assets(spark, sf), vix(spark, sf).select("d"))
-    return by_year(out.filter(F.col("feature").rlike("_(" + "|".join(H8) + ")$")))
+    return known(out.filter(F.col("feature").rlike("_(" + "|".join(H8) + ")$")))
 
 
 @query("H8_lag_interactions", "d:s vix_j1_x_spx_m5:f vix_up3_and_spx_dn3:i skew_j1_x_vix_m3:f",
