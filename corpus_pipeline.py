@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapestudy.llm import mil, neardup, packing, quality, substring
+from tapestudy.llm.common import importable
 from tapestudy.llm.queries import QUALITY_CUT, WORD_VOCABULARY, quality_model
 from tapestudy.sources.shared import materialize
 
@@ -40,10 +41,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, WORD_VOCABULARY)
 
 
-STAGES = [
+STAGES = [(name, importable(stage)) for name, stage in (
     ("quality classifier", quality_classifier), ("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup),
     ("substring dedup", substring_dedup), ("best-fit packing", best_fit_packing),
-]
+)]
 
 #: SQL has no way to train the classifier or to tokenize.
 ORACLE_SQL = None

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from functools import wraps
+from pathlib import Path
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +14,18 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+def importable(job):
+    """The job (spark, ...) with this package on the import path of Python workers, wherever the driver was started."""
+    @wraps(job)
+    def run(spark, *args):
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return job(spark, *args)
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +46,13 @@ def text_batches(batches, text: str, key: str = "doc_id"):
         yield b.column(key).to_pylist(), [t or "" for t in b.column(text).to_pylist()]
 
 
+def keep_first(table: dict, most: int) -> None:
+    """Bounds a table of known words: beyond ``most`` entries only the older half stays, as common words come early."""
+    if len(table) >= most:
+        for k in list(table)[most // 2:]:
+            del table[k]
+
+
 def crc_part(key: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from . import bpe, licenses, lm, mil, packing, quality, simhash, substring, topk, urls
-from .common import crc_part, table
+from .common import crc_part, importable, table
 
 QUERIES = {}
 SQL = {}
@@ -15,7 +15,7 @@ SQL = {}
 
 def register(name, sql=None):
     def wrap(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = importable(fn)
         if sql is not None:
             SQL[name] = sql
         return fn
