@@ -5,7 +5,8 @@ For every prefix of a piece of text there is exactly one token with which its en
 neighbour, the last token of what stands before it, is compatible with it: no merge across their border would have come
 before the merges that build them. Back-pointers then give the ids. Time is linear in the text, whatever its content.
 
-Pieces are white space with the word behind it; as pieces repeat, their ids are kept in a table of bounded size.
+Pieces are white space with what stands behind it up to the next one; as pieces and the words in them repeat, their ids are
+kept in tables of bounded size.
 
 Nulls and edge cases: null and empty texts have no tokens; strings of special tokens in a text become their ids; decoding
 replaces invalid UTF-8 as a lossy decoder does.
@@ -23,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, text_batches, two_columns
+from .common import batch_of, keep_first, text_batches, two_columns
 
 # Unicode white space, and the pattern that cuts a text before the merges.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,7 +60,7 @@ class ByteBPE:
         self.pieces = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.words = regex.compile(PATTERN)
         self._build(ids)
-        self.known, self.pairs = {}, {}
+        self.known, self.kept_words, self.pairs = {}, {}, {}
 
     def _build(self, ids: dict[bytes, int]) -> None:
         """How each token is formed (rank, left, right), and the automaton of those that their own bytes encode to."""
@@ -118,11 +119,18 @@ class ByteBPE:
         return out[::-1]
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t for w in self.words.findall(piece) for t in self.encode_word(w.encode())]
-        found = np.array(ids, "<u4").tobytes()
+        out, kept = [], self.kept_words
+        for word in self.words.findall(piece):
+            ids = kept.get(word)
+            if ids is None:
+                ids = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+                if len(word) < 64:
+                    keep_first(kept, KEPT_PIECES)
+                    kept[word] = ids
+            out.append(ids)
+        found = b"".join(out)
         if len(piece) < 64:
-            if len(self.known) >= KEPT_PIECES:
-                self.known.clear()
+            keep_first(self.known, KEPT_PIECES)
             self.known[piece] = found
         return found
 
