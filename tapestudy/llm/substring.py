@@ -9,7 +9,8 @@ extended to twice their length; what still repeats decides which words go.
   copies so costs one row per copy.
 - Level one is a grouped aggregate over the anchors (about 2 in 27 words) and a join back.
 - Level two sends, per repeated anchor, the hashes of the full windows that chose it. Anchors with up to `group` places are
-  compared within a task, streaming in doc_id order; the rest are spread by full window, aggregated and joined.
+  compared within a task, streaming in doc_id order; the full windows of the rest are aggregated, and each place of such an
+  anchor looks its windows up in what repeats there.
 
 Windows compare by 128 bits (anchor and window hash). Texts cross a shuffle compressed.
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialize
 from .common import batch_of, text_batches, two_columns, unused, words_of
 
+#: Up to so many repeated full windows of one common anchor go to its places as one table; more are joined one by one.
+TABLE = 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -153,7 +156,32 @@ def _compare_groups(batches):
             yield batch_of(schema, *zip(*out))
 
 
-def repeated_windows(docs: DataFrame, compact: DataFrame, min_words: int = 50, group: int = 200) -> DataFrame:
+def _lists(column):
+    """Bounds and flat values of an Arrow list column."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes))), column.flatten()
+
+
+def _look_up(batches):
+    """Rows of anchors with the table (w ascending, a) of their repeated windows: starts of those that a smaller document has."""
+    schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    for b in batches:
+        at, windows = _lists(b.column("windows"))
+        windows = windows.to_numpy()
+        bound, table = _lists(b.column("table"))
+        known, earliest = (table.field(c).to_numpy(zero_copy_only=False) for c in ("w", "a"))
+        out = []
+        for i, (doc, first) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("first").to_pylist())):
+            x, k, e = windows[at[i]:at[i + 1]], known[bound[i]:bound[i + 1]], earliest[bound[i]:bound[i + 1]]
+            place = np.minimum(np.searchsorted(k, x), len(k) - 1)
+            hit = np.flatnonzero((k[place] == x) & (e[place] < doc))
+            if len(hit):
+                out.append((doc, first + hit))
+        if out:
+            yield batch_of(schema, *zip(*out))
+
+
+def repeated_windows(docs: DataFrame, compact: DataFrame, min_words: int = 50, group: int = 10_000) -> DataFrame:
     """doc_id, copy (its whole word sequence belongs to a smaller doc_id), starts of its repeated windows.
 
     ``docs`` has doc_id and text, ``compact`` the same rows from _compact. Only documents that lose words are listed."""
@@ -169,8 +197,13 @@ def repeated_windows(docs: DataFrame, compact: DataFrame, min_words: int = 50, g
             .mapInArrow(_compare_groups, "doc_id bigint, starts array<int>"))
     spread = two.where(F.col("n") > group).select("h", "doc_id", "first", F.posexplode("windows").alias("i", "w"))
     common = materialize(spread.groupBy("h", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "w", "a"), "repeated-windows")
-    far = (spread.join(common, ["h", "w"]).where("doc_id > a").groupBy("doc_id", "h", "first")
-           .agg(F.collect_list((F.col("first") + F.col("i")).cast("int")).alias("starts")).select("doc_id", "starts"))
+    sizes = materialize(common.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "repeated-windows")
+    tables = materialize(common.join(sizes.where(F.col("m") <= TABLE), "h").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("w", "a"))).alias("table")), "window-tables")
+    looked = two.select("h", "doc_id", "first", "windows").join(tables, "h").mapInArrow(_look_up, "doc_id bigint, starts array<int>")
+    wide = materialize(common.join(sizes.where(F.col("m") > TABLE), "h").select("h", "w", "a"), "repeated-windows")
+    joined = (spread.join(wide, ["h", "w"]).where("doc_id > a").groupBy("doc_id", "h", "first")
+              .agg(F.collect_list((F.col("first") + F.col("i")).cast("int")).alias("starts")).select("doc_id", "starts"))
+    far = looked.unionByName(joined)
     starts = near.unionByName(far).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     copies = marked.where("copy").select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     return starts.select("doc_id", F.lit(False).alias("copy"), "starts").unionByName(copies.distinct())
