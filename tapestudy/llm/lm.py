@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns
+from .common import batch_of, keep_first, text_batches, two_columns
 
 END = b""  # no word is empty
-OWN_CLASSES, ENDINGS = 24, 40
+OWN_CLASSES, ENDINGS = 15, 24
 CLASSES = 1 + OWN_CLASSES + ENDINGS  # class 0: the end token
 START = CLASSES  # stands before the first word
-ROWS, FEATURES = 8192, 4
+ROWS, FEATURES = 8192, 3
 BLOCKS = 32
 CHUNK = 8192
-KEPT_WORDS = 400_000
+LIMIT = 15.0
+STEP, RATE = 1024, 0.6
+KEPT_WORDS = 600_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -55,15 +58,11 @@ class Classes:
         return 1 + OWN_CLASSES + zlib.crc32(word[-2:]) % ENDINGS if found is None else found
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
-        known, out = self.known, []
-        for t in tokens:
-            c = known.get(t)
-            if c is None:
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                c = known[t] = zlib.crc32(t) << 8 | self.of(t)
-            out.append(c)
-        return np.array(out, np.int64)
+        keep_first(self.known, KEPT_WORDS)
+        known = self.known
+        for t in set(tokens).difference(known):
+            known[t] = zlib.crc32(t) << 8 | self.of(t)
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
 
 def _histories(codes: np.ndarray, begins: np.ndarray):
@@ -72,42 +71,50 @@ def _histories(codes: np.ndarray, begins: np.ndarray):
     at = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
     before = np.where(at >= 1, np.concatenate(([0], codes[:-1])), START)
     second = np.where(at >= 2, np.concatenate(([0, 0], codes[:-2]))[:n], START)
-    parts = (before & 255, before >> 8 << 8 | 255, (second & 255) << 8 | before & 255, second)
+    # the word before, the classes of the two before, and, skipping one, the word before that
+    parts = (before, (second & 255) << 8 | before & 255, second)
     rows = []
     for i, x in enumerate(parts):
         m = (x.astype(np.uint64) + np.uint64(i + 1)) * MIX[i]
         m ^= m >> np.uint64(32)
         m *= MIX[(i + 1) % 4]
-        rows.append((m >> np.uint64(51)).astype(np.int64))
+        rows.append((m >> np.uint64(51)).astype(np.uint16))
     return np.stack(rows), codes & 255
 
 
-def _chunks(batches, classes: Classes, keep=None):
-    """(keys, codes, begins) of whole documents, CHUNK tokens or one long document at a time."""
-    keys, codes, begins, size = [], [], [], 0
+def _chunks(batches, classes: Classes):
+    """(keys, tokens, codes, begins) of whole documents, CHUNK tokens or one long document at a time."""
+    keys, tokens, begins = [], [], []
     for ids, texts in text_batches(batches, "text"):
         for key, text in zip(ids, texts):
-            c = classes.codes(tokens_of(text))
             keys.append(key)
-            codes.append(c)
-            begins.append(size)
-            size += len(c)
-            if size >= CHUNK:
-                yield keys, np.concatenate(codes), np.array(begins)
-                keys, codes, begins, size = [], [], [], 0
-    if keys:
-        yield keys, np.concatenate(codes), np.array(begins)
-
-
-def _log_softmax(weights, bias, rows):
-    logits = bias + weights[rows[0]]
+            begins.append(len(tokens))
+            tokens += tokens_of(text)
+            if len(tokens) >= CHUNK:
+                yield keys, tokens, classes.codes(tokens), np.array(begins)
+                keys, tokens, begins = [], [], []
+        if keys:
+            yield keys, tokens, classes.codes(tokens), np.array(begins)
+            keys, tokens, begins = [], [], []
+
+
+def _logits(weights, bias, rows):
+    """Weights stay within LIMIT, so that the exponentials of their sums fit 32-bit floats."""
+    logits = weights[rows[0]]
+    more = np.empty_like(logits)
     for r in rows[1:]:
-        logits += weights[r]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits += np.take(weights, r, axis=0, out=more, mode="clip")
+    logits += bias
     return logits
 
 
+def _log_chosen(weights, bias, rows, target):
+    """log P(class | history) of the classes that occur."""
+    logits = _logits(weights, bias, rows)
+    chosen = logits[np.arange(len(target)), target].astype(np.float64)
+    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+
+
 def _follow_gradient(weights, bias, classes: Classes, rate: float):
     """One pass over a task's documents; sends per block of rows the change times how often the row was seen."""
     schema = pa.schema([("block", pa.int32()), ("change", pa.binary()), ("seen", pa.binary())])
@@ -115,19 +122,25 @@ def _follow_gradient(weights, bias, classes: Classes, rate: float):
 
     def run(batches):
         w, seen, norm = weights.copy(), np.zeros(ROWS, np.float32), np.full(ROWS, 1e-3, np.float32)
-        for _, codes, begins in _chunks(batches, classes):
+        for _, _, codes, begins in _chunks(batches, classes):
             rows, target = _histories(codes, begins)
-            for i in range(0, len(target), CHUNK):
-                part, wanted = rows[:, i:i + CHUNK], target[i:i + CHUNK]
-                g = np.exp(_log_softmax(w, bias, part))
+            np.clip(w, -LIMIT, LIMIT, out=w)
+            for i in range(0, len(target), STEP):
+                part, wanted = rows[:, i:i + STEP], target[i:i + STEP]
+                g = _logits(w, bias, part)
+                np.exp(g, out=g)
+                g /= g.sum(axis=1, keepdims=True)
                 g[np.arange(len(wanted)), wanted] -= 1
                 for r in part:
                     order = np.argsort(r, kind="stable")
-                    unique, first, times = np.unique(r[order], return_index=True, return_counts=True)
+                    ranked = r[order]
+                    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                    unique = ranked[first]
                     total = np.add.reduceat(g[order], first, axis=0)
-                    norm[unique] += (total * total).sum(axis=1)
-                    w[unique] -= (rate / np.sqrt(norm[unique]))[:, None] * total
-                    seen[unique] += times
+                    norm[unique] += np.einsum("ij,ij->i", total, total)
+                    total *= (rate / np.sqrt(norm[unique]))[:, None]
+                    w[unique] -= total
+                    seen[unique] += np.diff(np.append(first, len(ranked)))
         if seen.any():
             change = (w - weights).astype(np.float16).reshape(BLOCKS, -1)
             yield batch_of(schema, range(BLOCKS), [x.tobytes() for x in change], [x.tobytes() for x in seen.reshape(BLOCKS, size)])
@@ -152,7 +165,7 @@ def _average(batches):
         yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
 
 
-def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, rounds: int = 2, rate: float = 0.3):
+def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, rounds: int = 2, rate: float = RATE):
     """Weights (ROWS, CLASSES) and bias of the class factor. Every document is in one of the rounds."""
     bias = np.log((class_counts + 1) / (class_counts.sum() + CLASSES)).astype(np.float32)
     weights = np.zeros((ROWS, CLASSES), np.float32)
@@ -163,6 +176,7 @@ def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, r
         weights = weights.copy()
         for r in mean.collect():  # BLOCKS rows of fixed size
             weights.reshape(BLOCKS, -1)[r.block] += np.frombuffer(r.change, np.float32)
+        np.clip(weights, -LIMIT, LIMIT, out=weights)
     return weights, bias
 
 
@@ -222,58 +236,27 @@ def _class_totals(vocab: DataFrame, classes: Classes):
     return n, v
 
 
-def _rare_counts(docs: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
-    """token, doc_id, n of the words outside ``frequent``; a row without token for each document, to tell repeated rows."""
-    schema = pa.schema([("token", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        rows = []
-        for keys, texts in text_batches(batches, "text"):
-            for key, text in zip(keys, texts):
-                rows.append((None, key, 1))
-                found = Counter(t for t in text.encode().lower().split() if t not in frequent)
-                rows += [(t, key, n) for t, n in found.items()]
-                if len(rows) > 20_000:
-                    yield batch_of(schema, *zip(*rows))
-                    rows = []
-        if rows:
-            yield batch_of(schema, *zip(*rows))
-
-    return docs.mapInArrow(run, "token binary, doc_id bigint, n bigint")
-
-
-def _frequent_scores(docs: DataFrame, frequent, classes, weights, bias, class_cost) -> DataFrame:
-    """doc_id, n_tokens, sums over the document: class factor and class size (log10), log10(count + 1) and number of frequent tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("model", pa.float64()), ("logs", pa.float64()), ("known", pa.int64())])
+def _document_rows(docs: DataFrame, frequent, classes, weights, bias, class_cost) -> DataFrame:
+    """One row without token per document: n tokens, class factor and class size (log10), log10(count + 1) and number of its
+    frequent tokens. And one row per document and word outside ``frequent``, with its number."""
+    schema = pa.schema([("token", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("model", pa.float64()), ("logs", pa.float64()), ("known", pa.int64())])
     logs = {w: float(np.log10(n + 1)) for w, n in frequent.items()}
 
     def run(batches):
-        for ids, texts in text_batches(batches, "text"):
-            keys, codes, begins, sums, size = [], [], [], [], 0
-
-            def flush():
-                all_codes = np.concatenate(codes)
-                rows, target = _histories(all_codes, np.array(begins))
-                chosen = np.concatenate([_log_softmax(weights, bias, rows[:, i:i + CHUNK])[np.arange(len(target[i:i + CHUNK])), target[i:i + CHUNK]]
-                                         for i in range(0, len(target), CHUNK)]).astype(np.float64)
-                model = np.add.reduceat(chosen / np.log(10) - class_cost[target], begins)
-                return batch_of(schema, keys, np.diff(np.append(begins, size)), model, [s for s, _ in sums], [k for _, k in sums])
-
-            for key, text in zip(ids, texts):
-                tokens = tokens_of(text)
-                found = [logs[t] for t in tokens if t in logs]
-                keys.append(key)
-                codes.append(classes.codes(tokens))
-                begins.append(size)
-                sums.append((sum(found), len(found)))
-                size += len(tokens)
-                if size >= CHUNK:
-                    yield flush()
-                    keys, codes, begins, sums, size = [], [], [], [], 0
-            if keys:
-                yield flush()
-
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, model double, logs double, known bigint")
+        for keys, tokens, codes, begins in _chunks(batches, classes):
+            rows, target = _histories(codes, begins)
+            chosen = np.concatenate([_log_chosen(weights, bias, rows[:, i:i + CHUNK], target[i:i + CHUNK]) for i in range(0, len(target), CHUNK)])
+            found = np.fromiter(map(logs.get, tokens, repeat(-1.0)), np.float64, len(tokens))
+            known, sizes = found >= 0, np.diff(np.append(begins, len(tokens)))
+            yield batch_of(schema, [None] * len(keys), keys, sizes, np.add.reduceat(chosen / np.log(10) - class_cost[target], begins),
+                           np.add.reduceat(np.where(known, found, 0.0), begins), np.add.reduceat(known.astype(np.int64), begins))
+            at = np.flatnonzero(~known)
+            rare = Counter(zip(map(tokens.__getitem__, at.tolist()), np.repeat(np.arange(len(keys)), sizes)[at].tolist()))
+            if rare:
+                none = [None] * len(rare)
+                yield batch_of(schema, [t for t, _ in rare], [keys[d] for _, d in rare], list(rare.values()), none, none, none)
+
+    return docs.mapInArrow(run, "token binary, doc_id bigint, n bigint, model double, logs double, known bigint")
 
 
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = 200_000) -> DataFrame:
@@ -287,13 +270,15 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     n, v = _class_totals(vocab, classes)
     weights, bias = train_classes(training, classes, n)
     class_cost = np.log10(n + v + 1)
-    sums = materialize(_frequent_scores(docs, common, classes, weights, bias, class_cost), "document-sums")
-    logs = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
-    rare = (_rare_counts(docs, common).join(vocab.select("token", F.col("n").alias("c")), "token", "left").groupBy("doc_id")
-            .agg(F.sum(F.when(F.col("token").isNull(), 1)).alias("rows"), F.sum(F.when(F.col("token").isNotNull(), F.col("n") * logs)).alias("rare_logs"),
-                 F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known")))
-    both = sums.join(rare, "doc_id").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce(F.col("rare_known") / F.col("rows"), F.lit(0))).cast("bigint").alias("n_known"),
-        (F.col("logs") + F.coalesce(F.col("rare_logs") / F.col("rows"), F.lit(0.0))).alias("logs"), "model")
+    rows = materialize(_document_rows(docs, common, classes, weights, bias, class_cost), "document-rows")
+    sums = rows.where("token IS NULL").select("doc_id", F.col("n").alias("n_tokens"), "model", "logs", "known")
+    # words never seen in training add log10(1) = 0
+    rare = (rows.where("token IS NOT NULL").select("token", "doc_id", "n").join(vocab.select("token", F.col("n").alias("c")), "token").groupBy("doc_id")
+            .agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("n").alias("rare_known")))
+    # repeated rows have added their words together
+    times = sums.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    both = sums.join(times, "doc_id").join(rare, "doc_id", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce(F.col("rare_known") / F.col("times"), F.lit(0))).cast("bigint").alias("n_known"),
+        (F.col("logs") + F.coalesce(F.col("rare_logs") / F.col("times"), F.lit(0.0))).alias("logs"), "model")
     return both.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"),
                        (F.col("logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (F.col("logs") + F.col("model")).alias("score"))
