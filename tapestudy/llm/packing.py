@@ -16,24 +16,31 @@ repeated rows are packed separately; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns, words_of
+from .bpe import WHITE
+from .common import batch_of, keep_first, text_batches, two_columns, words_of
 
 CAPACITY = 2048
 END = 0
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
+# Fixed value: how the vocabulary cuts a word into parts before the merges.
+PARTS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
 
 class WordTokens:
-    """Ids of a text from a vocabulary that drops white space: the concatenated ids of its words, kept per word."""
+    """Ids of a text from a vocabulary that drops white space: the concatenated ids of its words, and those of a word the
+    ids of its parts (runs of letters, digits, runs of other signs). Ids of words and parts are kept in bounded tables; new
+    parts are encoded many at a time and told apart by the tokens that end a part."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,23 +48,61 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i:i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)
+        self.known, self.parts = {}, {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 4096):
+            some = parts[i:i + 4096]
+            (ids,) = self._encode([" ".join(some)])
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            each = np.split(ids, cuts)[:-1] if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)) else self._encode(some)
+            self.parts.update(zip(some, (x.tobytes() for x in each)))
+
+    def _learn(self, words) -> None:
+        keep_first(self.parts, KEPT_WORDS)
+        cut, alone, new, known = [], [], {}, self.parts
+        for w in words:
+            s = w.decode()
+            if s.isascii():
+                low = s.lower()
+            else:
+                s = unicodedata.normalize("NFC", s)
+                low = "".join(map(str.lower, s))
+            if len(low) != len(s) or self.mark in s and any(t in s for t in self.special):
+                alone.append(w)
+                continue
+            if low.isalpha():
+                parts = (low,)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                parts = (low[:-1], low[-1])
+            else:
+                parts = PARTS.findall(low)
+            cut.append((w, parts))
+            for p in parts:
+                if p not in known:
+                    new[p] = None
+        self._learn_parts(list(new))
+        for w, parts in cut:
+            self.known[w] = b"".join([self.parts[p] for p in parts])
+        for w, ids in zip(alone, self._encode([w.decode() for w in alone])):
+            self.known[w] = ids.tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        words, out, known = words_of(text), [], self.known
+        words, out = words_of(text), []
         for i in range(0, len(words), 50_000):
             part = words[i:i + 50_000]
-            new = {w for w in part if w not in known}
-            if new:
-                self._learn(list(set(part)) if len(known) + len(new) > KEPT_WORDS else list(new))
+            keep_first(self.known, KEPT_WORDS)
+            known = self.known
+            if new := set(part).difference(known):
+                self._learn(new)
             out += map(known.__getitem__, part)
         return np.frombuffer(b"".join(out), "<u4")
 
