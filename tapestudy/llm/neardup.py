@@ -6,6 +6,8 @@ values each, which bring a pair of similarity 0.8 together with probability abov
 edges within RADIUS bits, and the shingle sets of what it finds are compared exactly. Pairs that are connected already are
 not compared again, so a group of n near copies costs about n comparisons.
 
+Similarity is that of sets, so a fingerprint counts each distinct shingle once, however often a run or line repeats.
+
 Documents with equal shingle sets are one group from the start and take part once. A shard with more than `shard` documents
 becomes several, and each pair of those meets in its own group, so memory stays bounded and no link is lost.
 
@@ -68,7 +70,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for doc, text, shards in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("shards").to_pylist()):
-                h = shingle_hashes(text or "", SHINGLE)
+                h = np.unique(shingle_hashes(text or "", SHINGLE))
                 fp, small = simhash(h), np.unique(h.astype(np.uint32)).tobytes()
                 yield batch_of(schema, *zip(*[(s["key"], s["part"], s["own"], doc, fp, small) for s in shards]))
 

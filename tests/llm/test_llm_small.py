@@ -296,6 +296,24 @@ def test_near_duplicates(spark, docs, none, rows, shard):
         assert kept.where("doc_id IS NULL").count() == 0
 
 
+def test_near_duplicates_with_repeated_runs(spark):
+    """Copies in which a repeated run is shorter and one word is another: every pair of similarity 0.8 is linked."""
+    r = random.Random(23)
+    texts = []
+    for n in (80, 120, 200, 300, 400):
+        for run in (20, 60, 100):
+            w = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            at, changed = r.randrange(n), r.randrange(n)
+            texts.append(" ".join(w[:at] + ["-"] * run + w[at:]))
+            w[changed] = "other"
+            texts.append(" ".join(w[:at] + ["-"] * r.choice((5, 10)) + w[at:]))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert pairs == [(i, i + 1) for i in range(0, len(texts), 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    same(neardup.near_duplicate_groups(df), [(j, i) for i, j in pairs])
+
+
 def test_urls(spark):
     rules = [urls.Rule(*x) for x in [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "", "block"), ("org", "/a", "block")]]
     cases = [("http://EXAMPLE.com/en/x?q#f", "example.com", "/en/x", "example.com/en/", "block"), ("http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),
