@@ -4,7 +4,8 @@ P(word | history) = P(class | history) P(word | class). The class of a frequent
 their ending. The class factor is a softmax over hashed n-gram and skip features of the history; it is trained by
 distributed gradient updates: in each round every task follows the gradient over its documents and sends what it changed,
 weighted by how often each row of weights was seen, and the weights move to the average. The word factor is the softmax of
-one bias per word, log(count + 1), with one place per class for words never seen.
+one bias per word, log(count + 1), with one place per class for words never seen. The hashed rows of weights grow with the
+counted vocabulary (at most `max_rows`), and tasks send only the rows they saw.
 
 Counts cover every training document. The vocabulary is a table that grows with the input and is never collected: words above
 a count cutoff (at most `frequent` of them) go to the tasks, all others meet their counts by a join on the word. Histories
@@ -30,10 +31,10 @@ from ..sources.shared import materialize
 from .common import batch_of, keep_first, text_batches, two_columns
 
 END = b""  # no word is empty
-OWN_CLASSES, ENDINGS = 15, 24
+OWN_CLASSES, ENDINGS = 24, 40
 CLASSES = 1 + OWN_CLASSES + ENDINGS  # class 0: the end token
 START = CLASSES  # stands before the first word
-ROWS, FEATURES = 8192, 3
+ROWS, MAX_ROWS, FEATURES = 8192, 1 << 18, 4  # rows of weights: the least, and what a task has room for
 BLOCKS = 32
 CHUNK = 8192
 LIMIT = 15.0
@@ -65,20 +66,26 @@ class Classes:
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
 
-def _histories(codes: np.ndarray, begins: np.ndarray):
+def rows_for(distinct: int, most: int = MAX_ROWS) -> int:
+    """The power of two that gives every counted word a row, within [ROWS, most]."""
+    return max(ROWS, min(1 << max(distinct - 1, 0).bit_length(), 1 << most.bit_length() - 1))
+
+
+def _histories(codes: np.ndarray, begins: np.ndarray, size: int = ROWS):
     """Feature rows (FEATURES, n) and classes of tokens whose texts begin at ``begins``."""
     n = len(codes)
     at = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
     before = np.where(at >= 1, np.concatenate(([0], codes[:-1])), START)
     second = np.where(at >= 2, np.concatenate(([0, 0], codes[:-2]))[:n], START)
-    # the word before, the classes of the two before, and, skipping one, the word before that
-    parts = (before, (second & 255) << 8 | before & 255, second)
+    # the class and the word before, the classes of the two before, and, skipping one, the word before that
+    parts = (before & 255, before >> 8 << 8 | 255, (second & 255) << 8 | before & 255, second)
+    shift, kind = np.uint64(65 - size.bit_length()), np.uint16 if size <= 1 << 16 else np.uint32
     rows = []
     for i, x in enumerate(parts):
         m = (x.astype(np.uint64) + np.uint64(i + 1)) * MIX[i]
         m ^= m >> np.uint64(32)
         m *= MIX[(i + 1) % 4]
-        rows.append((m >> np.uint64(51)).astype(np.uint16))
+        rows.append((m >> shift).astype(kind))
     return np.stack(rows), codes & 255
 
 
@@ -117,14 +124,15 @@ def _log_chosen(weights, bias, rows, target):
 
 def _follow_gradient(weights, bias, classes: Classes, rate: float):
     """One pass over a task's documents; sends per block of rows the change times how often the row was seen."""
-    schema = pa.schema([("block", pa.int32()), ("change", pa.binary()), ("seen", pa.binary())])
-    size = ROWS // BLOCKS
+    schema = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("change", pa.binary()), ("seen", pa.binary())])
+    size = len(weights) // BLOCKS
 
     def run(batches):
-        w, seen, norm = weights.copy(), np.zeros(ROWS, np.float32), np.full(ROWS, 1e-3, np.float32)
+        w, seen, norm = weights.copy(), np.zeros(len(weights), np.float32), np.full(len(weights), 1e-3, np.float32)
         for _, _, codes, begins in _chunks(batches, classes):
-            rows, target = _histories(codes, begins)
-            np.clip(w, -LIMIT, LIMIT, out=w)
+            rows, target = _histories(codes, begins, len(weights))
+            used = np.unique(rows)
+            w[used] = np.clip(w[used], -LIMIT, LIMIT)
             for i in range(0, len(target), STEP):
                 part, wanted = rows[:, i:i + STEP], target[i:i + STEP]
                 g = _logits(w, bias, part)
@@ -141,40 +149,44 @@ def _follow_gradient(weights, bias, classes: Classes, rate: float):
                     total *= (rate / np.sqrt(norm[unique]))[:, None]
                     w[unique] -= total
                     seen[unique] += np.diff(np.append(first, len(ranked)))
-        if seen.any():
-            change = (w - weights).astype(np.float16).reshape(BLOCKS, -1)
-            yield batch_of(schema, range(BLOCKS), [x.tobytes() for x in change], [x.tobytes() for x in seen.reshape(BLOCKS, size)])
+        for i in range(BLOCKS):
+            at = np.flatnonzero(seen[i * size:(i + 1) * size]) + i * size
+            if len(at):
+                yield batch_of(schema, [i], [(at - i * size).astype(np.int32).tobytes()], [(w[at] - weights[at]).astype(np.float16).tobytes()], [seen[at].tobytes()])
 
     return run
 
 
-def _average(batches):
-    """Per block, the mean change of each row, weighted by how often tasks saw it. Rows come sorted by block."""
+def _average(size: int):
+    """Per block of ``size`` rows, the mean change of each row, weighted by how often tasks saw it. Rows come sorted by block."""
     schema = pa.schema([("block", pa.int32()), ("change", pa.binary())])
-    size, block, total, weight = ROWS // BLOCKS, None, None, None
-    for b in batches:
-        for key, change, seen in zip(b.column("block").to_pylist(), b.column("change").to_pylist(), b.column("seen").to_pylist()):
-            if key != block:
-                if block is not None:
-                    yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
-                block, total, weight = key, np.zeros((size, CLASSES)), np.zeros(size)
-            s = np.frombuffer(seen, np.float32)
-            total += np.frombuffer(change, np.float16).reshape(size, CLASSES).astype(np.float64) * s[:, None]
-            weight += s
-    if block is not None:
-        yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
-
-
-def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, rounds: int = 2, rate: float = RATE):
-    """Weights (ROWS, CLASSES) and bias of the class factor. Every document is in one of the rounds."""
+
+    def run(batches):
+        block, total, weight = None, None, None
+        for b in batches:
+            for key, rows, change, seen in zip(*(b.column(c).to_pylist() for c in ("block", "rows", "change", "seen"))):
+                if key != block:
+                    if block is not None:
+                        yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
+                    block, total, weight = key, np.zeros((size, CLASSES)), np.zeros(size)
+                at, s = np.frombuffer(rows, np.int32), np.frombuffer(seen, np.float32)
+                total[at] += np.frombuffer(change, np.float16).reshape(-1, CLASSES).astype(np.float64) * s[:, None]
+                weight[at] += s
+        if block is not None:
+            yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
+
+    return run
+
+
+def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, rounds: int = 2, rate: float = RATE, size: int = ROWS):
+    """Weights (size, CLASSES) and bias of the class factor. Every document is in one of the rounds."""
     bias = np.log((class_counts + 1) / (class_counts.sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights = np.zeros((size, CLASSES), np.float32)
     for i in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == i)
-        sent = part.mapInArrow(_follow_gradient(weights, bias, classes, rate), "block int, change binary, seen binary")
-        mean = sent.repartition("block").sortWithinPartitions("block").mapInArrow(_average, "block int, change binary")
-        weights = weights.copy()
-        for r in mean.collect():  # BLOCKS rows of fixed size
+        sent = part.mapInArrow(_follow_gradient(weights, bias, classes, rate), "block int, rows binary, change binary, seen binary")
+        mean = sent.repartition("block").sortWithinPartitions("block").mapInArrow(_average(size // BLOCKS), "block int, change binary")
+        for r in mean.toLocalIterator():  # BLOCKS rows, some at a time; the tasks have the weights as they were sent
             weights.reshape(BLOCKS, -1)[r.block] += np.frombuffer(r.change, np.float32)
         np.clip(weights, -LIMIT, LIMIT, out=weights)
     return weights, bias
@@ -244,7 +256,7 @@ def _document_rows(docs: DataFrame, frequent, classes, weights, bias, class_cost
 
     def run(batches):
         for keys, tokens, codes, begins in _chunks(batches, classes):
-            rows, target = _histories(codes, begins)
+            rows, target = _histories(codes, begins, len(weights))
             chosen = np.concatenate([_log_chosen(weights, bias, rows[:, i:i + CHUNK], target[i:i + CHUNK]) for i in range(0, len(target), CHUNK)])
             found = np.fromiter(map(logs.get, tokens, repeat(-1.0)), np.float64, len(tokens))
             known, sizes = found >= 0, np.diff(np.append(begins, len(tokens)))
@@ -259,7 +271,7 @@ def _document_rows(docs: DataFrame, frequent, classes, weights, bias, class_cost
     return docs.mapInArrow(run, "token binary, doc_id bigint, n bigint, model double, logs double, known bigint")
 
 
-def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = 200_000, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, learned from the rows of ``training``."""
     docs, training = (two_columns(x, key, text, "string").where("doc_id IS NOT NULL") for x in (docs, training))
     vocab = materialize(vocabulary(training), "vocabulary")
@@ -268,7 +280,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     own = sorted((w for w in common if w != END), key=lambda w: (-common[w], w))[:OWN_CLASSES]
     classes = Classes(own)
     n, v = _class_totals(vocab, classes)
-    weights, bias = train_classes(training, classes, n)
+    weights, bias = train_classes(training, classes, n, size=rows_for(distinct, max_rows))
     class_cost = np.log10(n + v + 1)
     rows = materialize(_document_rows(docs, common, classes, weights, bias, class_cost), "document-rows")
     sums = rows.where("token IS NULL").select("doc_id", F.col("n").alias("n_tokens"), "model", "logs", "known")

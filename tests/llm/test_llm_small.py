@@ -395,6 +395,16 @@ def test_lm_is_a_distribution():
     assert target.tolist() == [1, classes.of(b"cat"), 2, 0, classes.of(b"cat"), 0]
 
 
+def test_lm_rows_grow():
+    """Words before that the least table cannot tell apart have rows of their own in a larger one."""
+    assert [lm.rows_for(n) for n in (0, 8192, 8193, 100_000)] == [8192, 8192, 16384, 1 << 17]
+    assert lm.rows_for(10**9) == lm.MAX_ROWS and lm.rows_for(100_000, 50_000) == 32768
+    codes = np.array([zlib.crc32(str(i).encode()) << 8 | 30 for i in range(50_000)])
+    few, many = (len(np.unique(lm._histories(codes, np.array([0]), n)[0][1])) for n in (lm.ROWS, lm.rows_for(50_000)))
+    assert few <= 8192 and many > 30_000 and lm.FEATURES == len(lm._histories(codes, np.array([0]))[0]) == 4
+    assert lm.CLASSES == 65
+
+
 def test_lm_learns(spark):
     r = random.Random(9)
     def text(kind):
