@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import bpe, licenses, lm, mil, packing, quality, simhash, substring, topk, urls
+from . import bpe, licenses, lm, mil, packing, quality, simhash, substring, tokenfiles, topk, urls
 from .common import crc_part, importable, table
 
 QUERIES = {}
@@ -162,3 +162,8 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = lm.score(docs, docs.where(crc_part("doc_id", 7) != 2))
     return scored.select("doc_id", (crc_part("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op11_token_files")
+def op11(spark, sf_dir):
+    return tokenfiles.digest(tokenfiles.store(table(spark, sf_dir, "documents"), BYTE_VOCABULARY), spark)
