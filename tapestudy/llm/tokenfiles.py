@@ -44,7 +44,7 @@ from .common import batch_of, keep_first, text_batches, two_columns
 END = 2
 MAGIC, VERSION = b"TAPEIDS\0", 1
 HEADER, FOOTER = "<8sHH32s", "<QQQ8s"
-KEPT_PIECES = 400_000
+KEPT = 700_000
 #: Characters of text that are encoded together.
 TOGETHER = 2_000_000
 LEVEL = 3
@@ -53,9 +53,9 @@ LEVEL = 3
 class PieceIds:
     """Ids of whole texts from a byte-level vocabulary of the tokenizers library.
 
-    A piece is what stands behind a space, up to the next one. If all pieces of a text begin and end with something other than
-    white space, no token reaches over their borders, and the ids of a text are those of its pieces; any other text is cut by
-    a pattern: white space with what stands behind it."""
+    A piece is what stands behind a space or from a line end on, up to the next of them. Where white space comes alone, no token
+    reaches over the borders of pieces, and the ids of a text are those of its pieces; any other text is cut by a pattern:
+    white space with what stands behind it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +71,8 @@ class PieceIds:
         self.kind = np.dtype("<u2" if len(self.sizes) <= 1 << 16 else "<u4")
         self.pattern = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.white = frozenset(c for c in map(chr, range(1 << 14)) if re.match(f"[{WHITE}]", c))
-        self.after, self.exact = {}, {}  # ids of a piece behind a space (none if it cannot stand alone), of a piece as it is
+        self.special = special
+        self.known, self.exact = {}, {}  # ids of a piece with what stands before it (none if it cannot stand alone), of a piece as it is
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -92,39 +93,39 @@ class PieceIds:
                 out += self._each(some)
         return out
 
-    def _learn(self, table: dict, new: set, before: str) -> None:
-        plain, alone = [], []
+    def _learn(self, new: set) -> None:
+        white, plain = self.white, []
         for p in new:
-            if p and p[-1] not in self.white and (p[0] not in self.white if before else p[0] in self.white):
+            if p and p[-1] not in white and (p[0] not in white or p[0] == "\n" and p[1] not in white):
                 plain.append(p)
-            elif not before:
-                alone.append(p)
             else:
-                table[p] = None
-        table.update(zip(plain, self._joined([before + p for p in plain])))
-        table.update(zip(alone, self._each(alone)))
+                self.known[p] = self._each(["\n"])[0] if p == "\n" else None
+        self.known.update(zip(plain, self._joined([p if p[0] == "\n" else " " + p for p in plain])))
 
-    def _missing(self, table: dict, pieces: list[list[str]], before: str) -> None:
-        keep_first(table, KEPT_PIECES)
-        if new := set().union(*pieces).difference(table):
-            self._learn(table, new, before)
+    def _exactly(self, pieces: list[list[str]]) -> None:
+        keep_first(self.exact, KEPT)
+        new = list(set().union(*pieces).difference(self.exact))
+        self.exact.update(zip(new, self._each(new)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the new pieces of all of them are encoded together."""
-        cut = [t.split(" ") for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
         firsts = [c.pop(0) for c in cut]
-        self._missing(self.after, cut, " ")
-        self._missing(self.exact, [firsts], "")
-        after, exact, out, odd = self.after, self.exact, [None] * len(texts), []
-        for i, (first, rest) in enumerate(zip(firsts, cut)):
+        keep_first(self.known, KEPT)
+        if new := set().union(*cut).difference(self.known):
+            self._learn(new)
+        self._exactly([firsts])
+        known, exact, out, odd = self.known, self.exact, [None] * len(texts), []
+        for i, (t, first, rest) in enumerate(zip(texts, firsts, cut)):
+            if any(x in t for x in self.special) or " \n" in t or "\n\n\n" in t or "\n\n " in t or t[-1:] in self.white or rest and first[-1:] in self.white:
+                odd.append(i)
+                continue
             try:
-                if rest and first[-1:] in self.white and first:
-                    raise TypeError
-                out[i] = exact[first] + b"".join(map(after.__getitem__, rest))
+                out[i] = exact[first] + b"".join(map(known.__getitem__, rest))
             except TypeError:
                 odd.append(i)
         pieces = [self.pattern.findall(texts[i]) for i in odd]
-        self._missing(self.exact, pieces, "")
+        self._exactly(pieces)
         for i, p in zip(odd, pieces):
             out[i] = b"".join(map(self.exact.__getitem__, p))
         return [np.frombuffer(x, self.kind) for x in out]
@@ -318,7 +319,7 @@ class TokenFile:
 
 
 def store(docs: DataFrame, vocabulary: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end: int = END, dictionary_size: int = 1 << 16,
-          sample_docs: int = 2000, sample_ids: int = 2048, file_bytes: int = 64 << 20) -> Stored:
+          sample_docs: int = 2000, sample_ids: int = 2048, file_bytes: int = 32 << 20) -> Stored:
     """Writes the ids of every whole text, with ``end`` behind each document, below ``folder`` (a new one in the shared folder if None)."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-ids")
