@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import bpe, licenses, lm, mil, packing, quality, simhash, substring, tokenfiles, topk, urls
+from . import bpe, divergence, licenses, lm, mil, packing, periods, quality, simhash, substring, tokenfiles, topk, urls
 from .common import crc_part, importable, table
 
 QUERIES = {}
@@ -167,3 +167,34 @@ def op9(spark, sf_dir):
 @register("op11_token_files")
 def op11(spark, sf_dir):
     return tokenfiles.digest(tokenfiles.store(table(spark, sf_dir, "documents"), BYTE_VOCABULARY), spark)
+
+
+@register("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periods.run_digest(table(spark, sf_dir, "documents"), change=periods.planted)
+
+
+OP13_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+found AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sizes AS (SELECT lang, source, sum(n) + 2 * count(*) AS below FROM dense GROUP BY lang, source),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // CAST(below AS HUGEINT) AS BIGINT) AS p FROM dense JOIN sizes USING (lang, source)),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // CAST(below AS HUGEINT) AS BIGINT) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term) JOIN (SELECT lang, sum(n) + 2 * count(DISTINCT term) AS below FROM dense GROUP BY lang) USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS v
+         FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(v, 0) AS BIGINT) AS value
+          FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+           UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@register("op13_source_divergence", OP13_SQL)
+def op13(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
