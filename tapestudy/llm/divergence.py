@@ -20,7 +20,7 @@ values of zero; ties go to the smaller item in UTF-8; an empty table gives an em
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialize
 from .common import batch_of, words_of
 
-#: Words that are counted together, rows that are merged together, kept terms that are compared together.
-WORDS, ROWS, TERMS = 1_000_000, 100_000, 2_000
+#: Words and distinct chunks that are counted together, rows that are merged together, kept terms that are compared together.
+WORDS, CHUNKS, ROWS, TERMS = 4_000_000, 500_000, 200_000, 2_000
 SCALE = 1_000_000_000
 # Fixed value: terms are runs of letters of ASCII, lower-cased, and of bytes of all other characters.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -48,36 +48,40 @@ def _packed(rows: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     """All rows of a packed column and the owner of each."""
-    values = b"".join(column.to_pylist())
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
-    rows = np.frombuffer(values, np.dtype(kind))
-    return rows, np.repeat(np.arange(len(column)), sizes // rows.itemsize)
+    offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    item = np.dtype(kind).itemsize
+    rows = np.frombuffer(column.buffers()[2], kind, int(offsets[-1] - offsets[0]) // item, int(offsets[0])) if offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return rows, np.repeat(np.arange(len(column)), np.diff(offsets) // item)
 
 
 def _summed(owner: np.ndarray, counts: np.ndarray):
     """Counts added up by owner and group, sorted."""
-    order = np.lexsort((counts["g"], owner))
-    owner, counts = owner[order], counts[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (counts["g"][1:] != counts["g"][:-1])
-    out = counts[new]
-    if len(out):
-        out["n"] = np.add.reduceat(counts["n"], np.flatnonzero(new))
-    return owner[new], out
+    if not len(owner):
+        return owner, counts
+    many = int(counts["g"].max()) + 1
+    both = owner * many + counts["g"]
+    order = np.argsort(both)
+    both = both[order]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    out = np.empty(len(first), COUNT)
+    out["g"], out["n"] = both[first] % many, np.add.reduceat(counts["n"][order], first)
+    return both[first] // many, out
 
 
 def _some_docs(owner: np.ndarray, docs: np.ndarray, most: int):
     """Up to ``most`` different documents of each owner and language, sorted."""
-    order = np.lexsort((docs["doc"], docs["lang"], owner))
-    owner, docs = owner[order], docs[order]
-    pair = np.ones(len(owner), bool)
-    pair[1:] = (owner[1:] != owner[:-1]) | (docs["lang"][1:] != docs["lang"][:-1])
+    if not len(owner):
+        return owner, docs
+    both = owner * (int(docs["lang"].max()) + 1) + docs["lang"]
+    order = np.lexsort((docs["doc"], both))
+    owner, docs, both = owner[order], docs[order], both[order]
+    pair = np.concatenate(([True], both[1:] != both[:-1]))
     new = pair.copy()
     new[1:] |= docs["doc"][1:] != docs["doc"][:-1]
     owner, docs, pair = owner[new], docs[new], pair[new]
     at = np.arange(len(owner))
-    nth = at - np.maximum.accumulate(np.where(pair, at, 0)) if len(at) else at
-    return owner[nth < most], docs[nth < most]
+    few = at - np.maximum.accumulate(np.where(pair, at, 0)) < most
+    return owner[few], docs[few]
 
 
 def _batches(names: list[bytes], owner_c, counts, owner_d, docs, name: str):
@@ -91,13 +95,12 @@ def _batches(names: list[bytes], owner_c, counts, owner_d, docs, name: str):
 
 def _chunks(docs: DataFrame, groups: dict, languages: list[int], least: int) -> DataFrame:
     """chunk, its counts per group, some of its documents per language: a row per task and slice of WORDS words."""
-    def of_slice(texts, group, first):
+    def of_slice(number, texts, group, first):
         order = np.argsort(group, kind="stable")  # groups are numbered by language: documents of a language stand together
         texts, group = [texts[i] for i in order.tolist()], group[order]
-        number = {w: i for i, w in enumerate(set().union(*texts))}
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-        both, times = np.unique(ids * len(texts) + np.repeat(np.arange(len(texts)), sizes), return_counts=True)
+        both = np.concatenate(texts).astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), sizes)
+        both, times = np.unique(both, return_counts=True)
         chunk, doc = both // len(texts), both % len(texts)
         counts, some = np.empty(len(both), COUNT), np.empty(len(both), DOC)
         counts["g"], counts["n"] = group[doc], times
@@ -107,19 +110,20 @@ def _chunks(docs: DataFrame, groups: dict, languages: list[int], least: int) ->
     def run(batches):
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 32  # a number for every document, the same if the task is repeated
-        texts, group, size = [], [], 0
+        number, texts, group, size = {}, [], [], 0
         for b in batches:
             for pair, text in zip(zip(b.column("lang").to_pylist(), b.column("source").to_pylist()), b.column("text").to_pylist()):
                 words = words_of(text)
-                if texts and size + len(words) > WORDS:
-                    yield from of_slice(texts, np.array(group), np.uint64(row))
-                    row += len(texts)
-                    texts, group, size = [], [], 0
-                texts.append(words)
+                number.update(zip(set(words).difference(number), count(len(number))))
+                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 group.append(groups[pair])
                 size += len(words)
+                if size > WORDS or len(number) > CHUNKS:
+                    yield from of_slice(number, texts, np.array(group), np.uint64(row))
+                    row += len(texts)
+                    number, texts, group, size = {}, [], [], 0
         if texts:
-            yield from of_slice(texts, np.array(group), np.uint64(row))
+            yield from of_slice(number, texts, np.array(group), np.uint64(row))
 
     return docs.mapInArrow(run, "chunk binary, counts binary, docs binary")
 
@@ -127,8 +131,9 @@ def _chunks(docs: DataFrame, groups: dict, languages: list[int], least: int) ->
 def _buffered(batches, rows: int):
     held, size = [], 0
     for b in batches:
-        held.append(b)
-        size += b.num_rows
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
         if size >= rows:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
@@ -137,34 +142,35 @@ def _buffered(batches, rows: int):
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
+    """A column in one piece."""
     column = table.column(name)
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
 def _terms(chunks: DataFrame, least: int) -> DataFrame:
     """term, counts, docs from chunks that come sorted: each distinct chunk is tokenized once."""
     def run(batches):
-        last, terms = None, []
+        last = None, []
         for table in _buffered(batches, ROWS):
-            number, rows, owner, times = {}, [], [], []
-            for i, chunk in enumerate(_column(table, "chunk").to_pylist()):
-                if chunk != last:
-                    found, last = TERM.findall(chunk.lower()), chunk
-                    terms = [(found[0], 1)] if len(found) == 1 else [(t, found.count(t)) for t in set(found)]
-                for t, n in terms:
-                    rows.append(i)
-                    owner.append(number.setdefault(t, len(number)))
-                    times.append(n)
-            if not rows:
-                continue
-            rows, owner, times = (np.array(x, np.int64) for x in (rows, owner, times))
+            chunks = _column(table, "chunk")
+            new = np.concatenate(([True], pc.not_equal(chunks[1:], chunks[:-1]).to_numpy(zero_copy_only=False)))
+            different = chunks.take(pa.array(np.flatnonzero(new))).to_pylist()
+            known = [last[1]] if different[0] == last[0] else []
+            found = known + [TERM.findall(c.lower()) for c in different[len(known):]]
+            last = different[-1], found[-1]
+            flat = list(chain.from_iterable(found))
+            names = list(set(flat))
+            number = dict(zip(names, count()))
+            owner = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            # the terms of each row: those of its chunk, one entry per occurrence in it
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            rows, at = _spread(np.cumsum(new) - 1, np.repeat(np.arange(len(found)), size), len(found))[::-1]
+            owner = owner[at]
             counts, of_c = _unpacked(_column(table, "counts"), COUNT)
             docs, of_d = _unpacked(_column(table, "docs"), DOC)
             at_c, part_c = _spread(rows, of_c, table.num_rows)
             at_d, part_d = _spread(rows, of_d, table.num_rows)
-            counts = counts[at_c].copy()
-            counts["n"] *= times[part_c]
-            yield from _batches(list(number), *_summed(owner[part_c], counts), *_some_docs(owner[part_d], docs[at_d], least), "term")
+            yield from _batches(names, *_summed(owner[part_c], counts[at_c]), *_some_docs(owner[part_d], docs[at_d], least), "term")
 
     return chunks.mapInArrow(run, "term binary, counts binary, docs binary")
 
@@ -277,14 +283,14 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 place = np.full(len(of_lang), -1)
                 place[here] = np.arange(len(here))
                 sel = place[owner] >= 0
-                count = np.zeros((len(here), len(mine)), np.int64)
-                count[place[owner[sel]], rows["g"][sel] - mine[0]] = rows["n"][sel]
-                p = share(count + 2, below[mine])
-                q = share(count.sum(axis=1) + 2, int(totals[mine].sum()) + 2 * int(sizes[x]))
+                times = np.zeros((len(here), len(mine)), np.int64)
+                times[place[owner[sel]], rows["g"][sel] - mine[0]] = rows["n"][sel]
+                p = share(times + 2, below[mine])
+                q = share(times.sum(axis=1) + 2, int(totals[mine].sum()) + 2 * int(sizes[x]))
                 for i, g in enumerate(mine.tolist()):
                     sums = gap(p[:, i:i + 1], p).sum(axis=0)
                     yield batch_of(schema, np.full(len(mine), g), mine, pa.nulls(len(mine), pa.string()), sums)
-                    more = np.flatnonzero((count[:, i] > 0) & (p[:, i] > q))
+                    more = np.flatnonzero((times[:, i] > 0) & (p[:, i] > q))
                     value = gap(p[more, i], q[more])
                     best = sorted(zip((-value).tolist(), [names[here[j]] for j in more.tolist()]))[:top]
                     if best:

@@ -199,12 +199,12 @@ def audit(rows, least, top=10):
 
 @pytest.mark.parametrize("least", [10, 3, 1])
 def test_divergence(docs, none, rows, least):
-    before = divergence.WORDS, divergence.ROWS, divergence.TERMS
-    divergence.WORDS, divergence.ROWS, divergence.TERMS = (300, 7, 5) if least != 10 else before  # many slices and buffers
+    before = divergence.WORDS, divergence.CHUNKS, divergence.ROWS, divergence.TERMS
+    divergence.WORDS, divergence.CHUNKS, divergence.ROWS, divergence.TERMS = (300, 1000, 7, 5) if least != 10 else before  # many slices and buffers
     try:
         same(divergence.divergence(docs, least=least), audit(rows, least))
     finally:
-        divergence.WORDS, divergence.ROWS, divergence.TERMS = before
+        divergence.WORDS, divergence.CHUNKS, divergence.ROWS, divergence.TERMS = before
     assert divergence.divergence(none).count() == 0
 
 
