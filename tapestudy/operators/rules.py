@@ -10,6 +10,8 @@ among the thresholds, and only those few slot counts are spread over the rules;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,41 +192,122 @@ def bitmap_counts(rules: DataFrame, masks: DataFrame, n_windows: int = N_WINDOWS
     return rows.groupBy(*group, *keep).agg(*counted, F.max("oos_sessions").alias("oos_sessions"), F.first("features").alias("features"), F.first("conditions").alias("conditions"))
 
 
+#: The four counters that decide whether a rule passes; the others are counted for passing rules alone.
+DECIDING = ("n_is", "h_is", "n_oos", "h_oos")
+#: Features are dealt into so many blocks, and pairs meet per pair of blocks and word.
+BLOCKS = 8
+
+
+def needed_hits(min_oos: int, min_precision: float | None) -> int:
+    """The out-of-sample hits that every passing rule has: at least ``min_precision`` of at least ``min_oos`` occurrences. A
+    conjunction can only lose hits, so one with fewer has no extension that passes."""
+    return 0 if min_precision is None else math.ceil(min_oos * min_precision / 100.0 - 1e-9)
+
+
+def _decided(rows: DataFrame, masks: DataFrame, rule, *first, by=(), words: bool = False) -> DataFrame:
+    """The deciding counters of (rule, word, bits), with the bitmaps as one array of (word, bits) if ``words``: as long as the calendar."""
+    group = keys(by) if by else []
+    rows = rows.join(masks.select(*group, "word", *[f"m_{k}" for k in DECIDING], "oos_sessions"), [*group, "word"])
+    counted = [F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col(f"m_{k}")))).alias(k) for k in DECIDING]
+    kept = [F.collect_list(F.struct("word", "bits")).alias("words")] if words else []
+    return rows.groupBy(*group, *rule).agg(*counted, F.max("oos_sessions").alias("oos_sessions"), *[F.first(c).alias(c) for c in first], *kept)
+
+
+def _may_pass(min_is: int, min_oos: int, min_precision: float | None) -> Column:
+    """``passing`` from the deciding counters alone."""
+    ok = (F.col("n_is") >= min_is) & (F.col("n_oos") >= min_oos)
+    if min_precision is None:
+        return ok
+    p_is, p_oos = ratio("h_is", "n_is") * 100.0, ratio("h_oos", "n_oos") * 100.0
+    return ok & ~truth((p_oos - p_is > 30) & (F.col("n_oos") < 20)) & truth(p_oos >= min_precision)
+
+
+def _dealt(rows: DataFrame, feature, mine: str, other: str) -> DataFrame:
+    """Rows with the block of their feature and a copy for every block of the other side: two features meet in one place."""
+    return rows.withColumns({mine: F.pmod(F.xxhash64(feature), F.lit(BLOCKS)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))})
+
+
 def combo2_rules(bits: DataFrame, masks: DataFrame, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float | None = MIN_PRECISION,
                  n_windows: int = N_WINDOWS, *, by=()) -> DataFrame:
-    """Every pair of conditions, joined by AND and by OR. ``bits`` are the bitmaps of the chosen conditions (a few dozen)."""
+    """Every pair of conditions, joined by AND and by OR, with enough occurrences and precision. ``bits`` are the bitmaps of the conditions.
+
+    Only pairs that can still pass meet: for AND both sides need the hits of a passing rule, for OR the hits of both sides together
+    must reach the precision over the occurrences of the larger one. The counts of OR are A + B - AND; walk-forward windows are
+    counted for passing rules alone."""
     group = keys(by) if by else []
-    a = bits.select(*group, "word", F.col("feature").alias("_fa"), F.col("bits").alias("_ba"), F.col("condition").alias("_ca"))
-    b = bits.select(*group, "word", F.col("feature").alias("_fb"), F.col("bits").alias("_bb"), F.col("condition").alias("_cb"))
-    pairs = a.join(b, [*group, "word"]).filter(F.col("_fa") < F.col("_fb"))
-    both = F.inline(F.array(F.struct(F.lit("AND").alias("op"), F.col("_ba").bitwiseAND(F.col("_bb")).alias("bits")),
-                            F.struct(F.lit("OR").alias("op"), F.col("_ba").bitwiseOR(F.col("_bb")).alias("bits"))))
-    rules = pairs.select(*group, "word", F.array("_fa", "_fb").alias("features"), F.array("_ca", "_cb").alias("conditions"), both)
-    rules = rules.withColumn("rule_id", F.concat(F.col("features")[0], F.lit(" "), F.col("op"), F.lit(" "), F.col("features")[1]))
-    counts = bitmap_counts(rules, masks, n_windows, by=by)
-    out = passing(rule_metrics(counts, n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision)
+    counts = pair_counts(bits, masks, min_oos, min_precision, by=by)
+    rules = counts.filter(_may_pass(min_is, min_oos, min_precision)).select(*group, "features", "conditions", "op")
+    a = bits.select(*group, "word", F.col("feature").alias("_fa"), F.col("bits").alias("_ba"))
+    b = bits.select(*group, "word", F.col("feature").alias("_fb"), F.col("bits").alias("_bb"))
+    sides = rules.withColumns({"_fa": F.col("features")[0], "_fb": F.col("features")[1]}).join(a, [*group, "_fa"]).join(b, [*group, "_fb", "word"])
+    joint = F.when(F.col("op") == "AND", F.col("_ba").bitwiseAND(F.col("_bb"))).otherwise(F.col("_ba").bitwiseOR(F.col("_bb")))
+    rows = sides.select(*group, "word", "features", "conditions", "op", joint.alias("bits"), F.concat(F.col("features")[0], F.lit(" "), F.col("op"), F.lit(" "), F.col("features")[1]).alias("rule_id"))
+    out = passing(rule_metrics(bitmap_counts(rows, masks, n_windows, by=by), n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision)
     return out.withColumn("kind", F.concat(F.lit("combo2_"), "op"))
 
 
+def pair_counts(bits: DataFrame, masks: DataFrame, min_oos: int = MIN_OOS, min_precision: float | None = MIN_PRECISION, *, by=()) -> DataFrame:
+    """Deciding counters of the AND and the OR of every pair of conditions that can pass by the counts of its sides."""
+    group = keys(by) if by else []
+    alone = _decided(bits, masks, ["feature"], by=by).drop("oos_sessions")
+    rows = bits.join(alone, [*group, "feature"])
+    side = lambda x: rows.select(*group, "word", *[F.col(c).alias(f"{c}_{x}") for c in ("feature", "condition", "bits", *DECIDING)])
+    a, b = _dealt(side("a"), "feature_a", "_i", "_j"), _dealt(side("b"), "feature_b", "_j", "_i")
+    need, near = needed_hits(min_oos, min_precision), 1.0 - 1e-9
+    meet = F.col("feature_a") < F.col("feature_b")
+    if min_precision is not None:
+        for_and = F.least("h_oos_a", "h_oos_b") >= need
+        for_or = (F.col("h_oos_a") + F.col("h_oos_b")) * 100.0 >= F.greatest("n_oos_a", "n_oos_b") * (min_precision * near)
+        meet = meet & (for_and | for_or)
+    pairs = a.join(b, [*group, "_i", "_j", "word"]).filter(meet)
+    sides = [f"{k}_{x}" for k in DECIDING for x in "ab"]
+    rows = pairs.select(*group, "word", F.array("feature_a", "feature_b").alias("features"), F.array("condition_a", "condition_b").alias("conditions"),
+                        F.col("bits_a").bitwiseAND(F.col("bits_b")).alias("bits"), *sides)
+    both = _decided(rows, masks, ["features"], "conditions", *sides, by=by)
+    ops = F.inline(F.array(*[F.struct(F.lit(op).alias("op"), *[(F.col(k) if op == "AND" else F.col(f"{k}_a") + F.col(f"{k}_b") - F.col(k)).alias(f"_{k}") for k in DECIDING]) for op in ("AND", "OR")]))
+    out = both.select(*group, "features", "conditions", "oos_sessions", ops)
+    return out.withColumnsRenamed({f"_{k}": k for k in DECIDING})
+
+
 # Fixed values of the beam: for each size the number of parents whose features are excluded, extra features tried, and parents extended.
 BEAM = {3: (5, 15, 10), 4: (3, 10, 3), 5: (2, 8, 2)}
 
 
-def supported_combinations(bits: DataFrame, masks: DataFrame, max_k: int, min_is: int, min_oos: int, n_windows: int, *, by=()):
-    """AND-combinations level by level, (size, counts) from 2 on: a combination with fewer sessions than ``min_is`` in or ``min_oos`` out of
-    sample has no larger one with enough, so only supported ones are extended, each by the features that follow its last one."""
+def supported_combinations(bits: DataFrame, masks: DataFrame, max_k: int, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float | None = MIN_PRECISION, *, by=()):
+    """AND-combinations level by level, as (size, candidates) from 2 on: branch and bound.
+
+    A candidate of a level is the union of two supported combinations of the level before that differ in their last feature. It is supported with
+    ``min_is`` sessions in and ``min_oos`` out of sample and the hits that a passing rule needs; extensions can only lose all three,
+    so nothing below an unsupported one can pass. Candidates carry their deciding counters, ``supported``, and if so their bitmaps."""
     group = keys(by) if by else []
+    need = needed_hits(min_oos, min_precision)
+    supported = (F.col("n_is") >= min_is) & (F.col("n_oos") >= min_oos) & (F.col("h_oos") >= need)
     level = bits.select(*group, "word", F.array("feature").alias("features"), F.array("condition").alias("conditions"), "bits")
+    alone = _decided(level, masks, ["features"], by=by).filter(supported)
+    level = level.join(alone.select(*group, "features"), [*group, "features"], "left_semi")
     for k in range(2, max_k + 1):
-        added = bits.select(*group, "word", "feature", "condition", F.col("bits").alias("_more"))
-        wider = level.join(added, [*group, "word"]).filter(F.col("feature") > F.element_at("features", -1))
-        names = F.array_append("features", F.col("feature"))
-        wider = wider.select(*group, "word", names.alias("features"), F.array_append("conditions", F.col("condition")).alias("conditions"),
-                             F.col("bits").bitwiseAND(F.col("_more")).alias("bits"), F.lit("AND").alias("op"), F.concat_ws(" AND ", names).alias("rule_id"))
-        counts = materialize(bitmap_counts(wider, masks, n_windows, by=by).filter((F.col("n_is") >= min_is) & (F.col("n_oos") >= min_oos)), f"combo{k}")
+        prefix, last = F.slice("features", 1, k - 2), F.element_at("features", -1)
+        a = level.select(*group, "word", prefix.alias("_prefix"), "features", "conditions", "bits")
+        b = level.select(*group, "word", prefix.alias("_prefix"), last.alias("_feature"), F.element_at("conditions", -1).alias("_condition"), F.col("bits").alias("_bits"))
+        spread = []
+        if k == 2:  # no prefix yet: features meet per pair of blocks
+            a, b, spread = _dealt(a, F.element_at("features", -1), "_i", "_j"), _dealt(b, "_feature", "_j", "_i"), ["_i", "_j"]
+        wider = a.join(b, [*group, "_prefix", "word", *spread]).filter(F.element_at("features", -1) < F.col("_feature"))
+        wider = wider.select(*group, "word", F.array_append("features", F.col("_feature")).alias("features"), F.array_append("conditions", F.col("_condition")).alias("conditions"),
+                             F.col("bits").bitwiseAND(F.col("_bits")).alias("bits"))
+        counts = _decided(wider, masks, ["features"], "conditions", by=by, words=True).withColumn("supported", supported)
+        counts = materialize(counts.withColumn("words", F.when(F.col("supported"), F.col("words"))), f"combo{k}")
         yield k, counts
-        if k < max_k:
-            level = materialize(wider.join(counts.select(*group, "rule_id"), [*group, "rule_id"], "left_semi").drop("op", "rule_id"), f"bits{k}")
+        level = counts.filter("supported").select(*group, "features", "conditions", F.inline("words"))
+
+
+def search_levels(bits: DataFrame, masks: DataFrame, max_k: int = 5, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float | None = MIN_PRECISION, *, by=()) -> DataFrame:
+    """How far the search of AND-combinations is cut: candidates that enter each level and those that go on to the next."""
+    group, out = keys(by) if by else [], None
+    for k, counts in supported_combinations(bits, masks, max_k, min_is, min_oos, min_precision, by=by):
+        level = counts.groupBy(*group).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_candidates"), F.count_if("supported").alias("n_supported"))
+        out = level if out is None else out.unionByName(level)
+    return out
 
 
 def combo_k_rules(pairs: DataFrame, bits: DataFrame, masks: DataFrame, max_k: int = 5, min_is: int = MIN_IS, min_oos: int = MIN_OOS,
@@ -235,15 +318,18 @@ def combo_k_rules(pairs: DataFrame, bits: DataFrame, masks: DataFrame, max_k: in
     and so on; ``order`` then ranks the features (feature, position) for the choice of extra ones; by name without it. Equal combinations
     reached twice are kept once.
 
-    At most three steps; each is one equality join of a few bitmaps, and each result is written to the shared folder
-    before the next step reads it.
+    Without a beam the search is exact: ``supported_combinations`` drops only what no passing rule can extend. At most ``max_k`` - 1 steps;
+    each is one equality join of bitmaps, and each result is written to the shared folder before the next step reads it.
     """
     group = keys(by) if by else []
     if beam is None:
         out = None
-        for k, counts in supported_combinations(bits, masks, max_k, min_is, min_oos, n_windows, by=by):
+        for k, counts in supported_combinations(bits, masks, max_k, min_is, min_oos, min_precision, by=by):
             if k >= 3:
-                step = passing(rule_metrics(counts, n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision).withColumn("kind", F.lit(f"combo{k}_AND"))
+                kept = counts.filter("supported").filter(_may_pass(min_is, min_oos, min_precision))
+                rows = kept.select(*group, "features", "conditions", F.lit("AND").alias("op"), F.concat_ws(" AND ", "features").alias("rule_id"), F.inline("words"))
+                step = passing(rule_metrics(bitmap_counts(rows, masks, n_windows, by=by), n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision)
+                step = step.withColumn("kind", F.lit(f"combo{k}_AND"))
                 out = step if out is None else out.unionByName(step)
         return out
     part = Window.partitionBy(F.lit(1), *group)
