@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pearson
+from ..functions.windows import keys
 from .features import session_split
 
 SEED = 42
@@ -175,10 +176,11 @@ def top_features(df: DataFrame, names, n: int | None = None, share: float = 0.7,
     return df.sparkSession.createDataFrame([(f, float(w), i) for i, (f, w) in enumerate(ranked)], "feature string, importance double, position int")
 
 
-def correlation_ranking(features: DataFrame, sessions: DataFrame, n: int | None = None, *, d="d") -> DataFrame:
+def correlation_ranking(features: DataFrame, sessions: DataFrame, n: int | None = None, *, d="d", by=()) -> DataFrame:
     """K5 without a model: features by the size of their in-sample correlation with y, from long features and ``rules.rule_sessions``."""
-    rows = features.join(sessions.filter("in_sample").select(d, F.col("y").cast("double").alias("y")), [d])
-    out = rows.groupBy("feature").agg(pearson("value", "y").alias("corr"))
+    group = keys(by) if by else []
+    rows = features.join(sessions.filter("in_sample").select(*group, d, F.col("y").cast("double").alias("y")), [d])
+    out = rows.groupBy(*group, "feature").agg(pearson("value", "y").alias("corr"))
     out = out.withColumn("abs_corr", F.abs("corr")).orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
     return out if n is None else out.limit(n)
 

@@ -134,7 +134,11 @@ def condition(feature="feature", direction="direction", threshold="threshold", p
 def univariate_rules(features: DataFrame, sessions: DataFrame, percentiles=PERCENTILES, min_is: int = MIN_IS, min_oos: int = MIN_OOS,
                      min_precision: float | None = MIN_PRECISION, n_windows: int = N_WINDOWS, *, d="d", by=()) -> DataFrame:
     """I8: every feature at nine percentiles in two directions, kept by out-of-sample precision."""
-    counts = univariate_counts(features, sessions, percentiles, n_windows, d=d, by=by)
+    return single_rules(univariate_counts(features, sessions, percentiles, n_windows, d=d, by=by), min_is, min_oos, min_precision, n_windows)
+
+
+def single_rules(counts: DataFrame, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float | None = MIN_PRECISION, n_windows: int = N_WINDOWS) -> DataFrame:
+    """I8 from the counters of all (feature, percentile, direction)."""
     out = passing(rule_metrics(counts, n_windows, min_precision or MIN_PRECISION), min_is, min_oos, min_precision)
     rule_id = F.concat_ws(":", "feature", "direction", F.col("percentile").cast("string"))
     return out.withColumns({"rule_id": rule_id, "kind": F.lit("univariate"), "op": F.lit("AND"), "features": F.array("feature"), "conditions": F.array(condition())})
@@ -155,8 +159,13 @@ def best_threshold_per_feature(features: DataFrame, sessions: DataFrame, percent
                                d="d", by=()) -> DataFrame:
     """Per feature the percentile and direction with the best in-sample precision; the first in order wins ties. Thresholds
     are rounded to ``digits`` as the combined rules use them."""
+    return best_of_counts(univariate_counts(features, sessions, percentiles, 1, d=d, by=by), min_is, digits, by=by)
+
+
+def best_of_counts(counts: DataFrame, min_is: int = MIN_IS, digits: int | None = 4, *, by=()) -> DataFrame:
+    """I9 from the counters of all (feature, percentile, direction)."""
     group = keys(by) if by else []
-    counts = univariate_counts(features, sessions, percentiles, 1, d=d, by=by).filter(F.col("n_is") >= min_is)
+    counts = counts.filter(F.col("n_is") >= min_is)
     counts = counts.withColumn("precision_is", ratio("h_is", "n_is") * 100.0).filter(F.col("precision_is") > 0)
     order = Window.partitionBy(*group, "feature").orderBy(F.col("precision_is").desc(), "percentile", "direction")
     best = counts.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
@@ -366,6 +375,20 @@ RESULT = ["rule_id", "kind", "op", "features", "conditions", "n_is", "n_oos", "p
           "n_windows_tested", "n_windows_valid", "is_robust", "mean_precision_wf", "std_precision_wf", "precisions_by_window"]
 
 
+def all_rules(counts: DataFrame, bits: DataFrame, masks: DataFrame, max_k: int, min_is: int, min_oos: int, min_precision: float | None, n_windows: int = N_WINDOWS,
+              beam=None, order: DataFrame | None = None, *, by=()) -> DataFrame:
+    """One-feature rules, pairs and larger combinations that pass, from one-feature counters and the bitmaps of the chosen conditions."""
+    group = keys(by) if by else []
+    pairs = materialize(combo2_rules(bits, masks, min_is, min_oos, min_precision, n_windows, by=by), "combo2") if max_k >= 2 else None
+    parts = [single_rules(counts, min_is, min_oos, min_precision, n_windows)] + ([pairs] if max_k >= 2 else [])
+    if max_k >= 3:
+        parts.append(combo_k_rules(pairs, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, beam, order, by=by))
+    out = parts[0].select(*group, *RESULT)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*group, *RESULT))
+    return out
+
+
 def search_rules(features: DataFrame, sessions: DataFrame, max_k: int = 3, min_is: int = MIN_IS, min_oos: int = MIN_OOS, min_precision: float = MIN_PRECISION,
                  min_per_quarter: float | None = 3.0, order: DataFrame | None = None, n_windows: int = N_WINDOWS, beam=None, pool: DataFrame | None = None,
                  dates: bool = False, *, d="d", by=()) -> DataFrame:
@@ -377,15 +400,11 @@ def search_rules(features: DataFrame, sessions: DataFrame, max_k: int = 3, min_i
     group = keys(by) if by else []
     if pool is not None:
         features = features.join(pool.select("feature").distinct(), "feature", "left_semi")
-    single = univariate_rules(features, sessions, PERCENTILES, min_is, min_oos, min_precision, n_windows, d=d, by=by)
-    literals = best_threshold_per_feature(features, sessions, PERCENTILES, min_is, d=d, by=by)
+    counts = materialize(univariate_counts(features, sessions, PERCENTILES, n_windows, d=d, by=by), "one-feature-counts")
+    literals = best_of_counts(counts, min_is, by=by)
     bits = materialize(literal_bits(features, sessions, literals, d=d, by=by), "bits")
-    masks = session_masks(sessions, n_windows, by=by)
-    pairs = materialize(combo2_rules(bits, masks, min_is, min_oos, min_precision, n_windows, by=by), "combo2")
-    parts = [single, pairs] + ([combo_k_rules(pairs, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, beam, order, by=by)] if max_k >= 3 else [])
-    out = parts[0].select(*group, *RESULT)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*group, *RESULT))
+    masks = materialize(session_masks(sessions, n_windows, by=by), "masks")
+    out = all_rules(counts, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, beam, order, by=by)
     keep = (F.col("precision_oos") >= min_precision) & (F.col("n_oos") >= min_oos) & ~F.col("leakage_suspect")
     if min_per_quarter is not None:
         keep = keep & (F.col("per_quarter_oos") >= min_per_quarter)
@@ -402,94 +421,139 @@ def search_rules(features: DataFrame, sessions: DataFrame, max_k: int = 3, min_i
     return out
 
 
-def grid_sessions(targets: DataFrame, move_thresholds=(0.45, 0.40, 0.35, 0.30), level_caps=(22.0, 21.0, 20.0, 19.0), min_sessions: int = 30, min_positive: int = 20,
-                  is_ratio: float = 0.7, n_windows: int = N_WINDOWS, *, d="d", amplitude="y_amp", level="level", by=()) -> DataFrame:
-    """The sessions of every cell (move threshold x level cap, within ``by`` such as entry and horizon), with enough sessions and
-    positives. ``targets`` holds the amplitude and the day's level. The result is keyed by ``cell``."""
+MOVES, CAPS = (0.45, 0.40, 0.35, 0.30), (22.0, 21.0, 20.0, 19.0)
+
+
+def grid_sessions(targets: DataFrame, level_caps=CAPS, is_ratio: float = 0.7, n_windows: int = N_WINDOWS, *, d="d", level="level", by=()) -> DataFrame:
+    """The sessions of every level cap within ``by`` (such as symbol, entry, horizon). All move thresholds of a cap have the same
+    sessions. ``targets`` holds the amplitude and the day's level; the result is keyed by ``by`` and ``level_cap``."""
+    rows = targets.select("*", F.explode(F.array(*[F.lit(float(c)) for c in level_caps])).alias("level_cap")).filter(F.col(level) <= F.col("level_cap"))
+    return rule_sessions(rows, F.lit(False), is_ratio, n_windows, d=d, by=[*by, "level_cap"]).drop("y")
+
+
+def grid_cells(sessions: DataFrame, move_thresholds=MOVES, min_sessions: int = 30, min_positive: int = 20, n_windows: int = N_WINDOWS, *, amplitude="y_amp", by=()) -> tuple[DataFrame, DataFrame]:
+    """(cells, masks) of every (``by``, level_cap, move_threshold) with enough sessions and positives. A cell differs from the others of
+    its cap in its hits alone, so it is a set of bitmaps over the sessions of the cap. Cells are keyed by their values."""
+    cell = [*by, "level_cap", "move_threshold"]
+    rows = sessions.select("*", F.explode(F.array(*[F.lit(float(t)) for t in move_thresholds])).alias("move_threshold")).withColumn("y", truth(F.col(amplitude) >= F.col("move_threshold")))
+    cells = rows.groupBy(*cell).agg(F.max("n_sessions").alias("n_sessions"), count_where("y").alias("n_positive"), count_where("in_sample").alias("n_is"))
+    cells = cells.filter((F.col("n_sessions") >= min_sessions) & (F.col("n_positive") >= min_positive))
+    masks = session_masks(rows, n_windows, by=cell).join(cells.select(*cell), cell, "left_semi")
+    return cells, masks
+
+
+def percentile_bits(features: DataFrame, sessions: DataFrame, percentiles=PERCENTILES, digits: int = 4, *, d="d", by=()) -> DataFrame:
+    """Bitmaps of every (feature, percentile, direction) over the sessions of each ``by`` group: ``bits`` at the exact threshold, ``bits_rounded`` at
+    the rounded one that combinations use. One aggregate makes all of them."""
     group = keys(by) if by else []
-    cells = [F.struct(F.lit(f"{int(round(t * 100))}bps_max{c:g}").alias("_name"), F.lit(float(t)).alias("move_threshold"), F.lit(float(c)).alias("level_cap"))
-             for t in move_thresholds for c in level_caps]
-    rows = targets.select("*", F.inline(F.array(*cells))).filter(F.col(level) <= F.col("level_cap"))
-    rows = rows.withColumn("cell", F.concat_ws("/", *group, F.col("_name"))).drop("_name")
-    rows = rule_sessions(rows, F.col(amplitude) >= F.col("move_threshold"), is_ratio, n_windows, d=d, by=["cell"])
-    positives = F.sum(F.col("y").cast("int")).over(Window.partitionBy("cell"))
-    return rows.withColumn("n_positive", positives).filter((F.col("n_sessions") >= min_sessions) & (F.col("n_positive") >= min_positive))
-
-
-def search_grid(features: DataFrame, cells: DataFrame, max_k: int = 2, min_precision: float = MIN_PRECISION, good: float = 90.0, fair: float = 87.0, min_per_quarter: float = 2.0,
-                *, d="d") -> DataFrame:
-    """The best rule of every cell as one job: at least ``good`` out of sample, robust ones first; green if robust, yellow if at
-    least ``fair``, red without one."""
-    rules = search_rules(features, cells, max_k, min_precision=min_precision, min_per_quarter=None, d=d, by=["cell"])
-    fit = rules.filter((F.col("precision_oos") >= good) & (F.col("n_oos") >= MIN_OOS) & (F.col("per_quarter_oos") >= min_per_quarter) & ~F.col("leakage_suspect"))
-    best = fit.groupBy("cell").agg(
+    thresholds = in_sample_thresholds(features, sessions, percentiles, d=d, by=by)
+    rows = features.filter(F.col("value").isNotNull()).join(sessions.select(*group, d, "session_no"), [d]).join(thresholds, [*group, "feature"])
+    rows = rows.withColumns({"word": F.floor((F.col("session_no") - 1) / 64).cast("int"), "_bit": F.expr("shiftleft(1L, cast((session_no - 1) % 64 as int))")})
+    v, zero, aggs, parts = F.col("value"), F.lit(0).cast("bigint"), [F.first("thresholds").alias("_t")], []
+    for i, p in enumerate(percentiles):
+        exact = F.col("thresholds")[i]
+        for direction, holds in (("above", lambda t: v >= t), ("below", lambda t: v <= t)):
+            name = f"{direction}{i}"
+            aggs += [F.bit_or(F.when(holds(t), F.col("_bit")).otherwise(zero)).alias(f"{x}{name}") for x, t in (("e", exact), ("r", F.round(exact, digits)))]
+            parts.append(F.struct(F.lit(p).alias("percentile"), F.lit(direction).alias("direction"), F.col("_t")[i].alias("threshold"), F.col(f"e{name}").alias("bits"), F.col(f"r{name}").alias("bits_rounded")))
+    return rows.groupBy(*group, "feature", "word").agg(*aggs).select(*group, "feature", "word", F.inline(F.array(*parts)))
+
+
+def search_grid(features: DataFrame, sessions: DataFrame, move_thresholds=MOVES, max_k: int = 2, min_precision: float = MIN_PRECISION, good: float = 90.0, fair: float = 87.0,
+                min_per_quarter: float = 2.0, min_is: int = MIN_IS, min_oos: int = MIN_OOS, n_windows: int = N_WINDOWS, *, d="d", amplitude="y_amp", by=()) -> DataFrame:
+    """The best rule of every cell as one job: at least ``good`` out of sample, robust ones first, then by precision, occurrences and
+    rule_id; green if robust, yellow if at least ``fair``, red without one. ``sessions`` come from ``grid_sessions``.
+
+    The bitmaps of all conditions are made once per level cap and read by all its cells."""
+    base, cell = [*by, "level_cap"], [*by, "level_cap", "move_threshold"]
+    cells, masks = grid_cells(sessions, move_thresholds, n_windows=n_windows, amplitude=amplitude, by=by)
+    cells, masks = materialize(cells, "cells"), materialize(masks, "masks")
+    words = materialize(percentile_bits(features, sessions, d=d, by=base), "bits")
+    literal = ["feature", "percentile", "direction"]
+    counted = [F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col(f"m_{k}")))).alias(k) for k in _counter_conditions(n_windows)]
+    counts = words.drop("bits_rounded").join(masks, [*base, "word"]).groupBy(*cell, *literal, "threshold").agg(*counted, F.max("oos_sessions").alias("oos_sessions"))
+    counts = materialize(counts, "one-feature-counts")
+    best = best_of_counts(counts, min_is, by=cell).select(*cell, *literal, F.col("threshold").alias("_rounded"))
+    chosen = words.drop("threshold", "bits").join(best, [*base, *literal]).withColumnsRenamed({"_rounded": "threshold", "bits_rounded": "bits"})
+    bits = materialize(chosen.select(*cell, "feature", "word", "bits", condition().alias("condition")), "cell-bits")
+    rules = all_rules(counts, bits, masks, max_k, min_is, min_oos, min_precision, n_windows, by=cell)
+    fit = rules.filter((F.col("precision_oos") >= good) & (F.col("n_oos") >= min_oos) & (F.col("per_quarter_oos") >= min_per_quarter) & ~F.col("leakage_suspect"))
+    top = fit.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n_good"), count_where("is_robust").alias("n_robust"),
         F.max_by(F.struct("rule_id", "precision_oos", "n_oos", "n_windows_valid", "n_windows_tested", "is_robust"),
                  F.struct("is_robust", "precision_oos", "n_oos", "rule_id")).alias("_b"))
-    info = cells.groupBy("cell").agg(F.max("n_sessions").alias("n_sessions"), F.max("n_positive").alias("n_positive"))
-    out = info.join(best, "cell", "left").select("cell", "n_sessions", "n_positive", F.coalesce("n_good", F.lit(0)).alias("n_good"),
-                                                 F.coalesce("n_robust", F.lit(0)).alias("n_robust"), "_b.*")
+    out = cells.join(top, cell, "left").select(*cell, "n_sessions", "n_positive", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_robust", F.lit(0)).alias("n_robust"), "_b.*")
     status = F.when(truth(F.col("is_robust")) & (F.col("precision_oos") >= good), "green").when(F.col("precision_oos") >= fair, "yellow").otherwise("red")
     return out.withColumn("status", status)
 
 
-def common_features(rules: DataFrame, min_groups: int | None = None, top: int = 10, *, by="entry") -> DataFrame:
+def common_features(rules: DataFrame, min_groups: int | None = None, top: int = 10, *, by="entry", within=()) -> DataFrame:
     """Features of the ``top`` ranked rules per group with the number of rules and groups they occur in; those of all groups (or
-    of at least ``min_groups``) are marked. ``rules`` carries a ``rank`` within its group."""
-    groups = rules.agg(F.count_distinct(by).alias("n")).scalar()
-    used = rules.filter(F.col("rank") <= top).select(by, "rule_id", F.explode("features").alias("feature"))
-    out = used.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rules"), F.count_distinct(by).alias("n_groups"))
-    return out.withColumn("is_common", F.col("n_groups") >= (groups if min_groups is None else F.lit(min_groups)))
-
-
-def rule_report(hits: DataFrame, sessions: DataFrame, *, rule="rule_id", d="d", amplitude="y_amp") -> DataFrame:
+    of at least ``min_groups``) are marked. ``rules`` carries a ``rank`` within its group; ``within`` (such as the symbol) keeps searches apart."""
+    within = keys(within) if within else []
+    used = rules.filter(F.col("rank") <= top).select(*within, by, "rule_id", F.explode("features").alias("feature"))
+    out = used.groupBy(*within, "feature").agg(F.count(F.lit(1)).alias("n_rules"), F.count_distinct(by).alias("n_groups"))
+    if min_groups is not None:
+        return out.withColumn("is_common", F.col("n_groups") >= min_groups)
+    if not within:
+        return out.withColumn("is_common", F.col("n_groups") >= rules.agg(F.count_distinct(by).alias("n")).scalar())
+    all_groups = rules.groupBy(*within).agg(F.count_distinct(by).alias("_all"))
+    return out.join(all_groups, within).withColumn("is_common", F.col("n_groups") >= F.col("_all")).drop("_all")
+
+
+def rule_report(hits: DataFrame, sessions: DataFrame, *, rule="rule_id", d="d", amplitude="y_amp", by=()) -> DataFrame:
     """Per rule and year (null for the total) occurrences, positives and precision, with in/out-of-sample counts and the mean and 90 %
     quantile of the amplitude of the positives. ``hits`` holds (rule, d)."""
-    rows = hits.join(sessions, [d]).withColumn("year", F.year(d))
+    group = [*(keys(by) if by else []), rule]
+    rows = hits.join(sessions, [*group[:-1], d]).withColumn("year", F.year(d))
     amp = F.when(F.col("y"), F.col(amplitude))
-    out = rows.groupingSets([[F.col(rule), F.col("year")], [F.col(rule)]], rule, "year").agg(
+    out = rows.groupingSets([[*map(F.col, group), F.col("year")], [*map(F.col, group)]], *group, "year").agg(
         F.count(F.lit(1)).alias("n"), count_where("y").alias("n_hit"), count_where("in_sample").alias("n_is"), F.avg(amp).alias("mean_amp_hit"), F.percentile(amp, F.lit(0.9)).alias("p90_amp_hit"))
     return out.withColumns({"n_oos": F.col("n") - F.col("n_is"), "precision": ratio("n_hit", "n") * 100.0})
 
 
-def rule_holdout(rules: DataFrame, features: DataFrame, sessions: DataFrame, year: int, min_precision: float = 90.0, min_n: int = 2, *, d="d") -> DataFrame:
+def rule_holdout(rules: DataFrame, features: DataFrame, sessions: DataFrame, year: int, min_precision: float = 90.0, min_n: int = 2, *, d="d", by=()) -> DataFrame:
     """I16: saved rules measured again on the out-of-sample sessions of one year: triggers, precision and the change from the saved one."""
     chosen = rules.filter(F.col("precision_oos") >= min_precision)
-    held = rule_dates(chosen, features, sessions, d=d).join(sessions.filter((F.year(d) == year) & ~F.col("in_sample")).select(d, "y"), [d])
-    out = held.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_trigger"), (F.avg(F.col("y").cast("double")) * 100.0).alias("precision_year"))
-    out = out.filter(F.col("n_trigger") >= min_n).join(chosen.select("rule_id", "precision_oos"), "rule_id")
+    group = [*(keys(by) if by else []), "rule_id"]
+    held = rule_dates(chosen, features, sessions, d=d, by=by).join(sessions.filter((F.year(d) == year) & ~F.col("in_sample")).select(*group[:-1], d, "y"), [*group[:-1], d])
+    out = held.groupBy(*group).agg(F.count(F.lit(1)).alias("n_trigger"), (F.avg(F.col("y").cast("double")) * 100.0).alias("precision_year"))
+    out = out.filter(F.col("n_trigger") >= min_n).join(chosen.select(*group, "precision_oos"), group)
     return out.withColumn("delta", F.col("precision_year") - F.col("precision_oos"))
 
 
-def threshold_sensitivity(features: DataFrame, sessions: DataFrame, percentiles=tuple(range(10, 91, 5)), min_oos: int = 5, margin: float = 0.95, *, d="d") -> DataFrame:
+def threshold_sensitivity(features: DataFrame, sessions: DataFrame, percentiles=tuple(range(10, 91, 5)), min_oos: int = 5, margin: float = 0.95, *, d="d", by=()) -> DataFrame:
     """Out-of-sample precision and lift per percentile (the better direction), the optimum, and the lowest and highest percentile
     within the margin of the optimum's precision."""
-    counts = univariate_counts(features, sessions, percentiles, 1, d=d).filter(F.col("n_oos") >= min_oos)
-    base = sessions.filter(~F.col("in_sample")).agg((F.avg(F.col("y").cast("double")) * 100.0).alias("b")).scalar()
-    curve = counts.withColumn("precision_oos", ratio("h_oos", "n_oos") * 100.0).withColumn("baseline", base)
+    group = keys(by) if by else []
+    counts = univariate_counts(features, sessions, percentiles, 1, d=d, by=by).filter(F.col("n_oos") >= min_oos)
+    base = sessions.filter(~F.col("in_sample")).groupBy(*group).agg((F.avg(F.col("y").cast("double")) * 100.0).alias("baseline"))
+    curve = counts.withColumn("precision_oos", ratio("h_oos", "n_oos") * 100.0)
+    curve = curve.join(base, group) if group else curve.withColumn("baseline", base.scalar())
     curve = curve.withColumn("lift", F.col("precision_oos") - F.col("baseline"))
-    better = Window.partitionBy("feature", "percentile").orderBy(F.col("lift").desc(), "direction")
+    better = Window.partitionBy(*group, "feature", "percentile").orderBy(F.col("lift").desc(), "direction")
     curve = curve.withColumn("_r", F.row_number().over(better)).filter("_r = 1")
-    per = Window.partitionBy("feature")
+    per = Window.partitionBy(*group, "feature")
     top = F.max(F.struct(F.col("lift"), -F.col("percentile"), F.col("precision_oos").alias("p"))).over(per)
     curve = curve.withColumn("_top", top)
     near = F.when(F.col("precision_oos") >= F.col("_top.p") * margin, F.col("percentile"))
     return curve.withColumns({"is_optimal": (F.col("lift") == F.col("_top.lift")) & (F.col("percentile") == -F.col("_top.col2")),
                               "margin_low": F.min(near).over(per), "margin_high": F.max(near).over(per)}).select(
-        "feature", "percentile", "direction", "threshold", "n_oos", "precision_oos", "lift", "baseline", "is_optimal", "margin_low", "margin_high")
+        *group, "feature", "percentile", "direction", "threshold", "n_oos", "precision_oos", "lift", "baseline", "is_optimal", "margin_low", "margin_high")
 
 
-def active_rules(rules: DataFrame, features: DataFrame, top: int | None = None, min_precision: float = 90.0, min_n: int = 6, asof=None, *, d="d", source="source") -> DataFrame:
+def active_rules(rules: DataFrame, features: DataFrame, top: int | None = None, min_precision: float = 90.0, min_n: int = 6, asof=None, *, d="d", source="source", by=()) -> DataFrame:
     """Saved rules (precise, frequent enough, not suspect; ``top``: only the best per source) whose conditions all hold on the newest
     session (or the newest up to ``asof``). A condition on a missing feature fails."""
     good = rules.filter((F.col("precision_oos") >= min_precision) & (F.col("n_oos") >= min_n) & ~F.col("leakage_suspect"))
-    order = Window.partitionBy(source).orderBy((F.col("precision_oos") == 100.0).desc(), F.col("is_robust").desc(), F.col("precision_oos").desc(), F.col("n_oos").desc(), "rule_id")
+    source = [*(keys(by) if by else []), source]
+    order = Window.partitionBy(*source).orderBy((F.col("precision_oos") == 100.0).desc(), F.col("is_robust").desc(), F.col("precision_oos").desc(), F.col("n_oos").desc(), "rule_id")
     if top is not None:
         good = good.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
     rows = features if asof is None else features.filter(F.col(d) <= F.lit(asof).cast("date"))
     newest = rows.agg(F.max(d).alias("m")).scalar()
     now = rows.filter(F.col(d) == newest).select("feature", d, "value")
-    lines = good.select(source, "rule_id", "precision_oos", "n_oos", F.inline("conditions")).join(now, "feature", "left")
+    lines = good.select(*source, "rule_id", "precision_oos", "n_oos", F.inline("conditions")).join(now, "feature", "left")
     met = F.when(F.col("direction") == "above", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
-    out = lines.groupBy(source, "rule_id").agg(F.bool_and(truth(met)).alias("_ok"), F.max(d).alias(d), F.max("precision_oos").alias("precision_oos"), F.max("n_oos").alias("n_oos"))
+    out = lines.groupBy(*source, "rule_id").agg(F.bool_and(truth(met)).alias("_ok"), F.max(d).alias(d), F.max("precision_oos").alias("precision_oos"), F.max("n_oos").alias("n_oos"))
     return out.filter("_ok").drop("_ok")
