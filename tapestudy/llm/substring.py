@@ -9,8 +9,8 @@ extended to twice their length; what still repeats decides which words go.
   copies so costs one row per copy.
 - Level one is a grouped aggregate over the anchors (about 2 in 27 words) and a join back.
 - Level two sends, per repeated anchor, the hashes of the full windows that chose it. Anchors with up to `group` places are
-  compared within a task, streaming in doc_id order; the full windows of the rest are aggregated, and each place of such an
-  anchor looks its windows up in what repeats there.
+  compared within a task, streaming in doc_id order; of the rest each task sends every different window once, and each place of
+  such an anchor looks its windows up in what repeats there.
 
 Windows compare by 128 bits (anchor and window hash). Texts cross a shuffle compressed.
 
@@ -156,6 +156,44 @@ def _compare_groups(batches):
             yield batch_of(schema, *zip(*out))
 
 
+def _window_minima(batches):
+    """Least and greatest document of each full window of an anchor, once per task however often its anchor occurs there."""
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    kind, held, size = [("h", "<i8"), ("w", "<i8"), ("a", "<i8"), ("b", "<i8")], [], 0
+
+    def merged(parts):
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["w"], rows["h"]))]
+        first = np.flatnonzero(np.concatenate(([True], (rows["h"][1:] != rows["h"][:-1]) | (rows["w"][1:] != rows["w"][:-1]))))
+        out = rows[first]
+        out["a"], out["b"] = np.minimum.reduceat(rows["a"], first), np.maximum.reduceat(rows["b"], first)
+        return out
+
+    def sent(rows):
+        for i in range(0, len(rows), 50_000):
+            yield batch_of(schema, *(rows[c][i:i + 50_000] for c in "hwab"))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at, windows = _lists(b.column("windows"))
+        owner = np.repeat(np.arange(b.num_rows), np.diff(at))
+        rows = np.empty(len(owner), kind)
+        rows["h"], rows["w"] = b.column("h").to_numpy()[owner], windows.to_numpy()
+        rows["a"] = rows["b"] = b.column("doc_id").to_numpy()[owner]
+        if len(rows):
+            held.append(rows)
+            size += len(rows)
+        if size > 1_000_000:
+            held = [merged(held)]
+            size = len(held[0])
+            if size > 500_000:
+                yield from sent(held[0])
+                held, size = [], 0
+    if held:
+        yield from sent(merged(held))
+
+
 def _lists(column):
     """Bounds and flat values of an Arrow list column."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -195,13 +233,16 @@ def repeated_windows(docs: DataFrame, compact: DataFrame, min_words: int = 50, g
     two = materialize(_level_two(compact.join(hits, "doc_id"), sizes), "full-windows")
     near = (two.where(F.col("n") <= group).select("h", "doc_id", "first", "windows").repartition("h").sortWithinPartitions("h", "doc_id")
             .mapInArrow(_compare_groups, "doc_id bigint, starts array<int>"))
-    spread = two.where(F.col("n") > group).select("h", "doc_id", "first", F.posexplode("windows").alias("i", "w"))
-    common = materialize(spread.groupBy("h", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "w", "a"), "repeated-windows")
+    spread = two.where(F.col("n") > group)
+    minima = spread.select("h", "doc_id", "windows").mapInArrow(_window_minima, "h bigint, w bigint, a bigint, b bigint")
+    common = materialize(minima.groupBy("h", "w").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("h", "w", "a"), "repeated-windows")
     sizes = materialize(common.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "repeated-windows")
     tables = materialize(common.join(sizes.where(F.col("m") <= TABLE), "h").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("w", "a"))).alias("table")), "window-tables")
     looked = two.select("h", "doc_id", "first", "windows").join(tables, "h").mapInArrow(_look_up, "doc_id bigint, starts array<int>")
-    wide = materialize(common.join(sizes.where(F.col("m") > TABLE), "h").select("h", "w", "a"), "repeated-windows")
-    joined = (spread.join(wide, ["h", "w"]).where("doc_id > a").groupBy("doc_id", "h", "first")
+    large = sizes.where(F.col("m") > TABLE)
+    wide = materialize(common.join(large, "h").select("h", "w", "a"), "repeated-windows")
+    single = spread.join(large, "h", "left_semi").select("h", "doc_id", "first", F.posexplode("windows").alias("i", "w"))
+    joined = (single.join(wide, ["h", "w"]).where("doc_id > a").groupBy("doc_id", "h", "first")
               .agg(F.collect_list((F.col("first") + F.col("i")).cast("int")).alias("starts")).select("doc_id", "starts"))
     far = looked.unionByName(joined)
     starts = near.unionByName(far).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
