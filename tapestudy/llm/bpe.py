@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, keep_first, text_batches, two_columns
+from .common import batch_of, hold_tables, keep_first, text_batches, two_columns
 
 # Unicode white space, and the pattern that cuts a text before the merges.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -152,6 +152,7 @@ _loaded: dict[str, ByteBPE] = {}
 
 def load(path: str) -> ByteBPE:
     """One encoder per vocabulary and worker process."""
+    hold_tables("byte pairs", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = ByteBPE(path)
     return _loaded[path]

@@ -46,6 +46,18 @@ def text_batches(batches, text: str, key: str = "doc_id"):
         yield b.column(key).to_pylist(), [t or "" for t in b.column(text).to_pylist()]
 
 
+_holder = [None, None]
+
+
+def hold_tables(owner: str, clear) -> None:
+    """Says that ``owner`` keeps tables in this worker from task to task. Only one operator does at a time: those of the one before
+    are cleared, so that a worker that runs many operators holds no more than the largest of them."""
+    if _holder[0] != owner:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = [owner, clear]
+
+
 def keep_first(table: dict, most: int) -> None:
     """Bounds a table of known words: beyond ``most`` entries only the older half stays, as common words come early."""
     if len(table) >= most:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns, words_of
+from .common import batch_of, hold_tables, text_batches, two_columns, words_of
 
 PASSAGE = 64
 SHAPES, WORDS = 192, 320
@@ -42,6 +42,7 @@ def _features(word: bytes) -> int:
 
 def bag(text: str) -> np.ndarray:
     """(passages, WIDTH) counts of a whole text; counts fit a byte as a passage has PASSAGE words."""
+    hold_tables("quality classifier", _known.clear)
     words = words_of(text)
     n = max(1, -(-len(words) // PASSAGE))
     for w in set(words).difference(_known):

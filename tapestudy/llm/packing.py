@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from .bpe import WHITE
-from .common import batch_of, keep_first, text_batches, two_columns, words_of
+from .common import batch_of, hold_tables, keep_first, text_batches, two_columns, words_of
 
 CAPACITY = 2048
 END = 0
-KEPT_WORDS = 700_000
+KEPT_WORDS = 600_000
 # Fixed value: how the vocabulary cuts a word into parts before the merges.
 PARTS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -110,15 +110,21 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
+def load(vocabulary: str) -> WordTokens:
+    """One encoder per vocabulary and worker process, with the words that earlier tasks have met."""
+    hold_tables("packing", _loaded.clear)
+    if vocabulary not in _loaded:
+        _loaded[vocabulary] = WordTokens(vocabulary)
+    return _loaded[vocabulary]
+
+
 def pieces_of(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece. Each document's ids end with END."""
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(kinds)
 
     def run(batches):
-        if vocabulary not in _loaded:
-            _loaded[vocabulary] = WordTokens(vocabulary)
-        tokens = _loaded[vocabulary]
+        tokens = load(vocabulary)
         for keys, texts in text_batches(batches, "text"):
             out = []
             for k, t in zip(keys, texts):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
 from .bpe import WHITE, byte_symbols
-from .common import batch_of, keep_first, text_batches, two_columns
+from .common import batch_of, hold_tables, keep_first, text_batches, two_columns
 
 END = 2
 MAGIC, VERSION = b"TAPEIDS\0", 1
@@ -136,6 +136,7 @@ _loaded: dict[str, PieceIds] = {}
 
 def encoded(batches, vocabulary: str, text: str = "text"):
     """(batch, first row, ids of each text) of slices of about TOGETHER characters. A worker keeps one encoder."""
+    hold_tables("token files", _loaded.clear)
     if vocabulary not in _loaded:
         _loaded.clear()
         _loaded[vocabulary] = PieceIds(vocabulary)
