@@ -656,9 +656,9 @@ def amplitude_class(amplitude, strong: float = 0.45, weak: float = 0.23) -> Colu
     return F.when(a >= strong, 2).when(a <= weak, 0).when(a.isNotNull(), 1)
 
 
-def join_targets(features: DataFrame, targets: DataFrame, amplitude="abs_ret_pct", strong: float = 0.45, weak: float = 0.23, *, d="d") -> DataFrame:
-    """Features with y_amp and y_cat of their session (for example from G4 at one horizon)."""
-    y = targets.select(d, F.col(amplitude).alias("y_amp"), amplitude_class(amplitude, strong, weak).alias("y_cat")).filter("y_amp IS NOT NULL")
+def join_targets(features: DataFrame, targets: DataFrame, amplitude="abs_ret_pct", strong: float = 0.45, weak: float = 0.23, *, d="d", by=()) -> DataFrame:
+    """Features with y_amp and y_cat of their session (for example from G4 at one horizon), once for every ``by`` group of the targets."""
+    y = targets.select(*by, d, F.col(amplitude).alias("y_amp"), amplitude_class(amplitude, strong, weak).alias("y_cat")).filter("y_amp IS NOT NULL")
     return features.join(y, [d])
 
 

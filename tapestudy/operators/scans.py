@@ -241,9 +241,10 @@ TARGET_HORIZONS = ("ret_open_next", "ret_30min", "ret_60min", "ret_120min", "ret
 
 
 def threshold_direction_counts(series: DataFrame, targets: DataFrame, horizons=TARGET_HORIZONS, n_thresholds: int = 8, train: float = 0.7, min_points: int = 30, *, by="series",
-                               d="d", value="value") -> DataFrame:
+                               d="d", value="value", target_by=()) -> DataFrame:
     """I5, the counting part: per (series, op, threshold, horizon) matches, rises and mean over all, training and last 30 % of the condition's dates, with
-    the same figures for the opposite condition. Thresholds are eight percentiles from 10 to 90, rounded to two digits. ``targets`` has one row per day."""
+    the same figures for the opposite condition. Thresholds are eight percentiles from 10 to 90, rounded to two digits. ``targets`` has one row per day
+    (of each ``target_by`` group, such as the symbol: then every condition is counted for every target)."""
     s = series.filter(F.col(value).isNotNull()).select(*keys(by), d, value)
     qs = [0.1 + 0.8 * i / (n_thresholds - 1) for i in range(n_thresholds)]
     levels = s.groupBy(*keys(by)).agg(F.count(F.lit(1)).alias("_n"), F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q")).filter(F.col("_n") >= min_points)
@@ -255,7 +256,7 @@ def threshold_direction_counts(series: DataFrame, targets: DataFrame, horizons=T
     rows = rows.withColumn("_hit", hit)
     rows = rows.withColumns({"_rn": F.sum(F.col("_hit").cast("int")).over(w.orderBy(d).rowsBetween(Window.unboundedPreceding, 0)), "_k": F.sum(F.col("_hit").cast("int")).over(w)})
     late = F.col("_rn") > F.floor(F.col("_k") * train)
-    rows = rows.withColumn("_late", late).join(targets.select(d, *horizons), [d])
+    rows = rows.withColumn("_late", late).join(targets.select(*target_by, d, *horizons), [d])
     aggs, groups = [], {}
     for i, h in enumerate(horizons):
         v, on = F.col(h), F.col("_hit")
@@ -266,16 +267,17 @@ def threshold_direction_counts(series: DataFrame, targets: DataFrame, horizons=T
             cols += [f"{p}n{i}", f"{p}b{i}", f"{p}m{i}"]
         groups[h] = tuple(cols)
     names = ["horizon"] + [f"{p}{x}" for p in ("", "train_", "oos_", "inv_") for x in ("n", "bull", "mean")]
-    wide = rows.groupBy(*keys(by), "op", "threshold").agg(*aggs)
-    return unpivot(wide, [*keys(by), "op", "threshold"], groups, names)
+    wide = rows.groupBy(*target_by, *keys(by), "op", "threshold").agg(*aggs)
+    return unpivot(wide, [*target_by, *keys(by), "op", "threshold"], groups, names)
 
 
 def threshold_direction_scan(series: DataFrame, targets: DataFrame, horizons=TARGET_HORIZONS, max_p: float = 0.05, min_n: int = 30, *, by="series", d="d", value="value",
-                             base_target="ret_close", **kw) -> DataFrame:
+                             base_target="ret_close", target_by=(), **kw) -> DataFrame:
     """Conditions whose share of rises differs from the base rate (exact two-sided binomial test) over all dates and again over the last 30 % of the
     condition's dates; marked when the opposite condition is significant in the other direction."""
-    base = targets.agg(F.avg(F.when(F.col(base_target) > 0, 1.0).when(F.col(base_target).isNotNull(), 0.0)).alias("p")).scalar()
-    out = threshold_direction_counts(series, targets, horizons, by=by, d=d, value=value, **kw).withColumn("base_rate", base)
+    base = targets.groupBy(*target_by).agg(F.avg(F.when(F.col(base_target) > 0, 1.0).when(F.col(base_target).isNotNull(), 0.0)).alias("base_rate"))
+    out = threshold_direction_counts(series, targets, horizons, by=by, d=d, value=value, target_by=target_by, **kw)
+    out = out.join(base, list(target_by)) if target_by else out.withColumn("base_rate", base.scalar())
     out = out.filter((F.col("n") >= min_n) & (F.col("oos_n") >= min_n))
     out = out.withColumns({"p_value": binomial_two_sided("bull", "n", "base_rate"), "oos_p_value": binomial_two_sided("oos_bull", "oos_n", "base_rate"),
                            "inv_p_value": binomial_two_sided("inv_bull", "inv_n", "base_rate")})

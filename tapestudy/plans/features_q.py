@@ -319,11 +319,11 @@ def h22(spark, sf):
     return H.exclude_features(assets(spark, sf).withColumnRenamed("series", "feature"), ["vix", "PC"]).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("H23_join_targets", "d:s vix:f y_amp:f y_cat:i",
-       """SELECT p.d, p.vix, y.a AS y_amp, CASE WHEN a >= 60 THEN 2 WHEN a <= 20 THEN 0 ELSE 1 END AS y_cat FROM panel AS p JOIN (SELECT d, abs((close - open) / open * 100.0) AS a FROM bars WHERE symbol = 'AF') AS y ON p.d = y.d""", WIDE)
+@query("H23_join_targets", "symbol d:s vix:f y_amp:f y_cat:i",
+       """SELECT y.symbol, p.d, p.vix, y.a AS y_amp, CASE WHEN a >= 60 THEN 2 WHEN a <= 20 THEN 0 ELSE 1 END AS y_cat FROM panel AS p JOIN (SELECT symbol, d, abs((close - open) / open * 100.0) AS a FROM bars) AS y ON p.d = y.d""", WIDE)
 def h23(spark, sf):
-    t = H.daily_targets(bars(spark, sf).filter("symbol = 'AF'"), 60.0, 20.0)
-    return H.join_targets(panel(spark, sf, ["vix"]), t.select("d", "y_amp"), "y_amp", 60.0, 20.0)
+    t = H.daily_targets(bars(spark, sf), 60.0, 20.0)
+    return H.join_targets(panel(spark, sf, ["vix"]), t.select("symbol", "d", "y_amp"), "y_amp", 60.0, 20.0, by=["symbol"])
 
 
 @query("H24_regime_filter", "symbol d:s close:f", "SELECT b.symbol, b.d, b.close FROM bars AS b ASOF JOIN vix AS v ON b.d >= v.d WHERE v.open BETWEEN 15 AND 25", [BARS, VIX])

@@ -10,6 +10,7 @@ from ..operators import models as M
 from ..operators import rules as R
 from ..operators import series as S
 from ..operators import tables as T
+from ..operators import trees as H
 from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .inputs import BARS, CALENDAR, INTRADAY, MARKET, VIX, bars, calendar, market, table, vix
@@ -20,13 +21,14 @@ from .candles_q import STRICT, WIDE
 from .series_q import RETURNS
 
 
-def model_rows(spark, sf):
-    """Wide features of the rule search with y_amp and a three-class y_cat."""
+def model_inputs(spark, sf):
+    """Features of the rule search, and the sessions of every symbol with y_amp and a three-class y_cat."""
     x, s = prepared(spark, sf)
-    names = sorted(r.feature for r in x.select("feature").distinct().collect())
-    wide = x.groupBy("d").pivot("feature", names).agg(F.max("value"))
-    y = s.select("d", "y_amp", F.when(F.col("y_amp") >= 60, 2).when(F.col("y_amp") <= 35, 0).otherwise(1).alias("y_cat"))
-    return R.materialize(wide.join(y, "d"), "model-rows"), names
+    return x, s.withColumn("y_cat", F.when(F.col("y_amp") >= 60, 2).when(F.col("y_amp") <= 35, 0).otherwise(1))
+
+
+SMALL = {"forest": {"trees": 10, "depth": 3}, "boosted": {"rounds": 4, "depth": 2}}
+TINY = {"forest": {"trees": 2, "depth": 1}}
 
 
 @query("K1_chrono_split", "d:s session_no:i n_sessions:i in_sample:b",
@@ -35,69 +37,82 @@ def k1(spark, sf):
     return M.chrono_split(vix(spark, sf))
 
 
-@query("K2_train_amplitude", "model acc_is:f acc_oos:f mae:f n_train:i n_test:i is_best:b")
+@query("K2_train_amplitude", "symbol learner acc_is:f acc_oos:f mae:f n_train:i n_test:i cv_mean:f cv_std:f is_best:b")
 def k2(spark, sf):
-    rows, names = model_rows(spark, sf)
-    return M.train_amplitude(rows, names, trees=10, depth=3).metrics
+    return H.amplitude_metrics(H.fit(*model_inputs(spark, sf), folds=3, options=SMALL))
+
 
+MROWS = "mrow AS (SELECT symbol, d, CASE WHEN amp >= 60 THEN 2 WHEN amp <= 35 THEN 0 ELSE 1 END AS cat, ins, rn FROM ses WHERE d IN (SELECT d FROM xd))"
 
-MROWS = "mrow AS (SELECT d, CASE WHEN amp >= 60 THEN 2 WHEN amp <= 35 THEN 0 ELSE 1 END AS cat, ins, rn FROM ses WHERE d IN (SELECT d FROM xd))"
 
+@query("K2_stump", "symbol feature percentile:i n_below:i n_above:i gain:f",
+       """SELECT symbol, feature, pct AS percentile, lw AS n_below, rw AS n_above, gain FROM (SELECT *, r0 * r0 / rw + r1 * r1 / rw + r2 * r2 / rw + (s0 - r0) * (s0 - r0) / lw + (s1 - r1) * (s1 - r1) / lw + (s2 - r2) * (s2 - r2) / lw - s0 * s0 / w - s1 * s1 / w - s2 * s2 / w AS gain FROM (
+            SELECT m.symbol, x.feature, t.pct, CAST(count(*) AS DOUBLE) AS w, CAST(count(*) FILTER (WHERE value <= t) AS DOUBLE) AS lw, CAST(count(*) FILTER (WHERE value > t) AS DOUBLE) AS rw,
+              CAST(count(*) FILTER (WHERE cat = 0) AS DOUBLE) AS s0, CAST(count(*) FILTER (WHERE cat = 1) AS DOUBLE) AS s1, CAST(count(*) FILTER (WHERE cat = 2) AS DOUBLE) AS s2,
+              CAST(count(*) FILTER (WHERE value > t AND cat = 0) AS DOUBLE) AS r0, CAST(count(*) FILTER (WHERE value > t AND cat = 1) AS DOUBLE) AS r1, CAST(count(*) FILTER (WHERE value > t AND cat = 2) AS DOUBLE) AS r2
+            FROM mrow AS m JOIN xd AS x ON m.d = x.d JOIN thr AS t ON t.symbol = m.symbol AND t.feature = x.feature WHERE ins GROUP BY m.symbol, x.feature, t.pct) AS a WHERE lw >= 5 AND rw >= 5) AS b
+          QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(gain, 9) DESC, feature, pct) = 1""", [*RULE_BASE, THR, MROWS])
+def k2_stump(spark, sf):
+    """The tree of depth one that every learner of K2 begins with."""
+    return H.stump(*model_inputs(spark, sf))
 
-@query("K2_observed_classes", "category:i n:i", "SELECT cat AS category, count(*) AS n FROM mrow WHERE NOT ins GROUP BY cat", [*RULE_BASE, MROWS])
+
+@query("K2_observed_classes", "symbol category:i n:i", "SELECT symbol, cat AS category, count(*) AS n FROM mrow WHERE NOT ins GROUP BY symbol, cat", [*RULE_BASE, MROWS])
 def k2_classes(spark, sf):
     """The observed classes out of sample that the models are measured on."""
-    rows, names = model_rows(spark, sf)
-    return M.train_amplitude(rows, names, trees=4, depth=2, learners=["random_forest"]).distributions.filter("model = 'observed'")
+    models = H.fit(*model_inputs(spark, sf), tasks=("class",), learners=("forest",), options=TINY)
+    return H.class_distributions(models).filter("model = 'observed'")
 
 
-@query("K2_split_sizes", "n_train:i n_test:i", "SELECT count(*) FILTER (WHERE ins) AS n_train, count(*) FILTER (WHERE NOT ins) AS n_test FROM mrow", [*RULE_BASE, MROWS])
+@query("K2_split_sizes", "symbol n_train:i n_test:i", "SELECT symbol, count(*) FILTER (WHERE ins) AS n_train, count(*) FILTER (WHERE NOT ins) AS n_test FROM mrow GROUP BY symbol", [*RULE_BASE, MROWS])
 def k2_sizes(spark, sf):
-    rows, names = model_rows(spark, sf)
-    return M.train_amplitude(rows, names, trees=4, depth=2, learners=["random_forest"]).metrics
+    return H.amplitude_metrics(H.fit(*model_inputs(spark, sf), tasks=("class",), learners=("forest",), options=TINY))
 
 
-@query("K4_fold_rows", "fold:i n_train:i n_test:i",
-       """SELECT k + 1 AS fold, (SELECT count(*) FROM mrow WHERE rn <= first + k * size) AS n_train, (SELECT count(*) FROM mrow WHERE rn > first + k * size AND rn <= first + (k + 1) * size) AS n_test
-          FROM (SELECT CAST(n // 4 AS BIGINT) AS size, CAST(n - 3 * (n // 4) AS BIGINT) AS first FROM (SELECT count(*) AS n FROM mrow WHERE ins) AS a) AS b CROSS JOIN (VALUES (0), (1), (2)) AS q(k)""", [*RULE_BASE, MROWS])
+@query("K4_fold_rows", "symbol fold:i n_train:i n_test:i",
+       """SELECT b.symbol, k + 1 AS fold, count(*) FILTER (WHERE rn <= first + k * size) AS n_train, count(*) FILTER (WHERE rn > first + k * size AND rn <= first + (k + 1) * size) AS n_test
+          FROM (SELECT symbol, CAST(n // 4 AS BIGINT) AS size, CAST(n - 3 * (n // 4) AS BIGINT) AS first FROM (SELECT symbol, count(*) AS n FROM mrow WHERE ins GROUP BY symbol) AS a) AS b
+          CROSS JOIN (VALUES (0), (1), (2)) AS q(k) JOIN mrow AS m ON m.symbol = b.symbol AND m.ins GROUP BY b.symbol, k""", [*RULE_BASE, MROWS])
 def k4_folds(spark, sf):
-    """The rows of each expanding fold of K2, K4 and K6."""
-    rows = M.chrono_split(model_rows(spark, sf)[0]).filter("in_sample")
-    folds = M.time_folds(M.last_session(rows), 3)
-    parts = F.inline(F.array(*[F.struct(F.lit(i + 1).alias("fold"), F.lit(a).alias("_a"), F.lit(b).alias("_b")) for i, (a, b) in enumerate(folds)]))
-    return rows.select("session_no", parts).groupBy("fold").agg(F.count_if(F.col("session_no") <= F.col("_a")).alias("n_train"), F.count_if((F.col("session_no") > F.col("_a")) & (F.col("session_no") <= F.col("_b"))).alias("n_test"))
+    """The sessions of each expanding fold of K2, K4 and K6."""
+    rows = H.fold_sessions(model_inputs(spark, sf)[1], 3, by=["symbol"]).filter("fold > 0")
+    return rows.groupBy("symbol", "fold").agg(F.count_if("train").alias("n_train"), F.count_if("test").alias("n_test"))
 
 
-@query("K3_score_latest", "d:s category:i amplitude:f")
+@query("K3_score_latest", "symbol d:s category:i amplitude:f")
 def k3(spark, sf):
-    rows, names = model_rows(spark, sf)
-    models = M.train_amplitude(rows, names, trees=10, depth=3, learners=["random_forest"])
-    return M.score_latest(models, rows)
+    models = H.fit(*model_inputs(spark, sf), options=SMALL)
+    return H.score_newest(models, H.amplitude_metrics(models))
+
+
+@query("K3_newest_sessions", "symbol d:s", "SELECT symbol, max(d) AS d FROM mrow GROUP BY symbol", [*RULE_BASE, MROWS])
+def k3_days(spark, sf):
+    """The sessions that K3 scores."""
+    models = H.fit(*model_inputs(spark, sf), learners=("forest",), options=TINY)
+    return H.score_newest(models, H.amplitude_metrics(models))
 
 
-@query("K4_select_features", "feature position:i")
+@query("K4_select_features", "symbol feature position:i importance:f")
 def k4(spark, sf):
-    rows, names = model_rows(spark, sf)
-    chosen = M.select_features(rows, names, 10, folds=3, trees=15)
-    return spark.createDataFrame([(f, i) for i, f in enumerate(chosen)], "feature string, position int")
+    x, s = model_inputs(spark, sf)
+    return H.select_features(H.fit(x, s, tasks=("class",), folds=3, learners=("forest",), options=SMALL), x, s)
 
 
-@query("K5_top_features", "feature importance:f position:i")
+@query("K5_top_features", "symbol feature importance:f position:i")
 def k5(spark, sf):
-    rows, names = model_rows(spark, sf)
-    return M.top_features(rows, names, 10, trees=20)
+    return H.top_features(H.fit(*model_inputs(spark, sf), tasks=("strong",), learners=("forest",), options=SMALL))
 
 
-@query("K5_correlation_ranking", "feature corr:f abs_corr:f",
-       "SELECT x.feature, corr(value, CAST(y AS INT)) AS corr, abs(corr(value, CAST(y AS INT))) AS abs_corr FROM xd AS x JOIN ses AS s ON x.d = s.d WHERE ins GROUP BY x.feature", RULE_BASE)
+@query("K5_correlation_ranking", "symbol feature corr:f abs_corr:f",
+       "SELECT symbol, x.feature, corr(value, CAST(y AS INT)) AS corr, abs(corr(value, CAST(y AS INT))) AS abs_corr FROM xd AS x JOIN ses AS s ON x.d = s.d WHERE ins GROUP BY symbol, x.feature", RULE_BASE)
 def k5_corr(spark, sf):
-    return M.correlation_ranking(*prepared(spark, sf))
+    return M.correlation_ranking(*prepared(spark, sf), by=["symbol"])
 
 
-@query("K6_binary_strong_classifier", "threshold:f n_oos:i precision:f per_quarter:f")
+@query("K6_binary_strong_classifier", "symbol learner threshold:f n_oos:i precision:f per_quarter:f is_best:b")
 def k6(spark, sf):
-    rows, names = model_rows(spark, sf)
-    return M.binary_strong_classifier(rows, names, iterations=10, folds=3)[0]
+    """The curves of all learners; the best one has the highest precision at .70."""
+    return H.strong_classifier(H.fit(*model_inputs(spark, sf), tasks=("strong",), folds=3, options=SMALL))[0]
 
 
 @query("L1_top_k", "symbol d:s var_pct:f", "SELECT symbol, d, var_pct FROM ret WHERE var_pct IS NOT NULL ORDER BY var_pct DESC, symbol, d LIMIT 25", [BARS, RETURNS])
@@ -165,10 +180,10 @@ def l9(spark, sf):
 
 
 @query("L10_rule_json", "feature direction percentile:i threshold:f n_is:i precision_oos:f",
-       "SELECT h.feature, h.dir AS direction, h.pct AS percentile, h.t AS threshold, m.n_is, m.p_oos AS precision_oos FROM met AS m JOIN (SELECT DISTINCT rule_id, feature, dir, pct, t FROM hits) AS h ON m.rule_id = h.rule_id WHERE n_is >= 15 AND n_oos >= 6 AND NOT leak AND p_oos >= 55",
+       "SELECT h.feature, h.dir AS direction, h.pct AS percentile, h.t AS threshold, m.n_is, m.p_oos AS precision_oos FROM met AS m JOIN (SELECT DISTINCT symbol, rule_id, feature, dir, pct, t FROM hits) AS h ON m.symbol = h.symbol AND m.rule_id = h.rule_id WHERE n_is >= 15 AND n_oos >= 6 AND NOT leak AND p_oos >= 55",
        [*RULE_BASE, THR, UHITS, metrics(55)])
 def l10(spark, sf):
-    rules = R.univariate_rules(*prepared(spark, sf), min_precision=55.0)
+    rules = R.univariate_rules(*prepared(spark, sf), min_precision=55.0, by=["symbol"])
     path = shared_dir(spark, "rules-json")
     T.rules_to_json(rules.withColumns({"type": F.col("kind"), "operator": F.col("op")}), ["type", "features", "operator", "conditions", "n_is", "n_oos", "precision_is", "precision_oos"]).write.text(path)
     back = T.rules_from_json(spark.read.text(path))

@@ -126,27 +126,26 @@ def i4(spark, sf):
     return N.candle_pattern_discovery(bars(spark, sf))
 
 
-def af_targets(spark, sf):
-    w = sessions()
-    b = bars(spark, sf).filter("symbol = 'AF'")
-    return b.select("d", ((F.col("close") - F.col("open")) / F.col("open") * 100.0).alias("ret_close"), ((F.lead("open").over(w) - F.col("close")) / F.col("close") * 100.0).alias("ret_open_next"))
+def all_targets(spark, sf):
+    w = sessions("symbol")
+    return bars(spark, sf).select("symbol", "d", ((F.col("close") - F.col("open")) / F.col("open") * 100.0).alias("ret_close"), ((F.lead("open").over(w) - F.col("close")) / F.col("close") * 100.0).alias("ret_open_next"))
 
 
-AFT = "aft AS (SELECT d, (close - open) / open * 100.0 AS ret_close, (lead(open) OVER (ORDER BY d) - close) / close * 100.0 AS ret_open_next FROM bars WHERE symbol = 'AF')"
+AFT = "aft AS (SELECT symbol, d, (close - open) / open * 100.0 AS ret_close, (lead(open) OVER (PARTITION BY symbol ORDER BY d) - close) / close * 100.0 AS ret_open_next FROM bars)"
 QS = str([0.1 + 0.8 * i / 7 for i in range(8)])
 TDC = f"""lv AS (SELECT series, unnest(list_distinct(list_transform(quantile_cont(value, {QS}), lambda x: round(x, 2)))) AS threshold FROM market GROUP BY series HAVING count(*) >= 30),
 tdr AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY series, threshold, op ORDER BY d) > floor(sum(CAST(hit AS INT)) OVER (PARTITION BY series, threshold, op) * CAST(0.7 AS DOUBLE)) AS late FROM (
   SELECT m.series, m.d, l.threshold, op, CASE WHEN op = '>' THEN m.value > l.threshold ELSE m.value < l.threshold END AS hit FROM market AS m JOIN lv AS l ON m.series = l.series CROSS JOIN (VALUES ('>'), ('<')) AS o(op)) AS a),
-tdc AS (SELECT series, op, threshold, horizon, count(v) FILTER (WHERE hit) AS n, count(*) FILTER (WHERE hit AND v > 0) AS bull, avg(v) FILTER (WHERE hit) AS mean, count(v) FILTER (WHERE hit AND NOT late) AS train_n,
+tdc AS (SELECT symbol, series, op, threshold, horizon, count(v) FILTER (WHERE hit) AS n, count(*) FILTER (WHERE hit AND v > 0) AS bull, avg(v) FILTER (WHERE hit) AS mean, count(v) FILTER (WHERE hit AND NOT late) AS train_n,
   count(v) FILTER (WHERE hit AND late) AS oos_n, count(*) FILTER (WHERE hit AND late AND v > 0) AS oos_bull, avg(v) FILTER (WHERE hit AND late) AS oos_mean, count(v) FILTER (WHERE NOT hit) AS inv_n, count(*) FILTER (WHERE NOT hit AND v > 0) AS inv_bull
-  FROM (SELECT t.*, h.horizon, h.v FROM (SELECT t.*, a.ret_close, a.ret_open_next FROM tdr AS t JOIN aft AS a ON a.d = t.d) AS t CROSS JOIN LATERAL (VALUES ('ret_close', ret_close), ('ret_open_next', ret_open_next)) AS h(horizon, v)) AS b
-  GROUP BY series, op, threshold, horizon)"""
+  FROM (SELECT t.*, h.horizon, h.v FROM (SELECT t.*, a.symbol, a.ret_close, a.ret_open_next FROM tdr AS t JOIN aft AS a ON a.d = t.d) AS t CROSS JOIN LATERAL (VALUES ('ret_close', ret_close), ('ret_open_next', ret_open_next)) AS h(horizon, v)) AS b
+  GROUP BY symbol, series, op, threshold, horizon)"""
 TD = ("ret_close", "ret_open_next")
 
 
-@query("I5_threshold_direction_counts", "series op threshold:f horizon n:i bull:i mean:f train_n:i oos_n:i oos_bull:i oos_mean:f inv_n:i inv_bull:i", "SELECT * FROM tdc", [BARS, MARKET, AFT, TDC])
+@query("I5_threshold_direction_counts", "symbol series op threshold:f horizon n:i bull:i mean:f train_n:i oos_n:i oos_bull:i oos_mean:f inv_n:i inv_bull:i", "SELECT * FROM tdc", [BARS, MARKET, AFT, TDC])
 def i5_counts(spark, sf):
-    return N.threshold_direction_counts(market(spark, sf), af_targets(spark, sf), TD)
+    return N.threshold_direction_counts(market(spark, sf), all_targets(spark, sf), TD, target_by=["symbol"])
 
 
 def pv(k, n):
@@ -154,12 +153,12 @@ def pv(k, n):
           WHERE l <= lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln(p) + ({n} - {k}) * ln(1 - p) + 1e-7)"""
 
 
-@query("I5_threshold_direction_scan", "series op threshold:f horizon n:i pct_bull:f mean:f p_value:f oos_n:i oos_pct_bull:f oos_p_value:f invalidated:b",
+@query("I5_threshold_direction_scan", "symbol series op threshold:f horizon n:i pct_bull:f mean:f p_value:f oos_n:i oos_pct_bull:f oos_p_value:f invalidated:b",
        f"""SELECT *, bull * 100.0 / n AS pct_bull, oos_bull * 100.0 / oos_n AS oos_pct_bull, coalesce(inv_n >= 30 AND inv_p < 0.4 AND (bull * 100.0 / n > 50) <> (inv_bull * 100.0 / inv_n > 50), false) AS invalidated
           FROM (SELECT *, {pv('bull', 'n')} AS p_value, {pv('oos_bull', 'oos_n')} AS oos_p_value, {pv('inv_bull', 'inv_n')} AS inv_p
-                FROM (SELECT *, (SELECT avg(CASE WHEN ret_close > 0 THEN 1.0 ELSE 0.0 END) FROM aft) AS p FROM tdc WHERE n >= 30 AND oos_n >= 30) AS a) AS b WHERE p_value < 0.4 AND oos_p_value < 0.4""", [BARS, MARKET, AFT, TDC])
+                FROM (SELECT tdc.*, base.p FROM tdc JOIN (SELECT symbol, avg(CASE WHEN ret_close > 0 THEN 1.0 ELSE 0.0 END) AS p FROM aft GROUP BY symbol) AS base ON tdc.symbol = base.symbol WHERE n >= 30 AND oos_n >= 30) AS a) AS b WHERE p_value < 0.4 AND oos_p_value < 0.4""", [BARS, MARKET, AFT, TDC])
 def i5(spark, sf):
-    return N.threshold_direction_scan(market(spark, sf), af_targets(spark, sf), TD, max_p=0.4)
+    return N.threshold_direction_scan(market(spark, sf), all_targets(spark, sf), TD, max_p=0.4, target_by=["symbol"])
 
 
 SUMM = "count(*) AS n, avg(ret) AS mean, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate"
