@@ -588,19 +588,41 @@ def to_long(family: DataFrame, *, d="d", ids=("panel",)) -> DataFrame:
     return melt(family, [*ids, d], {c: F.lit(c) for c in names})
 
 
+def _long_priority(feature) -> Column:
+    """``priority_of`` for a column of names; null for features of other families."""
+    name, table = as_col(feature), priorities()
+    by_level = {p: sorted(k for k, v in table.items() if v == p) for p in sorted(set(table.values()))}
+    out = F.when(~any_of([name.startswith(p) for p in CROSS_PREFIXES]), F.lit(None).cast("int"))
+    for p, named in by_level.items():
+        out = out.when(name.isin(named), p)
+    high = name.isin(HIGH_PRIORITY) | name.startswith("cfm_vix_") | name.startswith("cfm_spx_or30_")
+    return out.when(name.isin(LOW_PRIORITY), 1).when(high, 3).otherwise(2)
+
+
 def assemble_features(families, min_priority: int = 2, *, d="d", ids=("panel",)) -> DataFrame:
-    """Long union of families; of equally named features the first family's is kept; cross-asset features below
-    ``min_priority`` are dropped. Families may be wide or long (feature, value)."""
-    seen, parts = set(), []
+    """Long union of families; of equally named features the first family's is kept; cross-asset features below ``min_priority`` are
+    dropped. Families may be wide or long (feature, value); both rules hold for both kinds. The names of an earlier long family are read
+    from its rows: a later family loses them by an anti-join with its distinct names."""
+    seen, read, parts = set(), None, []
     for fam in families:
         if {"feature", "value"} <= set(fam.columns):
-            parts.append(fam.select(*[c if c in fam.columns else F.lit("market").alias(c) for c in ids], d, "feature", "value"))
-            continue
-        names = [c for c in fam.columns if c not in (*ids, d) and c not in seen and (priority_of(c) or min_priority) >= min_priority]
-        if not names:
-            continue
-        seen |= set(names)
-        parts.append(to_long(fam.select(*ids, d, *names), d=d, ids=ids))
+            rows = fam.select(*[c if c in fam.columns else F.lit("market").alias(c) for c in ids], d, "feature", "value")
+            rows = rows.filter(F.coalesce(_long_priority("feature"), F.lit(min_priority)) >= min_priority)
+            if seen:
+                rows = rows.filter(~F.col("feature").isin(sorted(seen)))
+        else:
+            names = [c for c in fam.columns if c not in (*ids, d) and c not in seen and (priority_of(c) or min_priority) >= min_priority]
+            if not names:
+                continue
+            rows = to_long(fam.select(*ids, d, *names), d=d, ids=ids)
+        if read is not None:
+            rows = rows.join(read, "feature", "left_anti").select(*rows.columns)
+        parts.append(rows)
+        if {"feature", "value"} <= set(fam.columns):
+            mine = rows.select("feature").distinct()
+            read = mine if read is None else read.unionByName(mine)
+        else:
+            seen |= set(names)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -629,19 +651,23 @@ def session_split(features: DataFrame, ratio: float = 0.7, *, d="d") -> DataFram
 
 def drop_sparse_and_impute(features: DataFrame, max_null: float = 0.40, is_ratio: float = 0.7, *, d="d") -> DataFrame:
     """Features with at most ``max_null`` missing sessions, missing values filled with the median of the first ``is_ratio`` of
-    the sessions; a feature whose median is unknown stays only if nothing is missing. Input and result are long."""
+    the sessions; a feature whose median is unknown stays only if nothing is missing. Input and result are long, one value per session.
+
+    Which sessions a feature has is a bitmap per 64 sessions; only the sessions that are missing in it become new rows."""
     days = session_split(features, is_ratio, d=d)
+    place = F.col("session_no") - 1
+    days = days.withColumns({"_block": F.floor(place / 64).cast("int"), "_bit": F.expr("shiftleft(1L, cast((session_no - 1) % 64 as int))")})
     known = features.filter(F.col("value").isNotNull()).join(days, [d])
-    cell = F.struct(F.col(d), F.col("value").cast("double").alias("value"))
-    packed = known.groupBy("feature").agg(
-        F.collect_list(cell).alias("_cells"), F.max("n_sessions").alias("_n"), F.percentile(F.when(F.col("in_sample"), F.col("value")), F.lit(0.5)).alias("_median"))
-    have = F.size("_cells")
-    packed = packed.filter((1 - have / F.col("_n") <= max_null) & (F.col("_median").isNotNull() | (have == F.col("_n"))))
-    # a feature is one row of at most one cell per session here; only its missing sessions are added
-    all_days = days.agg(F.collect_list(d).alias("_days")).scalar()
-    packed = packed.withColumn("_missing", F.array_except(all_days, F.transform("_cells", lambda c: c[d])))
-    filled = F.transform("_missing", lambda x: F.struct(x.alias(d), F.col("_median").alias("value")))
-    return packed.select("feature", F.inline(F.concat("_cells", filled)))
+    stats = known.groupBy("feature").agg(F.count(F.lit(1)).alias("_have"), F.max("n_sessions").alias("_n"), F.percentile(F.when(F.col("in_sample"), F.col("value")), F.lit(0.5)).alias("_median"))
+    stats = stats.filter((1 - F.col("_have") / F.col("_n") <= max_null) & (F.col("_median").isNotNull() | (F.col("_have") == F.col("_n"))))
+    present = known.groupBy("feature", "_block").agg(F.bit_or("_bit").alias("_bits"))
+    blocks = stats.filter("_have < _n").select("feature", "_median", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / 64).cast("int"))).alias("_block"))
+    holes = blocks.join(present, ["feature", "_block"], "left").select("feature", "_median", "_block", F.bitwise_not(F.coalesce("_bits", F.lit(0).cast("bigint"))).alias("_holes"))
+    at = F.explode(F.expr("filter(sequence(0, 63), i -> getbit(_holes, i) = 1)"))
+    missing = holes.filter("_holes <> 0").select("feature", "_median", "_block", at.alias("_i"))
+    missing = missing.withColumn("session_no", F.col("_block") * 64 + F.col("_i") + 1).join(days.select(d, "session_no"), "session_no")
+    kept = known.join(stats.select("feature"), "feature", "left_semi").select("feature", d, F.col("value").cast("double").alias("value"))
+    return kept.unionByName(missing.select("feature", d, F.col("_median").cast("double").alias("value")))
 
 
 def exclude_features(features: DataFrame, substrings=("vix1d", "vix1d_vix")) -> DataFrame:

@@ -127,8 +127,8 @@ KNOWN_AT_OPEN = ("symbol", "ts", "d", "minute_of_day", "freq_min", "open")
 
 
 def measures(df: DataFrame, keep) -> list[str]:
-    """Columns that hold values of a bar: numbers and collections outside ``keep``; texts and times are keys."""
-    return [f.name for f in df.schema if f.name not in keep and isinstance(f.dataType, (NumericType, BooleanType, MapType, ArrayType, StructType))]
+    """Columns that are hidden while a bar is open: all outside ``keep``, whatever their type."""
+    return [c for c in df.columns if c not in keep]
 
 
 def ex_ante_mask_intraday(df: DataFrame, at, freq_min: int, mode: str = "generic", *, ts="ts", keep=KNOWN_AT_OPEN) -> DataFrame:
