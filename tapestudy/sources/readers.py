@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,67 +86,73 @@ def normalize_time(df: DataFrame, col: str = "time", *, src_tz: str | None = Non
 
 
 SEPARATORS = (";", ",", "\t")
-MAX_FIELDS = 64
 
 
-def header_name(text) -> Column:
+def header_name(text: str) -> str:
     """A column name as files write it: case, blanks, quotes and a byte-order mark do not count."""
-    return F.lower(F.regexp_replace(as_col(text), "^\\ufeff|[\\s\"']", ""))
+    return "".join(c for c in text.lstrip("\ufeff").lower() if not c.isspace() and c not in "\"'")
 
 
-def _heads(spark: SparkSession, path: str, sep: str | None) -> tuple[DataFrame, DataFrame]:
-    """All lines with their file, and one row per file: its first line and separator."""
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of every file that has a line. The driver lists files in any case; it reads one line of each."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    heads = lines.withColumn("_i", F.monotonically_increasing_id()).filter("_start = 0").groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
+    first = lines.withColumn("_i", F.monotonically_increasing_id()).filter("_start = 0").groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
+    return sorted((r["_file"], r["_head"]) for r in first.collect())
+
 
-    def count(s):
-        return F.length("_head") - F.length(F.replace("_head", F.lit(s)))
-    kind = F.lit(sep) if sep else F.when((count(";") >= count(",")) & (count(";") >= count("\t")) & (count(";") > 0), ";").when((count("\t") > count(",")), "\t").otherwise(",")
-    return lines, heads.withColumn("_sep", kind)
+def separator_of(header: str) -> str:
+    """The most frequent separator of a header; of equal ones a semicolon before a comma before a tab."""
+    return max(SEPARATORS, key=lambda s: (header.count(s), -SEPARATORS.index(s))) if any(s in header for s in SEPARATORS) else ","
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
     """The separator of the files' headers; an error if they differ (read_text_table takes each file's own)."""
-    found = sorted(r[0] for r in _heads(spark, path, None)[1].select("_sep").distinct().collect())  # of three at most
+    found = sorted({separator_of(head) for _, head in _headers(spark, path)})
     if len(found) != 1:
         raise ValueError(f"files below {path} have separators {found}")
     return found[0]
 
 
+def layouts(spark: SparkSession, path: str, columns, sep: str | None = None, *, aliases=None, required=None) -> dict[tuple, list[str]]:
+    """Files by layout: (separator, number of columns, place of each wanted column or None). Files whose headers differ in other
+    columns alone, but have as many of them, share a layout."""
+    aliases, required, out = aliases or {}, set(columns if required is None else required), {}
+    for file, head in _headers(spark, path):
+        mark = sep or separator_of(head)
+        names = [header_name(x) for x in next(csv.reader([head], delimiter=mark), [])]
+        places = []
+        for c in columns:
+            found = [names.index(n) for n in (header_name(x) for x in (c, *aliases.get(c, ()))) if n in names]
+            if not found and c in required:
+                raise ValueError(f"no column {c} in {file}")
+            places.append(found[0] if found else None)
+        out.setdefault((mark, len(names), tuple(places)), []).append(file)
+    return out
+
+
+def _as_path(uri: str) -> str:
+    """A file's path for a reader, from the escaped form in which Spark reports it."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def read_text_table(spark: SparkSession, path: str, columns, sep: str | None = None, *, aliases=None, required=None) -> DataFrame:
     """Delimited files with a header each, every column as text, and ``_file``.
 
-    Columns are found by name in the header of their own file, so files of one call may differ in order, in further columns and (with
-    ``sep=None``) in the separator. ``aliases`` maps a column to other names it may have. A file without one of the ``required`` columns
-    (all by default) fails the read with its name; other missing columns are null. Lines are records: quoted line breaks are not supported.
-    """
-    aliases = aliases or {}
-    required = set(columns if required is None else required)
-    lines, heads = _heads(spark, path, sep)
-    fields = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
-
-    def cells(text):
-        options = [sep] if sep else SEPARATORS
-        out = None
-        for s in options:
-            parsed = F.from_csv(text, F.lit(fields), {"sep": s, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-            out = F.when(F.col("_sep") == s, parsed) if out is None else out.when(F.col("_sep") == s, parsed)
-        return out
-
-    heads = heads.withColumn("_h", cells("_head"))
-    names = F.array(*[F.coalesce(header_name(F.col(f"_h.c{i}")), F.lit("")) for i in range(MAX_FIELDS)])
-    heads = heads.withColumn("_names", names)
-    places = {}
-    for c in columns:
-        found = F.coalesce(*[F.nullif(F.array_position("_names", F.lit("".join(n.lower().split()))), F.lit(0)) for n in (c, *aliases.get(c, ()))])
-        if c in required:
-            found = F.when(found.isNull(), F.raise_error(F.concat(F.lit(f"no column {c} in "), "_file"))).otherwise(found)
-        places[c] = found
-    heads = heads.select("_file", "_head", "_sep", *[place.cast("int").alias(f"_at{i}") for i, place in enumerate(places.values())])
-    rows = lines.join(heads, "_file").filter((F.col("value") != F.col("_head")) & (F.trim("value") != ""))
-    rows = rows.withColumn("_c", cells("value"))
-    every = F.array(*[F.col(f"_c.c{i}") for i in range(MAX_FIELDS)])
-    return rows.withColumn("_cells", every).select(*[F.get("_cells", F.col(f"_at{i}") - 1).alias(c) for i, c in enumerate(columns)], "_file")
+    Columns are found by name in the header of their own file, so files of one call may differ in order, in further columns (any number) and
+    (with ``sep=None``) in the separator. ``aliases`` maps a column to other names it may have. A file without one of the ``required`` columns
+    (all by default) is an error that names it; other missing columns are null. Lines are records: quoted line breaks are not supported.
+
+    Headers make a catalogue of layouts; each layout is one scan that parses the wanted columns alone."""
+    out = None
+    for (mark, width, places), files in sorted(layouts(spark, path, columns, sep, aliases=aliases, required=required).items(), key=str):
+        schema = ", ".join(f"c{i} STRING" for i in range(width))
+        rows = spark.read.schema(schema).csv([_as_path(f) for f in files], sep=mark, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        cells = [F.lit(None).cast("string") if at is None else F.col(f"c{at}") for at in places]
+        part = rows.select(*[x.alias(c) for c, x in zip(columns, cells)], F.col("_metadata.file_path").alias("_file"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*columns, "_file")))
+    return out
 
 
 def _name_parts(path, group: int) -> Column:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tapestudy.sources import readers as R
@@ -58,3 +59,22 @@ def test_market_series_selection(spark):
     cat = spark.createDataFrame([(n, 10 if n == "tiny" else 100) for n in names], "symbol string, rows int")
     got = {r.symbol: r.compared_by for r in R.select_market_series(cat).collect()}
     assert got == {"VIX_daily": "close", "gold_daily": "var_pct"}
+
+
+def test_layouts_of_any_width(spark, tmp_path):
+    """Narrow and wide files, orders, separators, odd names and a missing column in one call."""
+    wide = [f"x{i}" for i in range(200)]
+    write(tmp_path / "WIDE.csv", ",".join(["time", "open", *wide, "high", "low", "close", "volume", "extra one"]) + "\n" + ",".join(["2024-01-02", "1", *["0"] * 200, "3", "0.5", "2", "70", "8"]) + "\n")
+    write(tmp_path / "NARROW.csv", "\ufeffTime;Close; Open ;High;Low;Vol\n2024-01-02;2,5;1,5;3,5;1;\n\n")
+    write(tmp_path / "a[1] b+c.csv", "date\topen\thigh\tlow\tclose\n2024-01-02\t1\t2\t0\t1\n")
+    write(tmp_path / "EMPTY.csv", "")
+    got = {r.symbol: (r.open, r.high, r.low, r.close, r.volume, r.extras) for r in R.read_bars(spark, str(tmp_path), columns=(*R.BAR_COLUMNS, "extra one")).collect()}
+    assert got == {"WIDE": (1.0, 3.0, 0.5, 2.0, 70.0, {"extra_one": 8.0}), "NARROW": (1.5, 3.5, 1.0, 2.5, None, {"extra_one": None}), "A[1] B+C": (1.0, 2.0, 0.0, 1.0, None, {"extra_one": None})}
+    assert len(R.layouts(spark, str(tmp_path), R.BAR_COLUMNS, aliases=R.BAR_ALIASES, required=["time"])) == 3
+    write(tmp_path / "BAD.csv", "time;open;high;low\n2024-01-02;1;2;3\n")
+    with pytest.raises(ValueError, match="no column close in .*BAD.csv"):
+        R.read_bars(spark, str(tmp_path))
+    only = tmp_path / "none"
+    only.mkdir()
+    write(only / "X.csv", "")
+    assert R.read_bars(spark, str(only)).count() == 0
