@@ -6,7 +6,7 @@ their codes is scored. Training takes a bounded sample of labelled documents (`m
 scoring covers every passage of every document.
 
 Nulls and edge cases: a null or empty text is one empty passage and gets a score; labels without a document, or null, are
-left out; without labels the score is 0.5; with one kind of label only, the model learns that kind; repeated rows get equal
+left out, as is a text longer than the bound on passages, from training; without labels the score is 0.5; with one kind of label only, the model learns that kind; repeated rows get equal
 scores; an empty table gives an empty result.
 """
 
@@ -41,9 +41,13 @@ def _features(word: bytes) -> int:
 
 
 def bag(text: str) -> np.ndarray:
-    """(passages, WIDTH) counts of a whole text; counts fit a byte as a passage has PASSAGE words."""
+    """(passages, WIDTH) counts of a whole text; counts fit a byte as a passage has PASSAGE words. Long texts are counted piece by piece."""
     hold_tables("quality classifier", _known.clear)
-    words = words_of(text)
+    words, step = words_of(text), 1024 * PASSAGE
+    return np.concatenate([_counts(words[i:i + step]) for i in range(0, max(1, len(words)), step)])
+
+
+def _counts(words: list[bytes]) -> np.ndarray:
     n = max(1, -(-len(words) // PASSAGE))
     for w in set(words).difference(_known):
         if len(_known) >= KEPT_WORDS:
@@ -110,10 +114,13 @@ class GatedAttention:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_documents: int = 6000, max_passages: int = 60_000) -> GatedAttention | None:
-    """Fit on at most ``max_documents`` labelled documents, those whose id has the least hash, and at most about
-    ``max_passages`` passages of them. Both bounds keep the driver's share fixed; they do not touch scoring."""
+    """Fit on at most ``max_documents`` labelled documents, those whose id has the least hash, and at most ``max_passages`` passages of
+    them: a document that would go beyond is left out, and the next ones are tried. Of rows that share an id one is taken (the text of
+    least hash). Both bounds keep the driver's share fixed; they do not touch scoring."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    plain = two_columns(docs, key, text, "string")
+    there = known.groupBy("doc_id").agg(F.max("label").alias("label")).join(plain.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("passages", pa.int64()), ("counts", pa.binary())])
 
     def run(batches):
@@ -124,17 +131,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield batch_of(schema, part.column("doc_id").to_pylist(), part.column("label").to_pylist(), [len(x) for x in bags], [x.tobytes() for x in bags])
 
     # the sample has max_documents rows of two numbers at most
-    joined = two_columns(docs, key, text, "string").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(joined.mapInArrow(run, "doc_id bigint, label int, passages bigint, counts binary"), "bags").withColumn("at", F.xxhash64("doc_id"))
-    passages, last = 0, None
-    for r in sorted(rows.select("at", "passages").collect()):
-        passages += r.passages
-        if passages > max_passages and last is not None:
-            break
-        last = r["at"]
-    if last is None:
+    chosen = F.broadcast(materialize(chosen, "training-ids"))
+    text_of = F.coalesce("text", F.lit(""))
+    joined = plain.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by(text_of, F.struct(F.xxhash64(text_of), text_of)).alias("text"))
+    rows = materialize(joined.mapInArrow(run, "doc_id bigint, label int, passages bigint, counts binary"), "bags")
+    passages, fit = 0, []
+    for r in sorted(rows.select(F.xxhash64("doc_id").alias("at"), "doc_id", "passages").collect()):
+        if passages + r.passages <= max_passages:
+            passages += r.passages
+            fit.append((r.doc_id,))
+    if not fit:
         return None
-    taken = sorted(rows.where(F.col("at") <= last).collect(), key=lambda r: (r["at"], r.counts))
+    taken = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fit, "doc_id bigint")), "doc_id").withColumn("at", F.xxhash64("doc_id")).collect()
+    taken.sort(key=lambda r: (r["at"], r.doc_id))
     bags = [np.frombuffer(r.counts, np.uint8).reshape(-1, WIDTH) for r in taken]
     return GatedAttention().fit(bags, np.array([min(max(r.label, 0), 1) for r in taken], np.float32))
 
