@@ -42,7 +42,8 @@ class WordTokens:
     ids of its parts (runs of letters, digits, runs of other signs). Ids of words and parts are kept in bounded tables; new
     parts are encoded many at a time and told apart by the tokens that end a part."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,7 +68,7 @@ class WordTokens:
             self.parts.update(zip(some, (x.tobytes() for x in each)))
 
     def _learn(self, words) -> None:
-        keep_first(self.parts, KEPT_WORDS)
+        keep_first(self.parts, self.kept)
         cut, alone, new, known = [], [], {}, self.parts
         for w in words:
             s = w.decode()
@@ -99,7 +100,7 @@ class WordTokens:
         words, out = words_of(text), []
         for i in range(0, len(words), 50_000):
             part = words[i:i + 50_000]
-            keep_first(self.known, KEPT_WORDS)
+            keep_first(self.known, self.kept)
             known = self.known
             if new := set(part).difference(known):
                 self._learn(new)
@@ -107,25 +108,26 @@ class WordTokens:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-_loaded: dict[str, WordTokens] = {}
+_loaded: dict[tuple, WordTokens] = {}
 
 
-def load(vocabulary: str) -> WordTokens:
+def load(vocabulary: str, kept: int = KEPT_WORDS) -> WordTokens:
     """One encoder per vocabulary and worker process, with the words that earlier tasks have met."""
     hold_tables("packing", _loaded.clear)
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = WordTokens(vocabulary)
-    return _loaded[vocabulary]
+    if (vocabulary, kept) not in _loaded:
+        _loaded[vocabulary, kept] = WordTokens(vocabulary, kept)
+    return _loaded[vocabulary, kept]
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece. Each document's ids end with END."""
+def pieces_of(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, kept: int = KEPT_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece. Each document's ids end with END. A worker keeps the ids of about ``kept``
+    words and as many parts of words: some 400 bytes each together."""
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(kinds)
 
     def run(batches):
-        tokens = load(vocabulary)
-        for keys, texts in text_batches(batches, "text"):
+        tokens = load(vocabulary, kept)
+        for keys, texts in text_batches((b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)), "text"):
             out = []
             for k, t in zip(keys, texts):
                 ids = np.append(tokens.ids(t), np.uint32(END)).astype("<u4")
@@ -223,5 +225,5 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = 50_000)
     return ranked.mapInArrow(run, kinds)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return packed(materialize(pieces_of(docs, vocabulary, key, text, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, kept: int = KEPT_WORDS) -> DataFrame:
+    return packed(materialize(pieces_of(docs, vocabulary, key, text, capacity, kept), "pieces"), capacity)

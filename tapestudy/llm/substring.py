@@ -184,10 +184,10 @@ def _window_minima(batches):
         if len(rows):
             held.append(rows)
             size += len(rows)
-        if size > 1_000_000:
+        if size > 300_000:
             held = [merged(held)]
             size = len(held[0])
-            if size > 500_000:
+            if size > 150_000:
                 yield from sent(held[0])
                 held, size = [], 0
     if held:
