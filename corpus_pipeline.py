@@ -37,8 +37,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
-    return packing.pack_documents(docs, WORD_VOCABULARY)
+    """Token pieces of all documents, packed into sequences. Workers that ran the stages before have less memory left for known words."""
+    return packing.pack_documents(docs, WORD_VOCABULARY, kept=100_000)
 
 
 STAGES = [(name, importable(stage)) for name, stage in (
