@@ -71,7 +71,8 @@ def test_boolean_tree_treats_null_as_false(spark):
 def test_ex_ante_mask_hides_what_is_not_known(spark):
     df = spark.createDataFrame([("09:30", 1.0, 5.0), ("10:00", 2.0, 6.0), ("10:30", 3.0, 7.0)], "t string, open double, close double").withColumn(
         "ts", F.concat(F.lit("2024-01-02 "), "t", F.lit(":00")).cast("timestamp_ntz"))
-    at = lambda when, mode="generic": [(r.t, r.open, r.close) for r in P.ex_ante_mask_intraday(df, when, 30, mode).orderBy("ts").collect()]
+    at = lambda when, mode="generic": [(r.t, r.open, r.close) for r in P.ex_ante_mask_intraday(df, when, 30, mode, keep=(*P.KNOWN_AT_OPEN, "t")).orderBy("ts").collect()]
+    assert P.ex_ante_mask_intraday(df, "2024-01-02 10:15:00", 30).orderBy("ts").collect()[1].t is None  # a text that is not named as known
     assert at("2024-01-02 10:15:00") == [("09:30", 1.0, 5.0), ("10:00", 2.0, None)]
     assert at("2024-01-02 10:30:00") == [("09:30", 1.0, 5.0), ("10:00", 2.0, 6.0), ("10:30", 3.0, None)]
     assert at("2024-01-02 10:30:00", "before_open") == [("09:30", 1.0, 5.0), ("10:00", 2.0, 6.0)]
