@@ -46,6 +46,13 @@ def text_batches(batches, text: str, key: str = "doc_id"):
         yield b.column(key).to_pylist(), [t or "" for t in b.column(text).to_pylist()]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to ``rows`` rows: a task turns no more of them into Python objects at once, however large Spark's batches are."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 _holder = [None, None]
 
 
@@ -58,6 +65,11 @@ def hold_tables(owner: str, clear) -> None:
         _holder[:] = [owner, clear]
 
 
+def hold_nothing(owner: str) -> None:
+    """Says that ``owner`` keeps no tables: those of the operator before are cleared."""
+    hold_tables(owner, dict)
+
+
 def keep_first(table: dict, most: int) -> None:
     """Bounds a table of known words: beyond ``most`` entries only the older half stays, as common words come early."""
     if len(table) >= most:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns, unused
+from .common import batch_of, hold_nothing, slices, text_batches, two_columns, unused
 from .components import connected_components
 from .simhash import BKTree, shingle_hashes, simhash
 
@@ -55,10 +55,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        for ids, texts in text_batches(batches, "text"):
-            for i in range(0, len(ids), 512):
-                sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts[i:i + 512]]
-                yield batch_of(schema, ids[i:i + 512], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [band_keys(s) for s in sets])
+        hold_nothing("near-dedup")
+        for ids, texts in text_batches(slices(batches), "text"):
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
+            yield batch_of(schema, ids, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [band_keys(s) for s in sets])
 
     return docs.mapInArrow(run, "doc_id bigint, mark binary, keys array<bigint>")
 
@@ -68,7 +68,8 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("own", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        hold_nothing("near-dedup")
+        for b in slices(batches):
             for doc, text, shards in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("shards").to_pylist()):
                 h = np.unique(shingle_hashes(text or "", SHINGLE))
                 fp, small = simhash(h), np.unique(h.astype(np.uint32)).tobytes()
@@ -119,8 +120,9 @@ class _Shard:
 
 def _shard_links(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    hold_nothing("near-dedup")
     key, shard = None, None
-    for b in batches:
+    for b in slices(batches):
         out = []
         for k, part, own, doc, fp, shingles in zip(*(b.column(c).to_pylist() for c in ("key", "part", "own", "doc_id", "fp", "shingles"))):
             if (k, part) != key:

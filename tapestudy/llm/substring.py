@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .common import batch_of, text_batches, two_columns, unused, words_of
+from .common import batch_of, hold_nothing, slices, text_batches, two_columns, unused, words_of
 
 #: Up to so many repeated full windows of one common anchor go to its places as one table; more are joined one by one.
 TABLE = 256
@@ -85,8 +85,9 @@ def _compact(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
+        hold_nothing("substring dedup")
         squeeze = zstandard.ZstdCompressor(level=1)
-        for keys, texts in text_batches(batches, "text"):
+        for keys, texts in text_batches(slices(batches), "text"):
             yield batch_of(schema, keys, [squeeze.compress(b" ".join(words_of(t))) for t in texts])
 
     return docs.mapInArrow(run, "doc_id bigint, words binary")
@@ -103,7 +104,8 @@ def _level_one(docs: DataFrame, sizes: _Sizes) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
-        for keys, texts in text_batches(batches, "text"):
+        hold_nothing("substring dedup")
+        for keys, texts in text_batches(slices(batches), "text"):
             out = []
             for key, text in zip(keys, texts):
                 words = words_of(text)
@@ -121,21 +123,22 @@ def _level_two(joined: DataFrame, sizes: _Sizes) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        hold_nothing("substring dedup")
+        for batch in slices(batches):
+            out = []
             for (doc, words), hits in zip(_unpacked(batch), batch.column("hits").to_pylist()):
                 if len(words) < sizes.full:
                     continue
                 hashes, half, chosen = sizes.levels(words)
                 full = window_hashes(hashes, sizes.full)
                 places = np.unique(chosen)
-                out = []
                 for hit in hits:
                     if hit["k"] < len(places) and half[places[hit["k"]]] == hit["h"]:
                         place = places[hit["k"]]
                         a, b = np.searchsorted(chosen, place, "left"), np.searchsorted(chosen, place, "right")
                         out.append((hit["h"], hit["n"], doc, a, full[a:b]))
-                if out:
-                    yield batch_of(schema, *zip(*out))
+            if out:
+                yield batch_of(schema, *zip(*out))
 
     return joined.mapInArrow(run, "h bigint, n bigint, doc_id bigint, first int, windows array<bigint>")
 
@@ -143,8 +146,9 @@ def _level_two(joined: DataFrame, sizes: _Sizes) -> DataFrame:
 def _compare_groups(batches):
     """Rows sorted by anchor and doc_id: starts of the windows that an earlier document of the group has too."""
     schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    hold_nothing("substring dedup")
     anchor, seen = None, {}
-    for b in batches:
+    for b in slices(batches):
         out = []
         for h, doc, first, windows in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "first", "windows"))):
             if h != anchor:
@@ -272,7 +276,8 @@ def kept_words(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", text_type)])
 
     def run(batches):
-        for b in batches:
+        hold_nothing("substring dedup")
+        for b in slices(batches):
             out = []
             for (doc, words), copy, starts in zip(_unpacked(b), b.column("copy").to_pylist(), b.column("starts").to_pylist()):
                 gone = covered(len(words), bool(copy), starts, min_words)
@@ -306,14 +311,16 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     doc, copy, first = unused(docs, "_doc", "_copy", "_starts")
     found = materialize(repeated_windows(plain, _compact(plain), min_words), "removed-windows").toDF(doc, copy, first)
     joined = docs.join(found, F.col(f"`{key}`").cast("bigint") == F.col(doc), "left")
-    same = joined.where(F.col(doc).isNull()).select(*columns)
 
     def run(batches):
-        for b in batches:
-            texts = [_cut(t or "", bool(c), s, min_words) for t, c, s in zip(*(b.column(x).to_pylist() for x in (text, copy, first)))]
+        hold_nothing("substring dedup")
+        for b in slices(batches):
+            listed = b.column(doc).is_valid()
+            old, copies, starts = (b.column(x).to_pylist() for x in (text, copy, first))
+            texts = [_cut(t or "", bool(c), s, min_words) if cut else t for t, cut, c, s in zip(old, listed.to_pylist(), copies, starts)]
             i = b.schema.get_field_index(text)
-            out = b.set_column(i, text, pa.array(texts, pa.string())).select(columns)
-            yield out.filter(pa.array([t != "" for t in texts]))
+            out = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type)).select(columns)
+            # only what was cut can leave nothing; a text that came empty stays
+            yield out.filter(pa.array([not cut or t != "" for t, cut in zip(texts, listed.to_pylist())]))
 
-    cut = joined.where(F.col(doc).isNotNull()).select(*columns, copy, first).mapInArrow(run, docs.schema)
-    return same.unionByName(cut)
+    return joined.mapInArrow(run, docs.schema)
