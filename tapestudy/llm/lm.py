@@ -5,7 +5,9 @@ their ending. The class factor is a softmax over hashed n-gram and skip features
 distributed gradient updates: in each round every task follows the gradient over its documents and sends what it changed,
 weighted by how often each row of weights was seen, and the weights move to the average. The word factor is the softmax of
 one bias per word, log(count + 1), with one place per class for words never seen. The hashed rows of weights grow with the
-counted vocabulary (at most `max_rows`), and tasks send only the rows they saw.
+counted vocabulary (at most `max_rows`). They are a table below `spark.checkpoint.dir` that tasks read, not a broadcast, of which
+each executor would keep a copy on its disk; a task of a round learns from some TASK_TOKENS tokens or more and sends only the
+rows it saw, so that what is sent stays in proportion to the corpus.
 
 Counts cover every training document. The vocabulary is a table that grows with the input and is never collected: words above
 a count cutoff (at most `frequent` of them) go to the tasks, all others meet their counts by a join on the word. Histories
@@ -18,19 +20,25 @@ empty result; rows without doc_id are left out.
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections import Counter
-from itertools import repeat
+from itertools import compress, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
-from .common import batch_of, keep_first, text_batches, two_columns
+from ..sources.shared import materialize, shared_dir
+from .common import batch_of, hold_nothing, slices, text_batches, two_columns
 
 END = b""  # no word is empty
+LAST_TWO = itemgetter(slice(-2, None))
 OWN_CLASSES, ENDINGS = 24, 40
 CLASSES = 1 + OWN_CLASSES + ENDINGS  # class 0: the end token
 START = CLASSES  # stands before the first word
@@ -39,6 +47,8 @@ BLOCKS = 32
 CHUNK = 8192
 LIMIT = 15.0
 STEP, RATE = 1024, 0.6
+TASK_TOKENS = 1 << 22
+FEW = 6
 KEPT_WORDS = 600_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -52,18 +62,18 @@ class Classes:
 
     def __init__(self, own: list[bytes]):
         self.own = {w: i + 1 for i, w in enumerate(own)} | {END: 0}
-        self.known = {}
 
     def of(self, word: bytes) -> int:
         found = self.own.get(word)
         return 1 + OWN_CLASSES + zlib.crc32(word[-2:]) % ENDINGS if found is None else found
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
-        keep_first(self.known, KEPT_WORDS)
-        known = self.known
-        for t in set(tokens).difference(known):
-            known[t] = zlib.crc32(t) << 8 | self.of(t)
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        n = len(tokens)
+        kind = np.fromiter(map(self.own.get, tokens, repeat(-1)), np.int64, n)
+        other = np.flatnonzero(kind < 0)
+        ends = np.fromiter(map(zlib.crc32, map(LAST_TWO, compress(tokens, kind < 0))), np.int64, len(other))
+        kind[other] = 1 + OWN_CLASSES + ends % ENDINGS
+        return np.fromiter(map(zlib.crc32, tokens), np.int64, n) << 8 | kind
 
 
 def rows_for(distinct: int, most: int = MAX_ROWS) -> int:
@@ -92,7 +102,7 @@ def _histories(codes: np.ndarray, begins: np.ndarray, size: int = ROWS):
 def _chunks(batches, classes: Classes):
     """(keys, tokens, codes, begins) of whole documents, CHUNK tokens or one long document at a time."""
     keys, tokens, begins = [], [], []
-    for ids, texts in text_batches(batches, "text"):
+    for ids, texts in text_batches(slices(batches), "text"):
         for key, text in zip(ids, texts):
             keys.append(key)
             begins.append(len(tokens))
@@ -100,9 +110,8 @@ def _chunks(batches, classes: Classes):
             if len(tokens) >= CHUNK:
                 yield keys, tokens, classes.codes(tokens), np.array(begins)
                 keys, tokens, begins = [], [], []
-        if keys:
-            yield keys, tokens, classes.codes(tokens), np.array(begins)
-            keys, tokens, begins = [], [], []
+    if keys:
+        yield keys, tokens, classes.codes(tokens), np.array(begins)
 
 
 def _logits(weights, bias, rows):
@@ -122,74 +131,131 @@ def _log_chosen(weights, bias, rows, target):
     return chosen - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
 
 
-def _follow_gradient(weights, bias, classes: Classes, rate: float):
+def _blocks(folder: str | None):
+    """(block, its weights) of the blocks that are stored in a folder, one at a time; none without a folder."""
+    if folder is None:
+        return
+    files, top = fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:/", folder) else (fs.LocalFileSystem(), folder)
+    for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(top)) if x.path.endswith(".parquet")):
+        with files.open_input_file(f) as opened:
+            for b in pq.ParquetFile(opened).iter_batches(batch_size=1, columns=["block", "weights"]):
+                for block, weights in zip(b.column("block").to_pylist(), b.column("weights").to_pylist()):
+                    yield block, np.frombuffer(weights, np.float32).reshape(-1, CLASSES)
+
+
+def _stored(folder: str | None, size: int) -> np.ndarray:
+    """All weights (size, CLASSES); zero where no task has seen a row of the block."""
+    weights = np.zeros((BLOCKS, size // BLOCKS, CLASSES), np.float32)
+    for block, part in _blocks(folder):
+        weights[block] = part
+    return weights.reshape(size, CLASSES)
+
+
+def _row_sums(g: np.ndarray, rows: np.ndarray):
+    """Per feature: distinct rows of weights in ``rows`` (FEATURES, n), ascending, and for each the sum of the gradients (n, CLASSES) at its places."""
+    n = rows.shape[1]
+    keys = np.sort(rows.astype(np.uint64) << np.uint64(16) | np.arange(n, dtype=np.uint64), axis=1).ravel()
+    ranked, at = (keys >> np.uint64(16)).view(np.int64), (keys & np.uint64(0xFFFF)).view(np.int64)
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    new[::n] = True
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys)))
+    unique, total = ranked[first], g.take(at[first], axis=0)
+    # most rows occur once, and of the others most a few times: those are summed place by place, in the order of reduceat
+    few = np.flatnonzero((times > 1) & (times <= FEW))
+    rest = g.take(at[first[few] + 1], axis=0)
+    for k in range(2, FEW):
+        more = np.flatnonzero(times[few] > k)
+        rest[more] += g.take(at[first[few[more]] + k], axis=0)
+    total[few] += rest
+    many = times > FEW
+    if many.any():
+        begins = np.concatenate(([0], np.cumsum(times[many])[:-1]))
+        total[many] = np.add.reduceat(g.take(at[np.repeat(many, times)], axis=0), begins, axis=0)
+    bounds = np.searchsorted(first, np.arange(len(rows) + 1) * n)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        yield unique[a:b], total[a:b]
+
+
+def _follow_gradient(folder: str | None, size: int, bias, classes: Classes, rate: float):
     """One pass over a task's documents; sends per block of rows the change times how often the row was seen."""
     schema = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("change", pa.binary()), ("seen", pa.binary())])
-    size = len(weights) // BLOCKS
+    per = size // BLOCKS
 
     def run(batches):
-        w, seen, norm = weights.copy(), np.zeros(len(weights), np.float32), np.full(len(weights), 1e-3, np.float32)
+        hold_nothing("language model")
+        w, seen, norm = _stored(folder, size), np.zeros(size, np.int64), np.full(size, 1e-3, np.float32)
         for _, _, codes, begins in _chunks(batches, classes):
-            rows, target = _histories(codes, begins, len(weights))
-            used = np.unique(rows)
-            w[used] = np.clip(w[used], -LIMIT, LIMIT)
+            rows, target = _histories(codes, begins, size)
+            seen += np.bincount(rows.ravel(), minlength=size)
             for i in range(0, len(target), STEP):
                 part, wanted = rows[:, i:i + STEP], target[i:i + STEP]
                 g = _logits(w, bias, part)
                 np.exp(g, out=g)
                 g /= g.sum(axis=1, keepdims=True)
                 g[np.arange(len(wanted)), wanted] -= 1
-                for r in part:
-                    order = np.argsort(r, kind="stable")
-                    ranked = r[order]
-                    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                    unique = ranked[first]
-                    total = np.add.reduceat(g[order], first, axis=0)
-                    norm[unique] += np.einsum("ij,ij->i", total, total)
-                    total *= (rate / np.sqrt(norm[unique]))[:, None]
-                    w[unique] -= total
-                    seen[unique] += np.diff(np.append(first, len(ranked)))
+                for unique, total in _row_sums(g, part):
+                    length = norm[unique] + np.einsum("ij,ij->i", total, total)
+                    norm[unique] = length
+                    total *= (rate / np.sqrt(length))[:, None]
+                    moved = w.take(unique, axis=0)
+                    moved -= total
+                    w[unique] = np.clip(moved, -LIMIT, LIMIT, out=moved)
+        for block, before in _blocks(folder):
+            w[block * per:(block + 1) * per] -= before
         for i in range(BLOCKS):
-            at = np.flatnonzero(seen[i * size:(i + 1) * size]) + i * size
+            at = np.flatnonzero(seen[i * per:(i + 1) * per]) + i * per
             if len(at):
-                yield batch_of(schema, [i], [(at - i * size).astype(np.int32).tobytes()], [(w[at] - weights[at]).astype(np.float16).tobytes()], [seen[at].tobytes()])
+                yield batch_of(schema, [i], [(at - i * per).astype(np.int32).tobytes()], [w[at].astype(np.float16).tobytes()], [seen[at].astype(np.float32).tobytes()])
 
     return run
 
 
 def _average(size: int):
-    """Per block of ``size`` rows, the mean change of each row, weighted by how often tasks saw it. Rows come sorted by block."""
-    schema = pa.schema([("block", pa.int32()), ("change", pa.binary())])
+    """Per block of ``size`` rows, the weights before (the row without ``rows``, if there is one) plus the mean change of each row, weighted
+    by how often tasks saw it. Rows come sorted by block."""
+    schema = pa.schema([("block", pa.int32()), ("weights", pa.binary())])
+
+    def moved(block, before, total, weight):
+        now = (total / np.maximum(weight, 1)[:, None]).astype(np.float32) + before
+        return batch_of(schema, [block], [np.clip(now, -LIMIT, LIMIT).astype(np.float32).tobytes()])
 
     def run(batches):
-        block, total, weight = None, None, None
-        for b in batches:
+        block, before, total, weight = None, 0, None, None
+        for b in slices(batches, 8):
             for key, rows, change, seen in zip(*(b.column(c).to_pylist() for c in ("block", "rows", "change", "seen"))):
                 if key != block:
                     if block is not None:
-                        yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
-                    block, total, weight = key, np.zeros((size, CLASSES)), np.zeros(size)
+                        yield moved(block, before, total, weight)
+                    block, before, total, weight = key, np.float32(0), np.zeros((size, CLASSES)), np.zeros(size)
+                if rows is None:
+                    before = np.frombuffer(change, np.float32).reshape(-1, CLASSES)
+                    continue
                 at, s = np.frombuffer(rows, np.int32), np.frombuffer(seen, np.float32)
                 total[at] += np.frombuffer(change, np.float16).reshape(-1, CLASSES).astype(np.float64) * s[:, None]
                 weight[at] += s
         if block is not None:
-            yield batch_of(schema, [block], [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()])
+            yield moved(block, before, total, weight)
 
     return run
 
 
 def train_classes(docs: DataFrame, classes: Classes, class_counts: np.ndarray, rounds: int = 2, rate: float = RATE, size: int = ROWS):
-    """Weights (size, CLASSES) and bias of the class factor. Every document is in one of the rounds."""
+    """Folder with the weights (size, CLASSES) in BLOCKS rows, and bias of the class factor. Every document is in one of the rounds."""
+    spark = docs.sparkSession
     bias = np.log((class_counts + 1) / (class_counts.sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((size, CLASSES), np.float32)
+    tasks = max(1, math.ceil(int(class_counts.sum()) / rounds / TASK_TOKENS))
+    folder = None
     for i in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == i)
-        sent = part.mapInArrow(_follow_gradient(weights, bias, classes, rate), "block int, rows binary, change binary, seen binary")
-        mean = sent.repartition("block").sortWithinPartitions("block").mapInArrow(_average(size // BLOCKS), "block int, change binary")
-        for r in mean.toLocalIterator():  # BLOCKS rows, some at a time; the tasks have the weights as they were sent
-            weights.reshape(BLOCKS, -1)[r.block] += np.frombuffer(r.change, np.float32)
-        np.clip(weights, -LIMIT, LIMIT, out=weights)
-    return weights, bias
+        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == i).coalesce(tasks)
+        sent = part.mapInArrow(_follow_gradient(folder, size, bias, classes, rate), "block int, rows binary, change binary, seen binary")
+        if folder is not None:
+            sent = sent.unionByName(spark.read.schema("block int, weights binary").parquet(folder).select(
+                "block", F.lit(None).cast("binary").alias("rows"), F.col("weights").alias("change"), F.lit(None).cast("binary").alias("seen")))
+        folder = shared_dir(spark, "weights")
+        sent.repartition("block").sortWithinPartitions("block").mapInArrow(_average(size // BLOCKS), "block int, weights binary").write.parquet(folder)
+    return folder, bias
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -197,6 +263,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
+        hold_nothing("language model")
         counts = Counter()
 
         def flush():
@@ -205,7 +272,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             for i in range(0, len(tokens), 50_000):
                 yield batch_of(schema, tokens[i:i + 50_000], ns[i:i + 50_000])
 
-        for _, texts in text_batches(batches, "text"):
+        for _, texts in text_batches(slices(batches), "text"):
             for t in texts:
                 counts.update(tokens_of(t))
                 if len(counts) > KEPT_WORDS:
@@ -237,7 +304,7 @@ def _class_totals(vocab: DataFrame, classes: Classes):
     def run(batches):
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for b in batches:
-            c = np.array([classes.of(t) for t in b.column("token").to_pylist()], np.int64)
+            c = classes.codes(b.column("token").to_pylist()) & 255
             np.add.at(n, c, b.column("n").to_numpy())
             v += np.bincount(c, minlength=CLASSES)
         yield batch_of(schema, range(CLASSES), n, v)
@@ -248,16 +315,18 @@ def _class_totals(vocab: DataFrame, classes: Classes):
     return n, v
 
 
-def _document_rows(docs: DataFrame, frequent, classes, weights, bias, class_cost) -> DataFrame:
+def _document_rows(docs: DataFrame, frequent, classes, folder, size, bias, class_cost) -> DataFrame:
     """One row without token per document: n tokens, class factor and class size (log10), log10(count + 1) and number of its
     frequent tokens. And one row per document and word outside ``frequent``, with its number."""
     schema = pa.schema([("token", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("model", pa.float64()), ("logs", pa.float64()), ("known", pa.int64())])
     logs = {w: float(np.log10(n + 1)) for w, n in frequent.items()}
 
     def run(batches):
+        hold_nothing("language model")
+        weights = _stored(folder, size)
         for keys, tokens, codes, begins in _chunks(batches, classes):
-            rows, target = _histories(codes, begins, len(weights))
-            chosen = np.concatenate([_log_chosen(weights, bias, rows[:, i:i + CHUNK], target[i:i + CHUNK]) for i in range(0, len(target), CHUNK)])
+            rows, target = _histories(codes, begins, size)
+            chosen = np.concatenate([_log_chosen(weights, bias, rows[:, i:i + STEP], target[i:i + STEP]) for i in range(0, len(target), STEP)])
             found = np.fromiter(map(logs.get, tokens, repeat(-1.0)), np.float64, len(tokens))
             known, sizes = found >= 0, np.diff(np.append(begins, len(tokens)))
             yield batch_of(schema, [None] * len(keys), keys, sizes, np.add.reduceat(chosen / np.log(10) - class_cost[target], begins),
@@ -280,9 +349,10 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     own = sorted((w for w in common if w != END), key=lambda w: (-common[w], w))[:OWN_CLASSES]
     classes = Classes(own)
     n, v = _class_totals(vocab, classes)
-    weights, bias = train_classes(training, classes, n, size=rows_for(distinct, max_rows))
+    size = rows_for(distinct, max_rows)
+    folder, bias = train_classes(training, classes, n, size=size)
     class_cost = np.log10(n + v + 1)
-    rows = materialize(_document_rows(docs, common, classes, weights, bias, class_cost), "document-rows")
+    rows = materialize(_document_rows(docs, common, classes, folder, size, bias, class_cost), "document-rows")
     sums = rows.where("token IS NULL").select("doc_id", F.col("n").alias("n_tokens"), "model", "logs", "known")
     # words never seen in training add log10(1) = 0
     rare = (rows.where("token IS NOT NULL").select("token", "doc_id", "n").join(vocab.select("token", F.col("n").alias("c")), "token").groupBy("doc_id")
